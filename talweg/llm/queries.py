@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe
 from .common import table
 from .mixing import MixConfig, mix
 from .sharding import shard_documents
 from .toxicity import classify
 
+#: The rank file of the vocabulary.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +22,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), MixConfig()).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -27,7 +37,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mix_sources, op8_jump_shards, op9_toxicity)}
+    return {f.__name__: f for f in (op3_mix_sources, op6_bpe, op8_jump_shards, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
