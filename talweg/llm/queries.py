@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe
 from .common import table
 from .mixing import MixConfig, mix
+from .neardup import NearDupConfig, near_duplicates
 from .sharding import shard_documents
 from .toxicity import classify
 
@@ -22,6 +23,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), MixConfig()).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDupConfig(words=2))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +42,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mix_sources, op6_bpe, op8_jump_shards, op9_toxicity)}
+    return {f.__name__: f for f in (op3_mix_sources, op4_minhash_odd_sketch, op6_bpe, op8_jump_shards, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
