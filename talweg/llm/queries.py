@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe
 from .common import table
+from .linededup import LineDedupConfig, dedup_lines
 from .mixing import MixConfig, mix
 from .neardup import NearDupConfig, near_duplicates
 from .sharding import shard_documents
@@ -19,6 +21,13 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, text_sha256 (of what is left) of every document."""
+    out = dedup_lines(table(spark, sf_dir, "documents"), LineDedupConfig(), counts=True)
+    left = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", left)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), MixConfig()).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,7 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_minhash_odd_sketch, op6_bpe, op8_jump_shards, op9_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mix_sources, op4_minhash_odd_sketch, op6_bpe, op8_jump_shards, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
