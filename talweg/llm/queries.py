@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, pii, quality
 from .common import table
 from .linededup import LineDedupConfig, dedup_lines
 from .mixing import MixConfig, mix
@@ -36,6 +36,11 @@ def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDupConfig(words=2))
 
 
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,8 +55,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mix_sources, op4_minhash_odd_sketch, op6_bpe, op8_jump_shards, op9_toxicity)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_line_dedup,
+            op3_mix_sources,
+            op4_minhash_odd_sketch,
+            op5_decision_list,
+            op6_bpe,
+            op8_jump_shards,
+            op9_toxicity,
+            op10_pii_bootstrap,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
