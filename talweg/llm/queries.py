@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality
+from . import audio, bpe, html, pii, quality
 from .common import table
 from .linededup import LineDedupConfig, dedup_lines
 from .mixing import MixConfig, mix
@@ -28,6 +28,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", left)
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from ``embeddings``: their classes, and the alignments of those with an id divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return audio.aligned(audio.melodies(rows, "embedding")).withColumnRenamed("id", "vec_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), MixConfig()).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +53,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html.extract(rows).select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -64,10 +75,12 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_line_dedup,
+            op2_chroma,
             op3_mix_sources,
             op4_minhash_odd_sketch,
             op5_decision_list,
             op6_bpe,
+            op7_html_layout,
             op8_jump_shards,
             op9_toxicity,
             op10_pii_bootstrap,
