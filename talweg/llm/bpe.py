@@ -16,13 +16,13 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .text import chunks
 
 #: Characters of text that a task works on at a time (a longer text comes alone).
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 22
 #: Bytes of distinct pieces in one recursive query.
-QUERY_BYTES = 1 << 18
+QUERY_BYTES = 1 << 19
 #: Longer pieces go through a heap instead of the recursive query, whose rows add up over the steps.
 SHORT_PIECE = 64
 #: Pieces whose ids a task's process remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 #: Ids decoded in one query.
 DECODE_IDS = 1 << 18
 
@@ -31,18 +31,17 @@ MERGE_SQL = """
 WITH RECURSIVE steps(step, word, pos, id) AS (
   SELECT 0, word, pos, id FROM pieces
   UNION ALL
-  SELECT step + 1, word, pos, CASE WHEN pos = best_pos THEN best_id ELSE id END
-  FROM (
-    SELECT s.step, s.word, s.pos, s.id, s.prev, (b.best // 65536)::INT AS best_id, (b.best % 65536)::INT AS best_pos
-    FROM (SELECT step, word, pos, id, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS prev FROM steps) s
-    JOIN (
-      SELECT a.word, min(m.id::BIGINT * 65536 + a.pos) AS best
-      FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM steps) a
-      JOIN merges m ON a.id = m.l AND a.next = m.r
-      GROUP BY a.word
-    ) b USING (word)
-  ) t
-  WHERE prev IS DISTINCT FROM best_pos
+  SELECT s.step + 1, s.word, s.pos, CASE WHEN s.pos = (b.best // 256) % 256 THEN (b.best // 65536)::INT ELSE s.id END
+  FROM steps s
+  JOIN (
+    SELECT a.word, min(m.id::BIGINT * 65536 + a.pos * 256 + a.next_pos) AS best
+    FROM (
+      SELECT word, pos, id, lead(id) OVER w AS next, lead(pos) OVER w AS next_pos FROM steps
+      WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ) a
+    JOIN merges m ON a.id = m.l AND a.next = m.r
+    GROUP BY a.word
+  ) b ON s.word = b.word AND s.pos <> b.best % 256
 )
 SELECT word, id FROM steps
 WHERE (step, word) IN (SELECT max(step), word FROM steps GROUP BY word)
