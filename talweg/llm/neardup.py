@@ -22,17 +22,22 @@ class NearDupConfig:
 
     A pair of similarity s meets in a band with probability 1 - (1 - s^rows)^bands: at 0.8 all but 3 in a
     million. ``sketch_bits`` must be a multiple of 64. ``slack`` is how many standard deviations the sketch's
-    estimate may fall short of the threshold before a candidate is refused.
+    estimate may fall short of the threshold before a candidate is refused. Up to ``rounds`` rounds confirm
+    ``partners`` pairs for each class before the remaining pairs are taken; they change no result. Bands in
+    which more of these are plausible than four to a member are compared in blocks of ``block`` members.
     """
 
     words: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 5
+    bands: int = 42
+    rows: int = 6
     sketch_bits: int = 512
     slack: float = 5.0
     seed: int = 3
     salt_rows: int = 512
+    rounds: int = 4
+    partners: int = 3
+    block: int = 512
 
     def refused_above(self) -> int:
         """The largest count of unequal sketch bits that a pair of the least similarity may show.
@@ -114,19 +119,12 @@ def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     return docs.mapInArrow(run, fields)
 
 
-def unequal_bits(a: Column, b: Column) -> Column:
-    """Count of unequal bits of two sketches (arrays of longs)."""
-    ones = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(ones, F.lit(0), lambda s, x: s + x)
-
-
-def _plausible(pairs: DataFrame, sketches: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """Pairs (x, y) whose set sizes and odd sketches allow a link."""
-    for side in ("x", "y"):
-        pairs = pairs.join(sketches.selectExpr(f"id as {side}", f"n_shingles as n_{side}", f"sketch as s_{side}"), side)
-    small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    ok = (100 * small >= cfg.percent * large) & (unequal_bits(F.col("s_x"), F.col("s_y")) <= cfg.refused_above())
-    return pairs.filter(ok).select("x", "y")
+def plausible(n1: Column, s1: Column, n2: Column, s2: Column, cfg: NearDupConfig) -> Column:
+    """Whether set sizes and odd sketches (arrays of longs) allow a link."""
+    unequal = F.lit(0)
+    for i in range(cfg.sketch_bits // 64):
+        unequal = unequal + F.bit_count(F.get(s1, F.lit(i)).bitwiseXOR(F.get(s2, F.lit(i))))
+    return (100 * F.least(n1, n2) >= cfg.percent * F.greatest(n1, n2)) & (unequal <= cfg.refused_above())
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -167,6 +165,106 @@ def confirm(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     return rows.mapInArrow(run, "x long, y long")
 
 
+def _pair_ok(n1: np.ndarray, s1: np.ndarray, n2: np.ndarray, s2: np.ndarray, cfg: NearDupConfig) -> np.ndarray:
+    """plausible() for numpy: sizes and sketches that broadcast against each other."""
+    sized = 100 * np.minimum(n1, n2) >= cfg.percent * np.maximum(n1, n2)
+    return sized & (np.bitwise_count(s1 ^ s2).sum(-1) <= cfg.refused_above())
+
+
+def _remaining(batches: Iterator[pa.RecordBatch], cfg: NearDupConfig) -> Iterator[pa.RecordBatch]:
+    """Rows (h, label, y, n, sketch) come sorted by band and label. The plausible pairs (x, y) of different labels
+    of a band; or, where they are more than four to a member, the members (x null) with their labels."""
+    names = ["h", "x", "y", "label"]
+
+    def out(h, x, y, label) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (h, x, y, label)], names=names)
+
+    def band(h: int, label: np.ndarray, y: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        xs, ys, found = [], [], 0
+        for i in range(len(y) - 1):
+            after = int(np.searchsorted(label, label[i], "right"))
+            hit = after + np.flatnonzero(_pair_ok(n[i], sketch[i], n[after:], sketch[after:], cfg))
+            found += len(hit)
+            if found > 4 * len(y):
+                return out(np.full(len(y), h), [None] * len(y), y, label)
+            xs.append(np.full(len(hit), y[i]))
+            ys.append(y[hit])
+        if not found:
+            return out([], [], [], [])
+        x, y2 = np.concatenate(xs), np.concatenate(ys)
+        return out(np.full(len(x), h), np.minimum(x, y2), np.maximum(x, y2), [None] * len(x))
+
+    held: list[np.ndarray] | None = None
+    words = cfg.sketch_bits // 64
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols.append(b.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words))
+        if held is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+        edges = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+        for s, e in zip(edges[:-1], edges[1:]):
+            yield band(int(cols[0][s]), *[c[s:e] for c in cols[1:]])
+        held = [c[edges[-1] :] for c in cols]
+    if held is not None:
+        yield band(int(held[0][0]), *held[1:])
+
+
+def compare_blocks(members: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """Links (x, y) between the members (h, y, label) of a band whose labels differ, by full sets.
+
+    Members outside the band's most frequent label are dealt into blocks, and all members too; each pair of
+    blocks is a task's work, which holds one block's sets and streams the other. Only links leave the task.
+    """
+    members = materialise(members)
+    size = members.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
+    top = size.groupBy("h").agg(F.max(F.struct("k", "label")).alias("t"), F.sum("k").alias("m"))
+    blocks = top.select("h", F.col("t.label").alias("main"), F.ceil(F.col("m") / cfg.block).cast("int").alias("nx"), F.ceil((F.col("m") - F.col("t.k")) / cfg.block).cast("int").alias("ny"))
+    dealt = members.join(blocks, "h")
+    x = dealt.select("h", F.pmod(F.xxhash64("y"), "nx").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(1).alias("role"), "y", "label")
+    y = dealt.filter("label <> main").select("h", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64(F.lit(1), "y"), "ny").cast("int").alias("by"), F.lit(0).alias("role"), "y", "label")
+    texts = split_by_keys(docs, "id", members.select("y").distinct())[0]
+    sent = x.unionAll(y).join(texts, F.col("y") == F.col("id")).select("h", "bx", "by", "role", "y", "label", "text")
+    sent = sent.repartition("h", "bx", "by").sortWithinPartitions("h", "bx", "by", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, labels, sets, flat, row = None, [], [], [], None, None
+        for b in batches:
+            xs, ys = [], []
+            for h, i, j, role, y, label, text in zip(*(b.column(k).to_pylist() for k in range(6)), b.column(6)):
+                if of != (h, i, j):
+                    of, ids, labels, sets, flat = (h, i, j), [], [], [], None
+                mine = shingle_set(text.as_py(), cfg.words)
+                if role == 0:
+                    ids.append(y)
+                    labels.append(label)
+                    sets.append(mine)
+                    continue
+                if not ids:
+                    continue
+                if flat is None:  # the block's sets as one sorted list of (shingle, member)
+                    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    order = np.argsort(flat, kind="stable")
+                    flat, row, size, tag = flat[order], row[order], np.array([len(s) for s in sets]), np.array(labels)
+                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                run_of = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(int((hi - lo).sum()))
+                both = np.bincount(row[run_of], minlength=len(ids))
+                ok = (100 * both >= cfg.percent * (size + len(mine) - both)) & (tag != label)
+                for k in np.flatnonzero(ok):
+                    xs.append(min(ids[k], y))
+                    ys.append(max(ids[k], y))
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+    return sent.mapInArrow(run, "x long, y long").distinct()
+
+
+def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return met.withColumn("label", F.col("y"))
+    return met.join(labels, met.y == labels.node, "left").select("h", "y", "n", "sketch", F.coalesce("component", "y").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of documents.
 
@@ -175,10 +273,11 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     smallest doc_id, and that row is kept. Without words or text a set is empty and linked with nothing. A null
     doc_id is linked with nothing, has a null component and is kept. Repeated ids share their component.
 
-    Equal sets become one class first. In the first round a class is paired with the first class of each of
-    its bands, its smallest plausible partner is confirmed, and the links give labels. In the second round
-    all plausible pairs of a band whose labels differ are confirmed: a pair of one label can't change a
-    component, so a large group isn't expanded into pairs and no link between groups is lost.
+    Equal sets become one class first. In each of a few rounds a class is paired with one class of each of its
+    bands (the first one, later others by hash), plausible partners of another label are confirmed, and the
+    links give labels. Then all plausible pairs of a band whose labels differ are confirmed: a pair of one
+    label can't change a component, so a large group isn't expanded into pairs and no link between groups is
+    lost.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     marks = materialise(signatures(rows, cfg))
@@ -187,23 +286,32 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
         F.min("id").alias("id"), F.min_by(F.struct("bands", "sketch"), "id").alias("m")
     )
     classes = materialise(classes.select("id", "k1", "k2", "n_shingles", "m.bands", "m.sketch"))
-    sketches = classes.select("id", "n_shingles", "sketch")
     banded = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", F.xxhash64("band", "h").alias("h"))
-    shared = banded.groupBy("h").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "x")
-    met = materialise(banded.join(shared, "h").select("h", "x", F.col("id").alias("y")))
-
-    first = _plausible(met.filter("x < y").select("x", "y").distinct(), sketches, cfg)
-    first = first.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    links = materialise(confirm(first, rows, cfg).distinct())
-    labels = components(links.selectExpr("x as u", "y as v"))
-
-    labelled = met.join(labels, met.y == labels.node, "left").select("h", "y", F.coalesce("component", "y").alias("label"))
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("h")
-    labelled = materialise(labelled.join(mixed, "h", "left_semi"))
-    other = labelled.selectExpr("h as h2", "y as y2", "label as label2")
-    cross = labelled.join(other, (F.col("h") == F.col("h2")) & (F.col("label") < F.col("label2")))
-    cross = cross.select(F.least("y", "y2").alias("x"), F.greatest("y", "y2").alias("y")).distinct()
-    more = confirm(_plausible(cross, sketches, cfg), rows, cfg)
+    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    met = banded.join(shared, "h", "left_semi").join(classes.select("id", F.col("n_shingles").alias("n"), "sketch"), "id")
+    met = materialise(met.select("h", F.col("id").alias("y"), "n", "sketch"))
+
+    links, labels = None, None
+    for k in range(cfg.rounds):
+        members = _labelled(met, labels)
+        turn = F.col("y") if k == 0 else F.xxhash64(F.lit(k), "h", "y")
+        heads = members.groupBy("h").agg(F.min(F.struct(turn.alias("turn"), "y", "n", "sketch", "label")).alias("x"))
+        other = (F.col("label") != F.col("x.label")) & plausible(F.col("n"), F.col("sketch"), F.col("x.n"), F.col("x.sketch"), cfg)
+        pairs = members.join(heads, "h").filter(other).groupBy("y").agg(F.collect_set("x.y").alias("xs"))
+        few = pairs.select(F.explode(F.slice(F.array_sort("xs"), 1, cfg.partners)).alias("x"), "y")
+        found = materialise(confirm(few, rows, cfg))
+        links = found if links is None else links.unionAll(found)
+        labels = components(links.selectExpr("x as u", "y as v"))
+        if found.isEmpty():
+            break
+
+    members = _labelled(met, labels)
+    mixed = members.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("h")
+    members = members.join(mixed, "h", "left_semi").select("h", "label", "y", "n", "sketch")
+    members = members.repartition("h").sortWithinPartitions("h", "label", "y")
+    rest = materialise(members.mapInArrow(lambda it: _remaining(it, cfg), "h long, x long, y long, label long"))
+    few = rest.filter("x is not null").select("x", "y").distinct()
+    more = confirm(few, rows, cfg).unionAll(compare_blocks(rest.filter("x is null").select("h", "y", "label"), rows, cfg))
     labels = materialise(components(links.unionAll(more).selectExpr("x as u", "y as v")))
 
     by_class = classes.join(labels, classes.id == labels.node, "left").select(
