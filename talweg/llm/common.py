@@ -1,13 +1,14 @@
-"""Shared plumbing of the corpus operators: scratch tables, bounded key filters, prefix sums."""
+"""Shared plumbing of the corpus operators: word pattern, bounded key filters, sizes of buckets."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut as materialise
+
+__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "key_bucket", "materialise", "split_by_keys", "table"]
+
 #: White space of the corpus contracts: the complement is a word character.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -17,26 +18,6 @@ KEY_BUCKETS = 1 << 20
 BUCKET_ROWS = 1 << 16
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests, local mode)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="talweg-"))
-            current = spark.sparkContext.getCheckpointDir()
-        place = current
-    return f"{place.rstrip('/')}/talweg-{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it again: lineage ends at a replicated table."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

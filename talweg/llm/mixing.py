@@ -76,9 +76,10 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), carry: list[str] | None =
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
     )
-    sized = materialise(rows.withColumn("_h", F.xxhash64(F.lit(cfg.seed), F.col("doc_id"), F.col("size"))))
+    digest = F.md5(F.concat_ws(":", F.lit(cfg.seed).cast("string"), F.col("doc_id").cast("string"), F.col("size").cast("string")))
+    sized = materialise(rows.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")))  # 60 bits
     bits = bucket_bits(sized.count())
-    sized = sized.withColumn("_hb", F.shiftrightunsigned("_h", 64 - bits)).withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    sized = sized.withColumn("_hb", F.shiftright("_h", 60 - bits)).withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     parts = materialise(sized.groupBy("source", "_s", "_hb").agg(F.sum("size").alias("size")))
     targets = source_targets(parts, cfg).withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     first = parts.selectExpr("_s", "_hb", "sum(size) over (partition by _s order by _hb) - size as _before")

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialise, split_by_keys
-from .graph import components
 from .text import U64, mix, shingles, word_hashes
 
 

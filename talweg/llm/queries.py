@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html, pii, quality
+from . import audio, bpe, html, oracles, pii, quality
 from .common import table
 from .linededup import LineDedupConfig, dedup_lines
 from .mixing import MixConfig, mix
@@ -89,4 +89,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": oracles.LINE_DEDUP, "op3_mix_sources": oracles.MIX, "op4_minhash_odd_sketch": oracles.NEAR_DEDUP}
