@@ -112,3 +112,13 @@ def type_is_active(kind: Column) -> Column:
 
 def type_is_boundary(kind: Column) -> Column:
     return ~_in(kind, NO_DATA, NORMAL)
+
+
+def at_boundaries(code: Column, value: Column, at: Column | float) -> Column:
+    """``at`` where flow may leave, else the value."""
+    return F.when(can_out(code), at).otherwise(value)
+
+
+def valid(code: Column) -> Column:
+    """Whether a node has data."""
+    return code != NO_FLOW

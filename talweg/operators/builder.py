@@ -182,3 +182,34 @@ def validate(nodes: DataFrame, spec: GridSpec) -> dict[str, bool]:
         F.count(F.when((F.col("node_type") == B.PERIODIC) & ~edge, 1)).alias("stray"),
     ).first()
     return {"complete": r["n"] == spec.size, "known": r["known"] == r["n"], "drains": r["out"] > 0, "periodic_at_edge": r["stray"] == 0}
+
+
+def fault_line(spec: GridSpec, r1: float, c1: float, r2: float, c2: float, width: float) -> Column:
+    """Whether a node is within ``width`` cells of the line through two points."""
+    r, c = spec.row(F.col("node")), spec.col(F.col("node"))
+    length = ((r2 - r1) ** 2 + (c2 - c1) ** 2) ** 0.5
+    return F.abs((c - c1) * (r2 - r1) - (r - r1) * (c2 - c1)) / length <= width
+
+
+def islands(spec: GridSpec, centres: list[tuple[int, int]], radius: float) -> Column:
+    """Whether a node is in any of some circles."""
+    out = F.lit(False)
+    for r, c in centres:
+        out = out | circle(spec, r, c, radius)
+    return out
+
+
+def river_system(nodes: DataFrame, river: DataFrame, kind: int = B.HAS_TO_OUT) -> DataFrame:
+    """A type for the ends of a river network (node, receiver): its nodes that are their own receiver."""
+    ends = river.filter("node = receiver").select("node").withColumn("_e", F.lit(True))
+    return set_where(nodes.join(ends, "node", "left"), F.col("_e").isNotNull(), kind).drop("_e")
+
+
+def divide_nodes(nodes: DataFrame, divides: DataFrame, kind: int = B.REFLECT) -> DataFrame:
+    """A type for the nodes of drainage divides."""
+    on = divides.select("node").distinct().withColumn("_d", F.lit(True))
+    return set_where(nodes.join(on, "node", "left"), F.col("_d").isNotNull(), kind).drop("_d")
+
+
+def elevation_range(nodes: DataFrame, low: float, high: float, kind: int) -> DataFrame:
+    return set_where(nodes, F.col("z").between(low, high), kind)

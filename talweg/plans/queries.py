@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import D4, DIRECTIONS, GridSpec
 from ..operators import accumulate as A
-from ..operators import builder, depressions, flow, graphs, rivers, terrain, voxels
+from ..operators import builder, depressions, flow, graphs, rivers, terrain, traversal, voxels
 from ..operators.iterate import levels, to_root
 from ..operators.neighbours import d4_neighbours, extreme_neighbour, links, neighbourhood_stats, neighbours, one_neighbour
 from ..scratch import cut
@@ -497,6 +497,44 @@ def connected_components(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return graphs.connected(neighbours(high, spec), high)
 
 
+@query(_sql("SELECT node, CASE WHEN abs((c - 2) * 9 - (r - 1) * 11) / sqrt(202) <= 1.5 THEN 6 ELSE 1 END::TINYINT AS node_type FROM nodes"))
+def fault_line_types(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return builder.set_where(builder.filled(nodes), builder.fault_line(spec, 1, 2, 10, 13, 1.5), B.REFLECT).select("node", "node_type")
+
+
+@query(_sql("SELECT node, CASE WHEN r IN (0, ny - 1) OR c IN (0, nx - 1) THEN 0 ELSE z END AS z FROM nodes, dims"))
+def zero_at_boundaries(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    coded = builder.codes(nodes, spec)
+    return coded.select("node", B.at_boundaries(F.col("bc"), F.col("z"), F.lit(0)).cast("long").alias("z"))
+
+
+@query(_sql("""SELECT node, least(c, r, nx - 1 - c, ny - 1 - r) AS ring, CASE WHEN r = k THEN b + c - k WHEN c = nx - 1 - k THEN b + w - 1 + r - k
+  WHEN r = ny - 1 - k THEN b + w + h - 2 + nx - 1 - k - c ELSE b + 2 * (w - 1) + h - 1 + ny - 1 - k - r END AS at FROM (
+  SELECT *, n - w * h AS b FROM (SELECT nodes.*, nx, ny, nx * ny AS n, least(c, r, nx - 1 - c, ny - 1 - r) AS k, nx - 2 * least(c, r, nx - 1 - c, ny - 1 - r) AS w, ny - 2 * least(c, r, nx - 1 - c, ny - 1 - r) AS h FROM nodes, dims))""".replace(" AS at FROM", " AS place FROM").replace("least(c, r, nx - 1 - c, ny - 1 - r) AS ring, CASE", "CASE")))
+def spiral_order(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return traversal.spiral(nodes, spec).withColumnRenamed("at", "place")
+
+
+_SEA = "sea AS MATERIALIZED (SELECT node, r, c FROM nodes WHERE z <= 8000000000), wet(node) AS (SELECT node FROM sea, dims WHERE r IN (0, ny - 1) OR c IN (0, nx - 1) UNION SELECT e.nb FROM wet w JOIN edges e ON e.node = w.node WHERE e.z_nb <= 8000000000)"
+
+
+@query(_sql("SELECT n.node, w.node IS NOT NULL AS ocean FROM nodes n LEFT JOIN wet w ON w.node = n.node", EDGES, _SEA))
+def ocean_labels(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return traversal.label_ocean(nodes, spec, 8e9)
+
+
+@query(_sql("SELECT s.node, t.root IS NOT NULL AS mask FROM roots s LEFT JOIN (SELECT node AS root FROM area WHERE value >= 20) t USING (root)", EDGES, SFD, PATHS, ROOTS, _AREA))
+def basins_by_area(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return A.basins_by_area(*_area(nodes, spec), 20)
+
+
+@query(_sql("SELECT n.node, CASE WHEN b.node IS NULL THEN n.z ELSE 0 END AS z FROM nodes n LEFT JOIN (SELECT DISTINCT e.node FROM edges e JOIN roots a ON a.node = e.node JOIN roots b ON b.node = e.nb WHERE a.root <> b.root) b USING (node)", EDGES, SFD, PATHS, ROOTS))
+def zero_on_divides(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    sfd = cut(flow.steepest(nodes, spec))
+    marked = builder.divide_nodes(builder.filled(nodes), rivers.divides(sfd, nodes, spec))
+    return marked.select("node", F.when(F.col("node_type") == B.REFLECT, 0).otherwise(F.col("z")).alias("z"))
+
+
 def _rank_sql(rounds: int) -> str:
     parts = ["deg AS MATERIALIZED (SELECT node, count(*) AS k FROM down GROUP BY node)", "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
     for i in range(rounds):
