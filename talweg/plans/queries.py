@@ -441,9 +441,9 @@ def cast_shadow(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return terrain.cast_shadow(nodes, spec, "right", 1_000_000)
 
 
-@query(_sql("SELECT node, round(avg(z / 1e6) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS value FROM (SELECT node, r, c, avg(z) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS z FROM nodes)"))
+@query(_sql("SELECT node, round(avg(z / 1e6) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS value FROM (SELECT node, r, c, avg(z) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS z FROM nodes)"))
 def box_blur(nodes: DataFrame, spec: GridSpec) -> DataFrame:
-    return terrain.blur(_scaled(nodes), spec, 1, gaussian=False).select("node", F.round("z", 4).alias("value"))
+    return terrain.blur(_scaled(nodes), spec, 1, gaussian=False).select("node", F.round("z", 2).alias("value"))
 
 
 @query(_sql("SELECT node, CASE WHEN z <= 2000000000 THEN 0 WHEN z <= 5000000000 THEN 1 WHEN z <= 10000000000 THEN 2 ELSE 3 END::BIGINT AS band FROM nodes"))
