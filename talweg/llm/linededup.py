@@ -15,26 +15,44 @@ from .common import materialise, split_by_keys
 from .text import U64, chunks, mix, word_hashes
 
 #: Cells of the table of token counts: its size is fixed, so it can be sent to every task.
-COUNT_CELLS = 1 << 20
+COUNT_CELLS = 1 << 23
 #: Cells of that table in one row of its partial sums.
 COUNT_ROW = 1 << 14
-#: Rows at the head of a bucket that each later row of it is compared with in the first round.
-HEAD = 64
+#: A set in more than this share of all lines is one of at most 10,000; its later copies are left out early.
+HOT_SHARE = 10_000
+#: Signatures in one part of the join.
+PART_ROWS = 1 << 19
 #: Bytes of text that a task works on at a time.
 GROUP_BYTES = 1 << 20
 #: Lines of more tokens share single tokens only; lines from this down to a fifth less do both.
 LONG_LINE = 512
-_BITS = 48
+#: Bits of the parity bitmap of a line's tokens.
+_BITS = 128
+#: One signature of a line: the line is known by its place and a part of its key.
+_SIGNED = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("low", "<i8"), ("high", "<i8"), ("line", "<i4"), ("key", "<i4"), ("n", "<u2"), ("pos", "<u2")])
 
 
 @dataclass(frozen=True)
 class LineDedupConfig:
     """A line of at least ``least`` distinct tokens whose set has ``percent`` of Jaccard similarity or more with an
-    earlier line's set is removed. A token in more lines than ``hot`` only counts with a second one."""
+    earlier line's set is removed. A token in more lines than ``hot`` (or than four times the mean count of a
+    cell, if that is more) only counts with a second one, so that buckets stay small. In the first round a line
+    is compared with the first ``head`` lines of its buckets, which should be more than ``hot``; a task of the
+    second round holds ``block`` lines. Neither changes a result.
+    """
 
     percent: int = 80
     least: int = 5
-    hot: int = 32
+    hot: int = 512
+    head: int = 1024
+    block: int = 4096
+
+
+def _by_line(line: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """The order by line and then by a key of so many bits, in one sort where the line numbers leave room."""
+    if len(line) and int(line[-1]) >> (64 - bits):
+        return np.lexsort((key, line))
+    return np.argsort(line.astype(np.uint64) << U64(bits) | key)
 
 
 class Lines:
@@ -43,9 +61,8 @@ class Lines:
     def __init__(self, texts: list[bytes]) -> None:
         raw = b"\n".join(texts)
         h, start, _ = word_hashes(raw)
-        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
-        line = np.searchsorted(breaks, start)
-        order = np.lexsort((h, line))
+        line = np.cumsum(np.frombuffer(raw, np.uint8) == 10, dtype=np.int64)[start]
+        order = _by_line(line, h >> U64(20), 44)
         h, line = h[order], line[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -76,44 +93,47 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def line_signatures(h: np.ndarray, line: np.ndarray, starts: np.ndarray, n: np.ndarray, cells: np.ndarray, cfg: LineDedupConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of lines (index, signature): similar lines share one.
+def line_signatures(h: np.ndarray, line: np.ndarray, starts: np.ndarray, n: np.ndarray, cells: np.ndarray, hot: int, cfg: LineDedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of lines (index, signature, position of its first token): similar lines share one.
 
-    Tokens are ordered by rarity, ties by hash. The rarest token that two similar lines share is in the prefix
+    Tokens are ordered by rarity (the class of the count of their cell), ties by hash. The rarest token that two similar lines share is in the prefix
     of both, and the second one in both prefixes lengthened by one token. So a rare token is a signature by
     itself; a frequent one is a signature with each token behind it in the lengthened prefix. A token of a
     single line is none.
     """
     cell = cells[(h & U64(COUNT_CELLS - 1)).astype(np.int64)]
-    order = np.lexsort((h, cell, line))
+    order = _by_line(line, cell.astype(np.uint64) << U64(36) | h >> U64(28), 44)
     h, cell = h[order], cell[order]
     row = np.repeat(np.arange(len(starts)), n)
     pos = np.arange(len(h)) - starts[row]
     first = prefix_length(n, cfg.percent)
     second = np.minimum(n, first + 1)
     inside = pos < first[row]
-    rows, sigs = [], []
-    single = np.flatnonzero(inside & (cell > 1) & (cell <= cfg.hot) & (n[row] <= LONG_LINE * 5 // 4))
+    rows, sigs, places = [], [], []
+    single = np.flatnonzero(inside & (cell > 1) & (cell <= hot) & (n[row] <= LONG_LINE * 5 // 4))
     rows.append(row[single])
     sigs.append(mix(h[single]))
+    places.append(pos[single])
     alone = np.flatnonzero(inside & (cell > 1) & (n[row] > LONG_LINE * 4 // 5 - 1))
     rows.append(row[alone])
     sigs.append(mix(h[alone] ^ U64(0x77777777)))
-    at = np.flatnonzero(inside & (cell > cfg.hot) & (n[row] <= LONG_LINE * 5 // 4))
+    places.append(pos[alone])
+    at = np.flatnonzero(inside & (cell > hot) & (n[row] <= LONG_LINE * 5 // 4))
     step = 1
     while len(at):
         at = at[pos[at] + step < second[row[at]]]
         rows.append(row[at])
         sigs.append(mix(h[at] * U64(3) + mix(h[at + step])))
+        places.append(pos[at])
         step += 1
-    return np.concatenate(rows), np.concatenate(sigs)
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(places)
 
 
-def sketches(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Set size (16 bits) and a 48-bit parity bitmap: unequal bits are at most the unequal tokens."""
-    odd = np.bincount(row * _BITS + (h % U64(_BITS)).astype(np.int64), minlength=len(n) * _BITS) & 1
-    bits = (odd.reshape(-1, _BITS).astype(np.uint64) << np.arange(_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return (np.minimum(n, 65535).astype(np.uint64) << U64(_BITS)) | bits
+def sketches(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of n lines: their unequal bits are at most the lines' unequal tokens."""
+    odd = np.bincount(row * _BITS + (h % U64(_BITS)).astype(np.int64), minlength=n * _BITS) & 1
+    halves = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
 
 def _groups(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -124,163 +144,197 @@ def _groups(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, li
         start += len(group)
 
 
-def token_cells(rows: DataFrame, least: int) -> np.ndarray:
-    """For each cell of a fixed-size table, the number of lines that have a token of that cell (all rows)."""
+def _class(counts: np.ndarray) -> np.ndarray:
+    """Classes of counts, 0 to 255, not falling: counts to 64 by themselves, then eight to each doubling."""
+    return np.where(counts <= 64, counts, np.minimum(64 + 8 * np.log2(np.maximum(counts, 64) / 64), 255)).astype(np.uint8)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(COUNT_CELLS, np.int64)
-        for b in batches:
-            for _, texts in _groups(b, 0):
-                lines = Lines(texts)
-                lines.keep(least)
-                cells += np.bincount((lines.h & U64(COUNT_CELLS - 1)).astype(np.int64), minlength=COUNT_CELLS)
-        for i in range(0, COUNT_CELLS, COUNT_ROW):
-            part = np.minimum(cells[i : i + COUNT_ROW], np.iinfo(np.int32).max).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([i // COUNT_ROW]), pa.array([part.tobytes()])], names=["cell", "part"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cells[c] = cells.get(c, 0) + np.frombuffer(part, "<i4").astype(np.int64)
-        out = {c: np.minimum(v, np.iinfo(np.int32).max).astype("<i4").tobytes() for c, v in cells.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["cell", "part"])
-
-    schema = "cell long, part binary"
-    sums = rows.select("text").mapInArrow(count, schema).repartition(COUNT_CELLS // COUNT_ROW, "cell").mapInArrow(add, schema)
-    cells = np.zeros(COUNT_CELLS, np.int32)
-    for r in sums.collect():
-        cells[r["cell"] * COUNT_ROW : (r["cell"] + 1) * COUNT_ROW] += np.frombuffer(r["part"], "<i4")
-    return cells
+_SEEN = "rid long, doc long, line long, k1 long, k2 long, cell long, part binary"
 
 
 def _occurrences(rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
-    """rid, doc, line, k1, k2 of every line that is long enough."""
+    """rid, doc, line, k1, k2 of every line that is long enough; and by (cell, part) each task's counts of the
+    lines that have a token of a cell, as pairs of 16-bit offset and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "doc", "line", "k1", "k2", "cell", "part"]
+        cells = np.zeros(COUNT_CELLS, np.int32)
         for b in batches:
             for part, texts in _groups(b, 2):
                 lines = Lines(texts)
                 at, starts = lines.keep(cfg.least)
                 k1, k2 = _keys(lines.h, starts)
                 of = pa.array(lines.text_of[at])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(of), part.column(1).take(of), pa.array(lines.number[at].astype(np.int64)), pa.array(k1), pa.array(k2)],
-                    names=["rid", "doc", "line", "k1", "k2"],
-                )
+                cell, times = np.unique((lines.h & U64(COUNT_CELLS - 1)).astype(np.int64), return_counts=True)
+                cells[cell] += times.astype(np.int32)
+                place = [part.column(0).take(of), part.column(1).take(of), pa.array(lines.number[at].astype(np.int64))]
+                none = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(k1), pa.array(k2), *none], names=names)
+        used = np.flatnonzero(cells)
+        pairs = np.stack([used % COUNT_ROW, np.minimum(cells[used], 65535)], 1).astype("<u2")
+        ends = np.searchsorted(used, np.arange(COUNT_ROW, COUNT_CELLS + 1, COUNT_ROW))
+        blobs = [pairs[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+        none = [pa.nulls(len(blobs), pa.int64())] * 5
+        yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(len(blobs))), pa.array(blobs, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "rid long, doc long, line long, k1 long, k2 long")
+    return rows.mapInArrow(run, _SEEN)
 
 
-def _signed(rows: DataFrame, cells: np.ndarray, cfg: LineDedupConfig) -> DataFrame:
-    """doc, line, k1, k2, sketch, sigs of every line that has a signature."""
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
+def token_classes(parts: DataFrame) -> tuple[np.ndarray, float]:
+    """The class of each cell's count over all rows, and the mean count: a table of a fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                pairs = np.frombuffer(part, "<u2").reshape(-1, 2)
+                sums.setdefault(c, np.zeros(COUNT_ROW, np.int64))[pairs[:, 0]] += pairs[:, 1]
+        out = [pa.array(list(sums), pa.int64()), pa.array([_class(v).tobytes() for v in sums.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*out, pa.array([float(v.sum()) for v in sums.values()])], names=["cell", "part", "total"])
+
+    classes, total = np.zeros(COUNT_CELLS, np.uint8), 0.0
+    for r in parts.repartition(COUNT_CELLS // COUNT_ROW // 8, "cell").mapInArrow(add, "cell long, part binary, total double").collect():
+        classes[r["cell"] * COUNT_ROW : (r["cell"] + 1) * COUNT_ROW] = np.frombuffer(r["part"], np.uint8)
+        total += r["total"]
+    return classes, total / COUNT_CELLS
+
+
+def _signed(rows: DataFrame, classes: np.ndarray, hot: int, parts: int, copied: dict[int, tuple[int, int]], cfg: LineDedupConfig) -> DataFrame:
+    """Signatures of all lines, dealt to ``parts`` parts by signature: (part, blob of rows sorted by signature).
+
+    ``copied`` has the first place of the few sets with very many lines, whose other lines are left out.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((classes, np.array(sorted(copied), np.int64), copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, many, first = shared.value
         for b in batches:
+            held = []
             for part, texts in _groups(b, 2):
                 lines = Lines(texts)
                 at, starts = lines.keep(cfg.least)
                 if not len(at):
                     continue
                 n = lines.n[at]
-                k1, k2 = _keys(lines.h, starts)
-                row, sig = line_signatures(lines.h, lines.line, starts, n, shared.value, cfg)
-                order = np.argsort(row, kind="stable")
-                ends = np.cumsum(np.bincount(row, minlength=len(at)))
-                sigs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(sig[order].view(np.int64)))
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        part.column(1).take(pa.array(lines.text_of[at])),
-                        pa.array(lines.number[at].astype(np.int64)),
-                        pa.array(k1),
-                        pa.array(k2),
-                        pa.array(sketches(lines.h, np.repeat(np.arange(len(at)), n), n).view(np.int64)),
-                        sigs,
-                    ],
-                    names=["doc", "line", "k1", "k2", "sketch", "sigs"],
-                )
-                yield out.filter(pa.array(np.bincount(row, minlength=len(at)) > 0))
-
-    fields = [StructField(c, LongType()) for c in ("doc", "line", "k1", "k2", "sketch")]
-    return rows.mapInArrow(run, StructType([*fields, StructField("sigs", ArrayType(LongType()))]))
-
-
-def plausible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether set sizes and bitmaps allow the similarity. No pair that has it is refused."""
-    na, nb = (a >> U64(_BITS)).astype(np.int64), (b >> U64(_BITS)).astype(np.int64)
-    unequal = np.bitwise_count((a ^ b) & U64((1 << _BITS) - 1)).astype(np.int64)
-    sized = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * unequal <= (100 - percent) * (na + nb))
-    return sized | (na >= 65535) | (nb >= 65535)
-
-
-_ROW = ("sig", "doc", "line", "k1", "sketch")
-_FOUND = "kind int, sig long, doc long, line long, k1 long, sketch long, xdoc long, xline long, xk1 long"
-
-
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by signature and position. Kind 1: a line with the earliest plausible line among its
-    bucket's first HEAD. Kind 2: all lines of the buckets where a line may have more partners than that one.
-    Of an open bucket no more than its first HEAD rows are held."""
-
-    def emit(rows: dict[str, np.ndarray], at: np.ndarray, partner: np.ndarray | None) -> pa.RecordBatch:
-        kind = pa.array(np.full(len(at), 2 if partner is None else 1, np.int32))
-        own = [pa.array(rows[c][at]) for c in _ROW]
-        if partner is None:
-            other = [pa.nulls(len(at), pa.int64())] * 3
-        else:
-            other = [pa.array(rows[c][partner]) for c in ("doc", "line", "k1")]
-        return pa.RecordBatch.from_arrays([kind, *own, *other], names=[f.split()[0] for f in _FOUND.split(", ")])
-
-    def work(rows: dict[str, np.ndarray], done: int) -> Iterator[pa.RecordBatch]:
-        """done: so many first rows are the head of a large bucket and were dealt with before."""
-        sig = rows["sig"]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        start = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-        rank = np.arange(len(sig)) - start
-        sketch = rows["sketch"].view(np.uint64)
-        partner, several = np.full(len(sig), -1), rank >= HEAD
-        active = np.flatnonzero(rank > 0)
-        active = active[active >= done]
-        for j in range(HEAD):
-            active = active[rank[active] > j]
-            if not len(active):
-                break
-            hit = active[plausible(sketch[active], sketch[start[active] + j], percent)]
-            again = partner[hit] >= 0
-            several[hit[again]] = True
-            partner[hit[~again]] = start[hit[~again]] + j
-        found = np.flatnonzero(partner >= 0)
-        yield emit(rows, found, partner[found])
-        dense = np.bincount(start, weights=several, minlength=len(sig))[start] > 0
-        dense[:done] = False
-        yield emit(rows, np.flatnonzero(dense), None)
-
-    held: dict[str, np.ndarray] | None = None
-    done = 0
+                k1, _ = _keys(lines.h, starts)
+                doc = part.column(1).to_numpy()[lines.text_of[at]]
+                row, sig, pos = line_signatures(lines.h, lines.line, starts, n, classes, hot, cfg)
+                leave = np.zeros(len(at), bool)
+                for i in np.flatnonzero(np.isin(k1, many)):
+                    leave[i] = first[int(k1[i])] != (int(doc[i]), int(lines.number[at[i]]))
+                stay = ~leave[row]
+                sig, pos, row = sig[stay], pos[stay], row[stay]
+                out = np.empty(len(row), _SIGNED)
+                out["sig"], out["doc"], out["line"], out["key"] = sig.view(np.int64), doc[row], lines.number[at][row], k1[row].astype(np.int32)
+                low, high = sketches(lines.h, np.repeat(np.arange(len(at)), n), len(at))
+                out["low"], out["high"], out["n"], out["pos"] = low[row], high[row], np.minimum(n, 65535)[row], np.minimum(pos, 65535)
+                held.append(out)
+            if not held:
+                continue
+            every = np.concatenate(held)
+            part_of = (every["sig"].view(np.uint64) >> U64(32)).astype(np.int64) * parts >> 32
+            order = np.argsort(part_of, kind="stable")
+            ends = np.cumsum(np.bincount(part_of, minlength=parts))
+            every = every[order]
+            blobs = [(k, every[a:b].tobytes()) for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
+
+    return rows.mapInArrow(run, "part long, blob binary")
+
+
+def unequal_bits(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    return np.bitwise_count(a[1] ^ b[1]).astype(np.int64) + np.bitwise_count(a[2] ^ b[2])
+
+
+def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], bits: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two arrays of lines (n, low, high, position of the shared token) may be similar: by length, by unequal
+    bits, and by position, as they share at most what is before the token in both, it, and what is behind it in both.
+    No similar pair is refused; counts of 65,535 and more are cut off, so those pass."""
+    n = a[0] + b[0]
+    sized = (100 * np.minimum(a[0], b[0]) >= percent * np.maximum(a[0], b[0])) & ((100 + percent) * bits <= (100 - percent) * n)
+    shared = np.minimum(a[3], b[3]) + 1 + np.minimum(a[0] - a[3], b[0] - b[3]) - 1
+    sized &= (100 + percent) * shared >= percent * n
+    return sized | (a[0] == 65535) | (b[0] == 65535)
+
+
+_FOUND = "more boolean, sig long, doc long, line long, key long, xdoc long, xline long, xkey long, part long, blob binary"
+_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
+
+
+def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
+    """What one part's signatures say. Lines with up to three plausible lines among their bucket's first ``head``: the
+    earliest and those of fewest unequal bits; ``more`` tells whether there may be others (then xdoc can be null).
+    And one blob with all rows of the buckets that have such lines."""
+
+    def runs(*fields: str) -> np.ndarray:
+        new = np.ones(len(rows), bool)
+        new[1:] = np.logical_or.reduce([rows[f][1:] != rows[f][:-1] for f in fields])
+        return new
+
+    rows = rows[np.argsort(np.ascontiguousarray(rows["sig"]))]
+    new = runs("sig")
+    rows = rows[~(new & np.append(new[1:], True))]  # a signature of its own
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["key"], rows["sig"]))]
+    rows = rows[runs("sig", "key", "low", "high")]  # copies of a set
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["sig"]))]
+    if not len(rows):
+        return
+    start = np.maximum.accumulate(np.where(runs("sig"), np.arange(len(rows)), 0))
+    rank = np.arange(len(rows)) - start
+    marks = (rows["n"].astype(np.int64), *(np.ascontiguousarray(rows[f]).view(np.uint64) for f in ("low", "high")), rows["pos"].astype(np.int64))
+    hits = np.zeros(len(rows), np.int32)
+    first, best, next_best = (np.full(len(rows), -1) for _ in range(3))
+    least, next_least = (np.full(len(rows), 1 << 20) for _ in range(2))
+    active = np.flatnonzero(rank > 0)
+    for j in range(cfg.head):
+        active = active[rank[active] > j]
+        if not len(active):
+            break
+        at = start[active] + j
+        a, b = tuple(m[active] for m in marks), tuple(m[at] for m in marks)
+        bits = unequal_bits(a, b)
+        hit = plausible(a, b, bits, cfg.percent)
+        y, x, bits = active[hit], at[hit], bits[hit]
+        new = first[y] < 0
+        first[y[new]] = x[new]
+        hits[y] += 1
+        top = bits < least[y]
+        t, u = y[top], y[~top & (bits < next_least[y])]
+        next_best[t], next_least[t] = best[t], least[t]
+        best[t], least[t] = x[top], bits[top]
+        second = ~top & (bits < next_least[y])
+        next_best[u], next_least[u] = x[second], bits[second]
+    several = (hits > 3) | (rank >= cfg.head)
+    kept = [(np.flatnonzero(first >= 0), first)]
+    kept += [(np.flatnonzero((other >= 0) & (other != first)), other) for other in (best, next_best)]
+    y = np.concatenate([i for i, _ in kept] + [np.flatnonzero(several & (first < 0))])
+    x = np.concatenate([other[i] for i, other in kept] + [np.full(int((several & (first < 0)).sum()), -1)])
+    partner = [pa.array(rows[c][x].astype(np.int64), mask=x < 0) for c in ("doc", "line", "key")]
+    own = [pa.array(rows[c][y].astype(np.int64)) for c in ("sig", "doc", "line", "key")]
+    yield pa.RecordBatch.from_arrays([pa.array(several[y]), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
+    if several.any():
+        many = np.bincount(start, weights=several, minlength=len(rows))[start] > 0
+        none = [pa.nulls(1, pa.bool_()), *[pa.nulls(1, pa.int64())] * 7]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([part]), pa.array([rows[many].tobytes()], pa.binary())], names=_NAMES)
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch], cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
+    """Rows (part, blob) come sorted by part; a part is joined when its blobs are complete."""
+    held, of = [], None
     for b in batches:
-        if not b.num_rows:
-            continue
-        rows = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(_ROW)}
-        if held is not None:
-            rows = {c: np.concatenate([held[c], rows[c]]) for c in _ROW}
-        last = int(np.searchsorted(rows["sig"], rows["sig"][-1]))
-        size = len(rows["sig"]) - last
-        if size <= HEAD:
-            if last:
-                yield from work({c: v[:last] for c, v in rows.items()}, done)
-                done = 0
-            held = {c: v[last:] for c, v in rows.items()}
-        else:
-            yield from work(rows, done)
-            held, done = {c: v[last : last + HEAD] for c, v in rows.items()}, HEAD
-    if held is not None and len(held["sig"]) > done:
-        yield from work(held, done)
+        for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            if held and k != of:
+                yield from part_pairs(of, np.frombuffer(b"".join(held), _SIGNED), cfg)
+                held = []
+            of = k
+            held.append(blob.as_py())
+    if held:
+        yield from part_pairs(of, np.frombuffer(b"".join(held), _SIGNED), cfg)
 
 
 def _line_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, line, k1, tokens of the lines in ``wanted`` (doc, line, k1)."""
+    """doc, line, key, tokens of the lines in ``wanted`` (doc, line, key)."""
+    rows = split_by_keys(rows.select("doc", "text"), "doc", wanted.select("doc").distinct())[0]
     lines = rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     lines = lines.select("doc", F.col("line").cast("long").alias("line"), "words").withColumn("at", F.xxhash64("doc", "line"))
     near = split_by_keys(lines, "at", wanted.select(F.xxhash64("doc", "line").alias("at")))[0]
@@ -288,26 +342,128 @@ def _line_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(word_hashes((t or "").encode("utf-8"))[0]) for t in b.column(2).to_pylist()]
-            k1 = pa.array([int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64())
+            key = pa.array([int(s.sum(dtype=np.uint64).astype(np.int64).astype(np.int32)) for s in sets], pa.int64())
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), k1, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "line", "k1", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), key, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "line", "key", "tokens"])
 
-    fields = [StructField(c, LongType()) for c in ("doc", "line", "k1")]
+    fields = [StructField(c, LongType()) for c in ("doc", "line", "key")]
     sets = near.select("doc", "line", "words").mapInArrow(run, StructType([*fields, StructField("tokens", ArrayType(LongType()))]))
-    return sets.join(wanted, ["doc", "line", "k1"], "left_semi").dropDuplicates(["doc", "line", "k1"])
+    return sets.join(wanted, ["doc", "line", "key"], "left_semi").dropDuplicates(["doc", "line", "key"])
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
-    """The lines (doc, line, k1) of pairs whose full token sets are similar enough."""
+    """The lines (doc, line, key) of pairs whose full token sets are similar enough."""
     pairs = materialise(pairs)
-    wanted = pairs.select("doc", "line", "k1").unionAll(pairs.selectExpr("xdoc", "xline", "xk1")).distinct()
+    wanted = pairs.select("doc", "line", "key").unionAll(pairs.selectExpr("xdoc", "xline", "xkey")).distinct()
     sets = materialise(_line_tokens(rows, wanted))
-    other = sets.selectExpr("doc as xdoc", "line as xline", "k1 as xk1", "tokens as xtokens")
-    both = pairs.join(sets, ["doc", "line", "k1"]).join(other, ["xdoc", "xline", "xk1"])
+    other = sets.selectExpr("doc as xdoc", "line as xline", "key as xkey", "tokens as xtokens")
+    both = pairs.join(sets, ["doc", "line", "key"]).join(other, ["xdoc", "xline", "xkey"])
     shared = F.size(F.array_intersect("tokens", "xtokens"))
     both = both.filter(100 * shared >= cfg.percent * (F.size("tokens") + F.size("xtokens") - shared))
-    return both.select("doc", "line", "k1").distinct()
+    return both.select("doc", "line", "key").distinct()
+
+
+_REST = "sig long, doc long, line long, key long, xdoc long, xline long, xkey long, open boolean"
+
+
+def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
+    """Of a part's rows and its open lines (sig, doc, line, key): each open line with its plausible earlier lines of a
+    bucket; or, where these are more than four to a row, the bucket's rows and whether they are open (xdoc is null)."""
+    lines = lines[np.argsort(lines["sig"], kind="stable")]
+    names = [f.split()[0] for f in _REST.split(", ")]
+    sigs, first = np.unique(lines["sig"], return_index=True)
+    ys, xs, dense, flags = [], [], [], []
+    for sig, asked in zip(sigs, np.split(lines, first[1:])):
+        lo, hi = np.searchsorted(rows["sig"], [sig, sig + 1]) if sig < np.iinfo(np.int64).max else (np.searchsorted(rows["sig"], sig), len(rows))
+        bucket = rows[lo:hi]
+        known = {tuple(x) for x in asked[["doc", "line", "key"]].tolist()}
+        is_open = np.array([tuple(x) in known for x in bucket[["doc", "line", "key"]].tolist()], bool)
+        marks = (bucket["n"].astype(np.int64), *(np.ascontiguousarray(bucket[f]).view(np.uint64) for f in ("low", "high")), bucket["pos"].astype(np.int64))
+        found = []
+        for y in np.flatnonzero(is_open):
+            a, b = tuple(m[y : y + 1] for m in marks), tuple(m[:y] for m in marks)
+            found.append((y, np.flatnonzero(plausible(a, b, unequal_bits(a, b), cfg.percent))))
+            if sum(len(x) for _, x in found) > 4 * len(bucket):
+                dense.append(bucket)
+                flags.append(is_open)
+                break
+        else:
+            ys += [bucket[np.full(len(x), y)] for y, x in found]
+            xs += [bucket[x] for _, x in found]
+
+    def columns(part: np.ndarray, fields: tuple[str, ...]) -> list[pa.Array]:
+        return [pa.array(part[f].astype(np.int64)) for f in fields]
+
+    if ys:
+        y, x = np.concatenate(ys), np.concatenate(xs)
+        yield pa.RecordBatch.from_arrays([*columns(y, ("sig", "doc", "line", "key")), *columns(x, ("doc", "line", "key")), pa.nulls(len(y), pa.bool_())], names=names)
+    if dense:
+        d = np.concatenate(dense)
+        yield pa.RecordBatch.from_arrays([*columns(d, ("sig", "doc", "line", "key")), *[pa.nulls(len(d), pa.int64())] * 3, pa.array(np.concatenate(flags))], names=names)
+
+
+def _rest(blobs: DataFrame, open_lines: DataFrame, parts: int, cfg: LineDedupConfig) -> DataFrame:
+    """open_pairs() of every part that has open lines (sig, doc, line, key)."""
+    part = F.floor(F.shiftrightunsigned("sig", 32) * F.lit(parts) / F.lit(1 << 32)).cast("long")
+    asked = open_lines.groupBy(part.alias("part")).agg(F.collect_list(F.struct("sig", "doc", "line", "key")).alias("asked"))
+    kind = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("key", "<i8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob, asked in zip(b.column(0), b.column(1)):
+                lines = np.array([(x["sig"], x["doc"], x["line"], x["key"]) for x in asked.as_py()], kind)
+                yield from open_pairs(np.frombuffer(blob.as_py(), _SIGNED), lines, cfg)
+
+    return blobs.join(asked, "part").select("blob", "asked").mapInArrow(run, _REST)
+
+
+def _verified_dense(dense: DataFrame, rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
+    """The open lines (doc, line, key) of buckets (sig, doc, line, key, open) that have a similar earlier line there.
+
+    A bucket is dealt into blocks of lines; its open lines are
+    sent to each block, and a task holds a block's token sets and streams the open lines. No pair leaves a task.
+    """
+    place = ["doc", "line", "key"]
+    size = dense.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("blocks"))
+    dealt = materialise(dense.join(size, "sig"))
+    sets = materialise(_line_tokens(rows, dealt.select(*place).distinct()))
+    x = dealt.select("sig", F.pmod(F.xxhash64(*place), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), *place)
+    y = dealt.filter("open").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), *place)
+    sent = x.unionAll(y).join(sets, place).select("sig", "block", "role", *place, "tokens")
+    sent = sent.repartition("sig", "block").sortWithinPartitions("sig", "block", "role")
+    percent = cfg.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, places, index = None, [], [], None
+        for b in batches:
+            tokens = b.column(6)
+            offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
+            out = []
+            for k, (sig, block, role, *own) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)))):
+                if of != (sig, block):
+                    of, held, places, index = (sig, block), [], [], None
+                mine = flat[offsets[k] : offsets[k + 1]]
+                if role == 0:
+                    held.append(mine)
+                    places.append(tuple(own))
+                    continue
+                if index is None:  # the block's sets as one sorted list of (token, line)
+                    size = np.array([len(t) for t in held])
+                    every, line = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+                    order = np.argsort(every, kind="stable")
+                    index = (every[order], line[order], size)
+                every, line, size = index
+                lo, hi = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+                n = hi - lo
+                both = np.bincount(line[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(held))
+                similar = np.flatnonzero(100 * both >= percent * (size + len(mine) - both))
+                if any(places[i] < tuple(own) for i in similar):
+                    out.append(own)
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=place)
+
+    return sent.mapInArrow(run, "doc long, line long, key long").distinct()
 
 
 def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> DataFrame:
@@ -323,34 +479,31 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
         "text",
     ).filter("text is not null")
-    seen = materialise(_occurrences(rows, cfg))
-    cells = token_cells(rows, cfg.least)
-
-    # equal sets are one class, at its first place
-    signed = _signed(rows, cells, cfg).groupBy("k1", "k2").agg(
-        F.min(F.struct("doc", "line")).alias("p"), F.min_by(F.struct("sketch", "sigs"), F.struct("doc", "line")).alias("m")
-    )
-    buckets = signed.select(F.explode("m.sigs").alias("sig"), "p.doc", "p.line", "k1", "m.sketch")
-    buckets = buckets.repartition("sig").sortWithinPartitions(*_ROW[:4])
-    percent = cfg.percent
-    found = materialise(buckets.mapInArrow(lambda it: _bucket_pairs(it, percent), _FOUND))
-    names = ["doc", "line", "k1", "xdoc", "xline", "xk1"]
-    gone = materialise(_verified(found.filter("kind = 1").select(*names).distinct(), rows, cfg))
-
-    # what the first partner didn't settle, against all earlier lines of the dense buckets
-    dense = found.filter("kind = 2").select(*_ROW)
-    open_rows = dense.join(gone, ["doc", "line", "k1"], "left_anti")
-    x = dense.selectExpr("sig", "doc as xdoc", "line as xline", "k1 as xk1", "sketch as xsketch")
-    low = (1 << _BITS) - 1
-    na, nb = (F.shiftrightunsigned(c, _BITS) for c in ("sketch", "xsketch"))
-    unequal = F.bit_count(F.col("sketch").bitwiseXOR(F.col("xsketch")).bitwiseAND(F.lit(low)))
-    near = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * unequal <= (100 - percent) * (na + nb))
-    near = near | (na >= 65535) | (nb >= 65535)
-    more = open_rows.join(x, "sig").filter((F.struct("xdoc", "xline", "xk1") < F.struct("doc", "line", "k1")) & near)
-    gone = gone.unionAll(_verified(more.select(*names).distinct(), rows, cfg)).distinct()
+    marked = materialise(_occurrences(rows, cfg))
+    seen = marked.filter("cell is null").select("rid", "doc", "line", "k1", "k2")
+    classes, mean = token_classes(marked.filter("cell is not null").select("cell", "part"))
+    hot = int(_class(np.array([max(cfg.hot, 4 * mean)]))[0])
+    total = seen.count()
+    many = seen.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("p"))
+    many = many.filter(F.col("n") > max(16, total // HOT_SHARE)).collect()  # fewer than HOT_SHARE sets
+    copied = {r["k1"]: (r["p"]["doc"], r["p"]["line"]) for r in many}
+
+    parts = max(16, 12 * total // PART_ROWS)
+    signed = _signed(rows, classes, hot, parts, copied, cfg).repartition(parts, "part").sortWithinPartitions("part")
+    found = materialise(signed.mapInArrow(lambda it: _part_rows(it, cfg), _FOUND))
+    names = ["doc", "line", "key", "xdoc", "xline", "xkey"]
+    gone = materialise(_verified(found.filter("xdoc is not null").select(*names).distinct(), rows, cfg))
+
+    # what the first partners didn't settle, against all earlier lines of the buckets
+    left = found.filter("more").select("sig", "doc", "line", "key").join(gone, ["doc", "line", "key"], "left_anti")
+    rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), materialise(left), parts, cfg))
+    few = _verified(rest.filter("xdoc is not null").select(*names).distinct(), rows, cfg)
+    dense = rest.filter("xdoc is null").select("sig", "doc", "line", "key", "open")
+    gone = gone.unionAll(few).unionAll(_verified_dense(dense, rows, cfg)).distinct()
 
     first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid")).alias("p")).select("k1", "k2", "p.*")
-    first = first.join(gone.withColumn("gone", F.lit(True)), ["doc", "line", "k1"], "left")
+    first = first.withColumn("key", F.shiftright(F.shiftleft("k1", 32), 32))
+    first = first.join(gone.withColumn("gone", F.lit(True)), ["doc", "line", "key"], "left")
     first = first.selectExpr("k1", "k2", "doc as fdoc", "line as fline", "rid as frid", "coalesce(gone, false) as gone")
     out = seen.join(first, ["k1", "k2"]).filter("gone or doc <> fdoc or line <> fline or rid <> frid")
     return out.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("removed"))

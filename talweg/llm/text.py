@@ -13,6 +13,7 @@ _rng = np.random.default_rng(20240117)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BYTE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = [np.empty(0, U64), np.empty(0, U64)]
@@ -49,7 +50,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, U64), start, end
     power, inverse = _power(len(b))
     total = np.zeros(len(b) + 1, U64)
-    np.cumsum(_BYTE[_LOWER[b]] * power, out=total[1:])
+    np.cumsum(_BYTE[b] * power, out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64)), start, end
 
 

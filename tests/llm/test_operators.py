@@ -33,9 +33,9 @@ def frame(spark, rows):
 # 1
 
 
-def check_lines(spark, rows):
+def check_lines(spark, rows, cfg=linededup.LineDedupConfig()):
     want = removed_lines(rows)
-    out = linededup.dedup_lines(frame(spark, rows), counts=True).collect()
+    out = linededup.dedup_lines(frame(spark, rows), cfg, counts=True).collect()
     text = dict(rows)
     for r in out:
         lines = (text[r.doc_id] or "").split("\n")
@@ -47,13 +47,10 @@ def test_lines_of_documents(spark, texts):
     check_lines(spark, list(texts.items()))
 
 
-def test_lines_with_many_variants(spark, monkeypatch):
-    # small limits, so that buckets overflow their head, their partners and their blocks
-    monkeypatch.setattr(linededup, "HEAD", 4)
-    monkeypatch.setattr(linededup, "PARTNERS", 1)
-    monkeypatch.setattr(linededup, "BLOCK", 8)
+def test_lines_with_many_variants(spark):
+    # small limits, so that buckets overflow their head and their blocks
     rows = noisy_copies(1, 4, 40, 9, 30) + [(20_000 + i, t) for i, t in noisy_copies(2, 1, 30, 2, 700)]
-    check_lines(spark, rows)
+    check_lines(spark, rows, linededup.LineDedupConfig(head=2, block=8))
 
 
 def test_frequent_tokens_count_in_pairs(spark):
