@@ -21,7 +21,9 @@ COUNT_ROW = 1 << 14
 #: A set in more than this share of all lines is one of at most 10,000; its later copies are left out early.
 HOT_SHARE = 10_000
 #: Signatures in one part of the join.
-PART_ROWS = 1 << 19
+PART_ROWS = 1 << 18
+#: Signatures that a task holds before it deals them out.
+HELD_ROWS = 1 << 18
 #: Bytes of text that a task works on at a time.
 GROUP_BYTES = 1 << 20
 #: Lines of more tokens share single tokens only; lines from this down to a fifth less do both.
@@ -137,11 +139,13 @@ def sketches(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def _groups(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    texts = [(t or "").encode("utf-8") for t in b.column(column).to_pylist()]
-    start = 0
-    for group in chunks(texts, lambda t: len(t) + 1, GROUP_BYTES):
-        yield b.slice(start, len(group)), group
-        start += len(group)
+    """Runs of rows with their texts; only a few hundred texts of a batch are Python objects at a time."""
+    for top in range(0, b.num_rows, 256):
+        texts = [(t or "").encode("utf-8") for t in b.column(column).slice(top, 256).to_pylist()]
+        start = top
+        for group in chunks(texts, lambda t: len(t) + 1, GROUP_BYTES):
+            yield b.slice(start, len(group)), group
+            start += len(group)
 
 
 def _class(counts: np.ndarray) -> np.ndarray:
@@ -206,10 +210,18 @@ def _signed(rows: DataFrame, classes: np.ndarray, hot: int, parts: int, copied:
     """
     shared = rows.sparkSession.sparkContext.broadcast((classes, np.array(sorted(copied), np.int64), copied))
 
+    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(held)
+        part_of = (every["sig"].view(np.uint64) >> U64(32)).astype(np.int64) * parts >> 32
+        every = every[np.argsort(part_of, kind="stable")]
+        ends = np.cumsum(np.bincount(part_of, minlength=parts))
+        blobs = [(k, every[a:b].tobytes()) for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, many, first = shared.value
+        held: list[np.ndarray] = []
         for b in batches:
-            held = []
             for part, texts in _groups(b, 2):
                 lines = Lines(texts)
                 at, starts = lines.keep(cfg.least)
@@ -229,32 +241,31 @@ def _signed(rows: DataFrame, classes: np.ndarray, hot: int, parts: int, copied:
                 low, high = sketches(lines.h, np.repeat(np.arange(len(at)), n), len(at))
                 out["low"], out["high"], out["n"], out["pos"] = low[row], high[row], np.minimum(n, 65535)[row], np.minimum(pos, 65535)
                 held.append(out)
-            if not held:
-                continue
-            every = np.concatenate(held)
-            part_of = (every["sig"].view(np.uint64) >> U64(32)).astype(np.int64) * parts >> 32
-            order = np.argsort(part_of, kind="stable")
-            ends = np.cumsum(np.bincount(part_of, minlength=parts))
-            every = every[order]
-            blobs = [(k, every[a:b].tobytes()) for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
+                if sum(map(len, held)) > HELD_ROWS:
+                    yield deal(held)
+                    held = []
+        if held:
+            yield deal(held)
 
     return rows.mapInArrow(run, "part long, blob binary")
 
 
-def unequal_bits(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
-    return np.bitwise_count(a[1] ^ b[1]).astype(np.int64) + np.bitwise_count(a[2] ^ b[2])
+def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices at which two arrays of lines (n, low, high, position of the shared token) may be similar, and their
+    unequal bits: by length, by position (they share at most what is before the token in both, it, and what is behind
+    it in both), then by bits. No similar pair is refused; counts of 65,535 and more are cut off, so those pass."""
+    n = a[0] + b[0]
+    ok = 100 * np.minimum(a[0], b[0]) >= percent * np.maximum(a[0], b[0])
+    ok &= (100 + percent) * (np.minimum(a[3], b[3]) + np.minimum(a[0] - a[3], b[0] - b[3])) >= percent * n
+    cut_off = (a[0] == 65535) | (b[0] == 65535)
+    at = np.flatnonzero(ok | cut_off)
 
+    def pick(x: np.ndarray) -> np.ndarray:
+        return x[at] if len(x) == len(n) else x
 
-def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], bits: np.ndarray, percent: int) -> np.ndarray:
-    """Whether two arrays of lines (n, low, high, position of the shared token) may be similar: by length, by unequal
-    bits, and by position, as they share at most what is before the token in both, it, and what is behind it in both.
-    No similar pair is refused; counts of 65,535 and more are cut off, so those pass."""
-    n = a[0] + b[0]
-    sized = (100 * np.minimum(a[0], b[0]) >= percent * np.maximum(a[0], b[0])) & ((100 + percent) * bits <= (100 - percent) * n)
-    shared = np.minimum(a[3], b[3]) + 1 + np.minimum(a[0] - a[3], b[0] - b[3]) - 1
-    sized &= (100 + percent) * shared >= percent * n
-    return sized | (a[0] == 65535) | (b[0] == 65535)
+    bits = np.bitwise_count(pick(a[1]) ^ pick(b[1])).astype(np.int64) + np.bitwise_count(pick(a[2]) ^ pick(b[2]))
+    near = ((100 + percent) * bits <= (100 - percent) * n[at]) | cut_off[at]
+    return at[near], bits[near]
 
 
 _FOUND = "more boolean, sig long, doc long, line long, key long, xdoc long, xline long, xkey long, part long, blob binary"
@@ -292,9 +303,8 @@ def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa
             break
         at = start[active] + j
         a, b = tuple(m[active] for m in marks), tuple(m[at] for m in marks)
-        bits = unequal_bits(a, b)
-        hit = plausible(a, b, bits, cfg.percent)
-        y, x, bits = active[hit], at[hit], bits[hit]
+        hit, bits = plausible(a, b, cfg.percent)
+        y, x = active[hit], at[hit]
         new = first[y] < 0
         first[y[new]] = x[new]
         hits[y] += 1
@@ -369,7 +379,7 @@ _REST = "sig long, doc long, line long, key long, xdoc long, xline long, xkey lo
 
 def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
     """Of a part's rows and its open lines (sig, doc, line, key): each open line with its plausible earlier lines of a
-    bucket; or, where these are more than four to a row, the bucket's rows and whether they are open (xdoc is null)."""
+    bucket; or, where these are more than the bucket's rows, the rows and whether they are open (xdoc is null)."""
     lines = lines[np.argsort(lines["sig"], kind="stable")]
     names = [f.split()[0] for f in _REST.split(", ")]
     sigs, first = np.unique(lines["sig"], return_index=True)
@@ -383,8 +393,8 @@ def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Ite
         found = []
         for y in np.flatnonzero(is_open):
             a, b = tuple(m[y : y + 1] for m in marks), tuple(m[:y] for m in marks)
-            found.append((y, np.flatnonzero(plausible(a, b, unequal_bits(a, b), cfg.percent))))
-            if sum(len(x) for _, x in found) > 4 * len(bucket):
+            found.append((y, plausible(a, b, cfg.percent)[0]))
+            if sum(len(x) for _, x in found) > len(bucket):
                 dense.append(bucket)
                 flags.append(is_open)
                 break
@@ -499,13 +509,18 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
     rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), materialise(left), parts, cfg))
     few = _verified(rest.filter("xdoc is not null").select(*names).distinct(), rows, cfg)
     dense = rest.filter("xdoc is null").select("sig", "doc", "line", "key", "open")
-    gone = gone.unionAll(few).unionAll(_verified_dense(dense, rows, cfg)).distinct()
-
-    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid")).alias("p")).select("k1", "k2", "p.*")
-    first = first.withColumn("key", F.shiftright(F.shiftleft("k1", 32), 32))
-    first = first.join(gone.withColumn("gone", F.lit(True)), ["doc", "line", "key"], "left")
-    first = first.selectExpr("k1", "k2", "doc as fdoc", "line as fline", "rid as frid", "coalesce(gone, false) as gone")
-    out = seen.join(first, ["k1", "k2"]).filter("gone or doc <> fdoc or line <> fline or rid <> frid")
+    gone = materialise(gone.unionAll(few).unionAll(_verified_dense(dense, rows, cfg)).distinct())
+
+    # sets that have a line to remove: those of several lines, and those that are gone
+    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid")).alias("p"), F.count(F.lit(1)).alias("n"))
+    first = first.select("k1", "k2", "p.*", "n", F.shiftright(F.shiftleft("k1", 32), 32).alias("key"))
+    first = first.withColumn("place", F.xxhash64("doc", "line", "key"))
+    maybe, stays = split_by_keys(first, "place", gone.select(F.xxhash64("doc", "line", "key").alias("place")))
+    maybe = maybe.join(gone.withColumn("gone", F.lit(True)), ["doc", "line", "key"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    sets = maybe.unionByName(stays.withColumn("gone", F.lit(False))).filter("gone or n > 1")
+    sets = materialise(sets.selectExpr("k1", "k2", "doc as fdoc", "line as fline", "rid as frid", "gone"))
+    out = split_by_keys(seen, "k1", sets.select("k1"))[0].join(sets, ["k1", "k2"])
+    out = out.filter("gone or doc <> fdoc or line <> fline or rid <> frid")
     return out.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
