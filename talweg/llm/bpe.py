@@ -17,6 +17,8 @@ from .text import chunks
 
 #: Characters of text that a task works on at a time (a longer text comes alone).
 GROUP_CHARS = 1 << 22
+#: Rows of a batch whose texts are Python objects at a time.
+GROUP_ROWS = 1200
 #: Bytes of distinct pieces in one recursive query.
 QUERY_BYTES = 1 << 19
 #: Longer pieces go through a heap instead of the recursive query, whose rows add up over the steps.
@@ -206,12 +208,14 @@ def _apply(df: DataFrame, ranks_path: str, pattern: str, source: str, outs: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(shared.value, pattern)
         for b in batches:
-            values = [t or "" for t in b.column(at).to_pylist()] if text else _ids_of(b.column(at))
-            start = 0
-            for group in chunks(values, lambda v: len(v) + 1, GROUP_CHARS):
-                part = b.slice(start, len(group))
-                start += len(group)
-                yield pa.RecordBatch.from_arrays([*part.columns, *work(codec, group)], names=[*kept, *names])
+            for top in range(0, b.num_rows, GROUP_ROWS):
+                column = b.column(at).slice(top, GROUP_ROWS)
+                values = [t or "" for t in column.to_pylist()] if text else _ids_of(column)
+                start = top
+                for group in chunks(values, lambda v: len(v) + 1, GROUP_CHARS):
+                    part = b.slice(start, len(group))
+                    start += len(group)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *work(codec, group)], names=[*kept, *names])
 
     return src.mapInArrow(run, StructType([*src.schema.fields, *outs]))
 

@@ -196,10 +196,11 @@ def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            scores = [text_scores(model, run) for run in chunks(texts, lambda t: len(t) + 32, 1 << 19)]
-            column = pa.array(np.concatenate(scores) if scores else np.empty(0))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*kept, out])
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                scores = [text_scores(model, run) for run in chunks(texts, lambda t: len(t) + 32, 1 << 19)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores))], names=[*kept, out])
 
     return src.mapInArrow(run, StructType([*src.schema.fields, StructField(out, DoubleType())]))
 
