@@ -274,7 +274,8 @@ _NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
 def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
     """What one part's signatures say. Lines with up to three plausible lines among their bucket's first ``head``: the
-    earliest and those of fewest unequal bits; ``more`` tells whether there may be others (then xdoc can be null).
+    earliest and the two of fewest unequal bits, often two lines in all; ``more`` tells whether there may be others
+    than these (then xdoc can be null).
     And one blob with all rows of the buckets that have such lines."""
 
     def runs(*fields: str) -> np.ndarray:
@@ -314,9 +315,9 @@ def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa
         best[t], least[t] = x[top], bits[top]
         second = ~top & (bits < next_least[y])
         next_best[u], next_least[u] = x[second], bits[second]
-    several = (hits > 3) | (rank >= cfg.head)
     kept = [(np.flatnonzero(first >= 0), first)]
     kept += [(np.flatnonzero((other >= 0) & (other != first)), other) for other in (best, next_best)]
+    several = (hits > sum(np.bincount(i, minlength=len(rows)) for i, _ in kept)) | (rank >= cfg.head)
     y = np.concatenate([i for i, _ in kept] + [np.flatnonzero(several & (first < 0))])
     x = np.concatenate([other[i] for i, other in kept] + [np.full(int((several & (first < 0)).sum()), -1)])
     partner = [pa.array(rows[c][x].astype(np.int64), mask=x < 0) for c in ("doc", "line", "key")]

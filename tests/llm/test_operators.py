@@ -61,6 +61,21 @@ def test_frequent_tokens_count_in_pairs(spark):
     assert {r.doc_id for r in out if r.n_removed} == {i for i, k in want.items() if k}
 
 
+def test_a_third_plausible_line_is_not_lost(spark):
+    # a, b, c and d share eight tokens; only c and d are similar, but a and b have as few unequal bits to d as c has
+    from talweg.llm.text import word_hashes
+
+    bit = {w: int(word_hashes(w.encode())[0][0] % np.uint64(128)) for w in (f"t{k}" for k in range(4000))}
+    common = [w for w in bit if bit[w] == bit["t0"]][:3]  # d's, a's and b's, one bit for all
+    others = {v: w for w, v in bit.items() if v != bit["t0"]}
+    core, rare, rest = (list(others.values())[i:j] for i, j in ((0, 8), (8, 12), (12, 100)))
+    lines = [[*core, common[1], rare[0]], [*core, common[2], rare[1]], [*core, common[0], rare[2]], [*core, common[0], rare[3]]]
+    lines += [[*common, *rest[4 * k : 4 * k + 4]] for k in range(10)]  # so the common tokens are in no prefix
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    assert removed_lines(rows) == {3: {0}}
+    check_lines(spark, rows)
+
+
 # 2
 
 
