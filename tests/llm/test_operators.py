@@ -96,6 +96,25 @@ def test_recordings_align_when_shifted_and_noisy(spark):
     assert out[3].n_prints == 0 and out[4].n_prints == 0 and out[2].n_matches is None
 
 
+def test_alignments_are_those_of_all_offsets(spark):
+    cfg = audio.AudioConfig(block=7)
+    rng = np.random.default_rng(4)
+    prints = [rng.integers(-(1 << 31), 1 << 31, int(n), dtype=np.int64).astype(np.int32) for n in rng.integers(0, 90, 24)]
+    for k in range(12, 24):  # shifted, a fifth of the bits flipped: hardly an integer is left whole
+        base = prints[k - 12][(k % 5) * 3 :]
+        flips = np.packbits(rng.random((len(base), 32)) < 0.2, axis=1).view(np.int32).ravel()
+        prints[k] = base ^ flips
+    want = {}
+    for q in range(12):
+        for m in (x for x in range(24) if x != q):
+            every = [(wrong, -n, o) for o in range(-90, 91) for n, wrong in [audio.align(prints[q], prints[m], o)] if n >= cfg.least_overlap and wrong <= cfg.most_errors]
+            if every:
+                want[q, m] = min(every)
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(prints)], "id long, prints array<int>")
+    found = audio.search(table, table.filter("id < 12"), cfg).collect()
+    assert len(want) > 5 and {(r.query, r.match): (r.bit_error, -r.overlap, r.offset) for r in found} == want
+
+
 def test_fingerprint_boxes_match_plain_sums():
     rng = np.random.default_rng(1)
     c = rng.random((40, 12))
