@@ -282,8 +282,8 @@ _DEEP = "deep AS MATERIALIZED (SELECT src FROM paths ORDER BY hops DESC, src LIM
 @query(_sql("SELECT p.hops::BIGINT AS step, p.node FROM paths p, deep WHERE p.src = deep.src", EDGES, SFD, PATHS, _DEEP))
 def trace_flow_path(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     sfd = cut(flow.steepest(nodes, spec))
-    far = to_root(sfd).orderBy(F.col("hops").desc(), "node").first()["node"]
-    return A.flow_path(sfd, far).select(F.col("step").cast("long").alias("step"), "node")
+    far = to_root(sfd).orderBy(F.col("hops").desc(), "node").first()
+    return A.flow_path(sfd, far["node"], far["hops"]).select(F.col("step").cast("long").alias("step"), "node")
 
 
 @query(_sql("SELECT p.node FROM paths p, deep WHERE p.src = deep.src AND p.node <> deep.src", EDGES, SFD, PATHS, _DEEP))

@@ -114,3 +114,11 @@ def test_entry(spark):
 def test_numbers_of_nodes_match_the_grid(spark):
     n, spec = grids.events_surface(spark, SF)
     assert spec.size == n.count() == np.int64(1000)
+
+
+def test_the_traced_path_has_no_limit_of_its_own(nodes, monkeypatch):
+    from talweg.plans.queries import to_root, trace_flow_path
+
+    monkeypatch.setattr(A.flow_path, "__defaults__", (1,))  # instead of a path of over 1,000 steps
+    longest = to_root(flow.steepest(nodes, SPEC)).agg(F.max("hops")).first()[0]
+    assert longest > 1 and trace_flow_path(nodes, SPEC).agg(F.max("step")).first()[0] == longest
