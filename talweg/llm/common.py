@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut as materialise
+from ..scratch import discard
 
-__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "key_bucket", "materialise", "split_by_keys", "table"]
+__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "discard", "key_bucket", "materialise", "release", "split_by_keys", "table"]
 
 #: White space of the corpus contracts: the complement is a word character.
 SPACE = r"\x20\x09-\x0D"
@@ -22,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: Python workers stay for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def key_bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS))
 
@@ -32,12 +47,12 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
     A broadcast of at most KEY_BUCKETS bucket numbers decides, so the rows of the second part need
     no shuffle. Where the buckets are saturated every row is in the first part: slower, still right.
     """
-    buckets = F.broadcast(keys.select(key_bucket(F.col(keys.columns[0])).alias("_kb")).distinct())
-    tagged = df.withColumn("_kb", F.coalesce(key_bucket(F.col(key)), F.lit(-1)))
-    return (
-        tagged.join(buckets, "_kb", "left_semi").drop("_kb"),
-        tagged.join(buckets, "_kb", "left_anti").drop("_kb"),
-    )
+    name = "_kb"
+    while name in df.columns:
+        name += "_"
+    buckets = F.broadcast(keys.select(key_bucket(F.col(keys.columns[0])).alias(name)).distinct())
+    tagged = df.withColumn(name, F.coalesce(key_bucket(F.col(key)), F.lit(-1)))
+    return tagged.join(buckets, name, "left_semi").drop(name), tagged.join(buckets, name, "left_anti").drop(name)
 
 
 def bucket_bits(rows: int) -> int:

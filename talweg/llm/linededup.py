@@ -7,25 +7,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import materialise, split_by_keys
+from .common import discard, materialise, release, split_by_keys
 from .text import U64, chunks, mix, word_hashes
 
-#: Cells of the table of token counts: its size is fixed, so it can be sent to every task.
-COUNT_CELLS = 1 << 23
-#: Cells of that table in one row of its partial sums.
-COUNT_ROW = 1 << 14
-#: A set in more than this share of all lines is one of at most 10,000; its later copies are left out early.
-HOT_SHARE = 10_000
+#: Cells of the table of token classes: its size is fixed, so it can be sent to every task.
+CELLS = 1 << 24
+#: Cells of that table in one of its rows.
+CELL_ROW = 1 << 14
+#: Tokens whose classes are told apart in that table, at most; the other tokens that occur twice share one class.
+FREQUENT = 1 << 20
+#: Different tokens that a task counts before it passes the counts on.
+COUNTED = 1 << 20
+#: A set in more than this share of all lines is one of fewer than so many; its later copies are left out early.
+HOT_SHARE = 1 << 16
 #: Signatures in one part of the join.
 PART_ROWS = 1 << 18
 #: Signatures that a task holds before it deals them out.
 HELD_ROWS = 1 << 18
 #: Bytes of text that a task works on at a time.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: Lines of more tokens share single tokens only; lines from this down to a fifth less do both.
 LONG_LINE = 512
 #: Bits of the parity bitmap of a line's tokens.
@@ -37,14 +41,13 @@ _SIGNED = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("low", "<i8"), ("high", "<i
 @dataclass(frozen=True)
 class LineDedupConfig:
     """A line of at least ``least`` distinct tokens whose set has ``percent`` of Jaccard similarity or more with an
-    earlier line's set is removed. A token in more lines than ``hot`` (or than four times the mean count of a
-    cell, if that is more) only counts with a second one, so that buckets stay small. In the first round a line
-    is compared with the first ``head`` lines of its buckets, which should be more than ``hot``; a task of the
-    second round holds ``block`` lines. Neither changes a result.
+    earlier line's set is removed. A token in more lines than ``hot`` only counts with a second one, so that buckets
+    stay small. In the first round a line is compared with the first ``head`` lines of its buckets, which should be
+    more than ``hot``; a task of the second round holds ``block`` lines. None of these three changes a result.
     """
 
     percent: int = 80
-    least: int = 5
+    least: int = 1
     hot: int = 512
     head: int = 1024
     block: int = 4096
@@ -95,32 +98,34 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def line_signatures(h: np.ndarray, line: np.ndarray, starts: np.ndarray, n: np.ndarray, cells: np.ndarray, hot: int, cfg: LineDedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_signatures(h: np.ndarray, line: np.ndarray, starts: np.ndarray, n: np.ndarray, cells: np.ndarray, hot: int, rare: bool, cfg: LineDedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of lines (index, signature, position of its first token): similar lines share one.
 
-    Tokens are ordered by rarity (the class of the count of their cell), ties by hash. The rarest token that two similar lines share is in the prefix
-    of both, and the second one in both prefixes lengthened by one token. So a rare token is a signature by
-    itself; a frequent one is a signature with each token behind it in the lengthened prefix. A token of a
-    single line is none.
+    Tokens are ordered by rarity (the class of their cell), ties by hash. The rarest token that two similar lines
+    share is in the prefix of both, and the second one in both prefixes lengthened by one token. So a rare token is a
+    signature by itself; one of a class above ``hot`` (and, without ``rare``, one of the shared class) is a signature
+    with each token behind it in the lengthened prefix. A token of a single line is none. Sets of fewer tokens than
+    can differ and be similar have no signature: only equal sets are similar to them.
     """
-    cell = cells[(h & U64(COUNT_CELLS - 1)).astype(np.int64)]
+    cell = cells[(h & U64(CELLS - 1)).astype(np.int64)]
     order = _by_line(line, cell.astype(np.uint64) << U64(36) | h >> U64(28), 44)
     h, cell = h[order], cell[order]
     row = np.repeat(np.arange(len(starts)), n)
     pos = np.arange(len(h)) - starts[row]
     first = prefix_length(n, cfg.percent)
     second = np.minimum(n, first + 1)
-    inside = pos < first[row]
+    inside = (pos < first[row]) & (cell > 0) & ((100 - cfg.percent) * (n[row] + 1) >= 100)
+    alone = (cell <= hot) & (rare | (cell > 1))
     rows, sigs, places = [], [], []
-    single = np.flatnonzero(inside & (cell > 1) & (cell <= hot) & (n[row] <= LONG_LINE * 5 // 4))
+    single = np.flatnonzero(inside & alone & (n[row] <= LONG_LINE * 5 // 4))
     rows.append(row[single])
     sigs.append(mix(h[single]))
     places.append(pos[single])
-    alone = np.flatnonzero(inside & (cell > 1) & (n[row] > LONG_LINE * 4 // 5 - 1))
-    rows.append(row[alone])
-    sigs.append(mix(h[alone] ^ U64(0x77777777)))
-    places.append(pos[alone])
-    at = np.flatnonzero(inside & (cell > hot) & (n[row] <= LONG_LINE * 5 // 4))
+    long = np.flatnonzero(inside & (n[row] > LONG_LINE * 4 // 5 - 1))
+    rows.append(row[long])
+    sigs.append(mix(h[long] ^ U64(0x77777777)))
+    places.append(pos[long])
+    at = np.flatnonzero(inside & ~alone & (n[row] <= LONG_LINE * 5 // 4))
     step = 1
     while len(at):
         at = at[pos[at] + step < second[row[at]]]
@@ -148,67 +153,92 @@ def _groups(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, li
             start += len(group)
 
 
-def _class(counts: np.ndarray) -> np.ndarray:
-    """Classes of counts, 0 to 255, not falling: counts to 64 by themselves, then eight to each doubling."""
-    return np.where(counts <= 64, counts, np.minimum(64 + 8 * np.log2(np.maximum(counts, 64) / 64), 255)).astype(np.uint8)
+_SEEN = "rid long, rid2 long, doc long, line long, k1 long, k2 long, token long, times long"
 
 
-_SEEN = "rid long, doc long, line long, k1 long, k2 long, cell long, part binary"
+def _occurrences(rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
+    """rid, rid2, doc, line, k1, k2 of every line that is long enough; and (token, times): in how many of a task's lines
+    a token is, in one row or more."""
+    names = [f.split()[0] for f in _SEEN.split(", ")]
 
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        token, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return token, np.bincount(at, weights=np.concatenate([k for _, k in held]), minlength=len(token)).astype(np.int64)
 
-def _occurrences(rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
-    """rid, doc, line, k1, k2 of every line that is long enough; and by (cell, part) each task's counts of the
-    lines that have a token of a cell, as pairs of 16-bit offset and count."""
+    def counts(token: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(token), pa.int64())] * 6, pa.array(token.view(np.int64)), pa.array(times)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "doc", "line", "k1", "k2", "cell", "part"]
-        cells = np.zeros(COUNT_CELLS, np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            for part, texts in _groups(b, 2):
+            for part, texts in _groups(b, 3):
                 lines = Lines(texts)
                 at, starts = lines.keep(cfg.least)
                 k1, k2 = _keys(lines.h, starts)
                 of = pa.array(lines.text_of[at])
-                cell, times = np.unique((lines.h & U64(COUNT_CELLS - 1)).astype(np.int64), return_counts=True)
-                cells[cell] += times.astype(np.int32)
-                place = [part.column(0).take(of), part.column(1).take(of), pa.array(lines.number[at].astype(np.int64))]
-                none = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*place, pa.array(k1), pa.array(k2), *none], names=names)
-        used = np.flatnonzero(cells)
-        pairs = np.stack([used % COUNT_ROW, np.minimum(cells[used], 65535)], 1).astype("<u2")
-        ends = np.searchsorted(used, np.arange(COUNT_ROW, COUNT_CELLS + 1, COUNT_ROW))
-        blobs = [pairs[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
-        none = [pa.nulls(len(blobs), pa.int64())] * 5
-        yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(len(blobs))), pa.array(blobs, pa.binary())], names=names)
+                held.append(np.unique(lines.h, return_counts=True))
+                if sum(len(t) for t, _ in held) > 2 * COUNTED:
+                    held = [summed(held)]
+                    if len(held[0][0]) > COUNTED:
+                        yield counts(*held.pop())
+                place = [*(part.column(i).take(of) for i in range(3)), pa.array(lines.number[at].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(k1), pa.array(k2), *[pa.nulls(len(at), pa.int64())] * 2], names=names)
+        if held:
+            yield counts(*summed(held))
+        release()
 
     return rows.mapInArrow(run, _SEEN)
 
 
-def token_classes(parts: DataFrame) -> tuple[np.ndarray, float]:
-    """The class of each cell's count over all rows, and the mean count: a table of a fixed size."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pairs = np.frombuffer(part, "<u2").reshape(-1, 2)
-                sums.setdefault(c, np.zeros(COUNT_ROW, np.int64))[pairs[:, 0]] += pairs[:, 1]
-        out = [pa.array(list(sums), pa.int64()), pa.array([_class(v).tobytes() for v in sums.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*out, pa.array([float(v.sum()) for v in sums.values()])], names=["cell", "part", "total"])
-
-    classes, total = np.zeros(COUNT_CELLS, np.uint8), 0.0
-    for r in parts.repartition(COUNT_CELLS // COUNT_ROW // 8, "cell").mapInArrow(add, "cell long, part binary, total double").collect():
-        classes[r["cell"] * COUNT_ROW : (r["cell"] + 1) * COUNT_ROW] = np.frombuffer(r["part"], np.uint8)
-        total += r["total"]
-    return classes, total / COUNT_CELLS
+def _class(n: Column) -> Column:
+    """Classes of counts, 2 to 255, not falling: counts to 64 by themselves, then eight to each doubling."""
+    return F.when(n <= 64, n).otherwise(F.least(64 + F.floor(8 * F.log2(n / 64)), F.lit(255))).cast("int")
 
 
-def _signed(rows: DataFrame, classes: np.ndarray, hot: int, parts: int, copied: dict[int, tuple[int, int]], cfg: LineDedupConfig) -> DataFrame:
-    """Signatures of all lines, dealt to ``parts`` parts by signature: (part, blob of rows sorted by signature).
+def token_cells(parts: DataFrame) -> tuple[np.ndarray, int]:
+    """The table of token classes from rows (token, times), and the least class that it tells apart.
 
-    ``copied`` has the first place of the few sets with very many lines, whose other lines are left out.
+    A token's cell is the low bits of its hash. A token of one line has no class (0). Counts are exact; from the
+    least count on that at most FREQUENT tokens reach, a token's class follows its count; below it is 1. A cell has the
+    highest class of its tokens: two tokens of a cell are ordered alike, which costs time and no result.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((classes, np.array(sorted(copied), np.int64), copied))
+    counted = parts.groupBy("token").agg(F.sum("times").alias("n")).filter("n > 1")
+    counted = materialise(counted.select(F.col("token").bitwiseAND(CELLS - 1).alias("cell"), _class(F.col("n")).alias("class")))
+    sizes = {r["class"]: r["count"] for r in counted.groupBy("class").count().collect()}  # at most 255 rows
+    least, told = 256, 0
+    while least > 2 and told + sizes.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        told += sizes.get(least, 0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, np.ndarray] = {}
+        for b in batches:
+            cell, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.argsort(cell, kind="stable")
+            cell, kind = cell[order], np.where(kind >= least, kind, 1)[order].astype(np.uint8)
+            row = cell // CELL_ROW
+            edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
+            for a, e in zip(edges, [*edges[1:], len(row)]):
+                np.maximum.at(rows.setdefault(int(row[a]), np.zeros(CELL_ROW, np.uint8)), cell[a:e] % CELL_ROW, kind[a:e])
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([r.tobytes() for r in rows.values()], pa.binary())], names=["row", "cells"])
+
+    cells = np.zeros(CELLS, np.uint8)
+    dealt = counted.groupBy("cell").agg(F.max("class").alias("class"))  # no more rows than the table has cells
+    dealt = dealt.repartition(32, F.floor(F.col("cell") / CELL_ROW))
+    for r in dealt.mapInArrow(pack, "row long, cells binary").toLocalIterator():
+        cells[r["row"] * CELL_ROW : (r["row"] + 1) * CELL_ROW] = np.frombuffer(r["cells"], np.uint8)
+    discard(counted)
+    return cells, least
+
+
+def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, copied: list[Row], cfg: LineDedupConfig) -> DataFrame:
+    """Signatures of all lines, dealt to ``parts`` parts by signature: (part, blob of rows).
+
+    ``copied`` has (k1, k2, doc, line) of the first lines of the sets with very many, whose other lines are left out.
+    """
+    hot = int(64 + 8 * np.log2(max(cfg.hot, 64) / 64)) if cfg.hot > 64 else cfg.hot
+    many = np.array(sorted(tuple(r) for r in copied), np.int64).reshape(-1, 4)
+    shared = rows.sparkSession.sparkContext.broadcast((cells, many))
 
     def deal(held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(held)
@@ -219,25 +249,25 @@ def _signed(rows: DataFrame, classes: np.ndarray, hot: int, parts: int, copied:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, many, first = shared.value
+        cells, many = shared.value
         held: list[np.ndarray] = []
         for b in batches:
-            for part, texts in _groups(b, 2):
+            for part, texts in _groups(b, 1):
                 lines = Lines(texts)
                 at, starts = lines.keep(cfg.least)
                 if not len(at):
                     continue
                 n = lines.n[at]
-                k1, _ = _keys(lines.h, starts)
-                doc = part.column(1).to_numpy()[lines.text_of[at]]
-                row, sig, pos = line_signatures(lines.h, lines.line, starts, n, classes, hot, cfg)
-                leave = np.zeros(len(at), bool)
-                for i in np.flatnonzero(np.isin(k1, many)):
-                    leave[i] = first[int(k1[i])] != (int(doc[i]), int(lines.number[at[i]]))
-                stay = ~leave[row]
-                sig, pos, row = sig[stay], pos[stay], row[stay]
+                k1, k2 = _keys(lines.h, starts)
+                doc, number = part.column(0).to_numpy()[lines.text_of[at]], lines.number[at]
+                row, sig, pos = line_signatures(lines.h, lines.line, starts, n, cells, hot, least_class <= hot, cfg)
+                if len(many):
+                    i = np.minimum(np.searchsorted(many[:, 0], k1), len(many) - 1)
+                    later = (many[i, 2] != doc) | (many[i, 3] != number)
+                    stay = ~((many[i, 0] == k1) & (many[i, 1] == k2) & later)[row]
+                    sig, pos, row = sig[stay], pos[stay], row[stay]
                 out = np.empty(len(row), _SIGNED)
-                out["sig"], out["doc"], out["line"], out["key"] = sig.view(np.int64), doc[row], lines.number[at][row], k1[row].astype(np.int32)
+                out["sig"], out["doc"], out["line"], out["key"] = sig.view(np.int64), doc[row], number[row], k1[row].astype(np.int32)
                 low, high = sketches(lines.h, np.repeat(np.arange(len(at)), n), len(at))
                 out["low"], out["high"], out["n"], out["pos"] = low[row], high[row], np.minimum(n, 65535)[row], np.minimum(pos, 65535)
                 held.append(out)
@@ -246,86 +276,93 @@ def _signed(rows: DataFrame, classes: np.ndarray, hot: int, parts: int, copied:
                     held = []
         if held:
             yield deal(held)
+        release()
 
-    return rows.mapInArrow(run, "part long, blob binary")
+    return rows.select("doc", "text").mapInArrow(run, "part long, blob binary")
 
 
-def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int, at: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices at which two arrays of lines (n, low, high, position of the shared token) may be similar, and their
     unequal bits: by length, by position (they share at most what is before the token in both, it, and what is behind
-    it in both), then by bits. No similar pair is refused; counts of 65,535 and more are cut off, so those pass."""
+    it in both), then by bits; with ``at``, bits are those at its indices. No similar pair is refused; counts of
+    65,535 and more are cut off, so those pass."""
     n = a[0] + b[0]
     ok = 100 * np.minimum(a[0], b[0]) >= percent * np.maximum(a[0], b[0])
     ok &= (100 + percent) * (np.minimum(a[3], b[3]) + np.minimum(a[0] - a[3], b[0] - b[3])) >= percent * n
     cut_off = (a[0] == 65535) | (b[0] == 65535)
-    at = np.flatnonzero(ok | cut_off)
+    hit = np.flatnonzero(ok | cut_off)
 
-    def pick(x: np.ndarray) -> np.ndarray:
-        return x[at] if len(x) == len(n) else x
+    def pick(x: np.ndarray, of: np.ndarray | None) -> np.ndarray:
+        if of is not None:
+            return x[of[hit]]
+        return x[hit] if len(x) == len(n) else x
 
-    bits = np.bitwise_count(pick(a[1]) ^ pick(b[1])).astype(np.int64) + np.bitwise_count(pick(a[2]) ^ pick(b[2]))
-    near = ((100 + percent) * bits <= (100 - percent) * n[at]) | cut_off[at]
-    return at[near], bits[near]
+    u, v = at or (None, None)
+    bits = np.bitwise_count(pick(a[1], u) ^ pick(b[1], v)).astype(np.int64) + np.bitwise_count(pick(a[2], u) ^ pick(b[2], v))
+    near = ((100 + percent) * bits <= (100 - percent) * n[hit]) | cut_off[hit]
+    return hit[near], bits[near]
 
 
-_FOUND = "more boolean, sig long, doc long, line long, key long, xdoc long, xline long, xkey long, part long, blob binary"
+_FOUND = "more boolean, bits long, sig long, doc long, line long, key long, xdoc long, xline long, xkey long, part long, blob binary"
 _NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
 
-def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
-    """What one part's signatures say. Lines with up to three plausible lines among their bucket's first ``head``: the
-    earliest and the two of fewest unequal bits, often two lines in all; ``more`` tells whether there may be others
-    than these (then xdoc can be null).
-    And one blob with all rows of the buckets that have such lines."""
-
-    def runs(*fields: str) -> np.ndarray:
-        new = np.ones(len(rows), bool)
-        new[1:] = np.logical_or.reduce([rows[f][1:] != rows[f][:-1] for f in fields])
-        return new
-
+def _without_copies(rows: np.ndarray) -> np.ndarray:
+    """Rows of the signatures that several sets have, one row (the earliest line) for each set, by signature and place."""
     rows = rows[np.argsort(np.ascontiguousarray(rows["sig"]))]
-    new = runs("sig")
+    sig = np.ascontiguousarray(rows["sig"])
+    new = np.append(True, sig[1:] != sig[:-1])
     rows = rows[~(new & np.append(new[1:], True))]  # a signature of its own
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["key"], rows["sig"]))]
-    rows = rows[runs("sig", "key", "low", "high")]  # copies of a set
     rows = rows[np.lexsort((rows["line"], rows["doc"], rows["sig"]))]
+    if not len(rows):
+        return rows
+    fields = [np.ascontiguousarray(rows[f]) for f in ("sig", "key", "low", "high")]
+    mark = np.zeros(len(rows), np.uint64)
+    for f in fields:
+        mark = mix(mark * U64(3) + f.astype(np.int64).view(np.uint64))
+    _, at, of = np.unique(mark, return_index=True, return_inverse=True)
+    head = at[of]
+    copy = head != np.arange(len(rows))
+    for f in fields:
+        copy &= f == f[head]
+    return rows[~copy]
+
+
+def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
+    """What one part's signatures say. Lines with plausible lines among their bucket's first ``head``: the one of
+    fewest unequal bits, then the earliest; ``more`` tells whether there may be others (then xdoc can be null).
+    And one blob with all rows of the buckets that have such lines."""
+    rows = _without_copies(rows)
     if not len(rows):
         return
-    start = np.maximum.accumulate(np.where(runs("sig"), np.arange(len(rows)), 0))
+    sig = np.ascontiguousarray(rows["sig"])
+    start = np.maximum.accumulate(np.where(np.append(True, sig[1:] != sig[:-1]), np.arange(len(rows)), 0))
     rank = np.arange(len(rows)) - start
-    marks = (rows["n"].astype(np.int64), *(np.ascontiguousarray(rows[f]).view(np.uint64) for f in ("low", "high")), rows["pos"].astype(np.int64))
+    n, pos = rows["n"].astype(np.int32), rows["pos"].astype(np.int32)
+    low, high = (np.ascontiguousarray(rows[f]).view(np.uint64) for f in ("low", "high"))
     hits = np.zeros(len(rows), np.int32)
-    first, best, next_best = (np.full(len(rows), -1) for _ in range(3))
-    least, next_least = (np.full(len(rows), 1 << 20) for _ in range(2))
+    best = np.full(len(rows), -1)
+    least = np.full(len(rows), 1 << 20)
     active = np.flatnonzero(rank > 0)
     for j in range(cfg.head):
         active = active[rank[active] > j]
         if not len(active):
             break
         at = start[active] + j
-        a, b = tuple(m[active] for m in marks), tuple(m[at] for m in marks)
-        hit, bits = plausible(a, b, cfg.percent)
-        y, x = active[hit], at[hit]
-        new = first[y] < 0
-        first[y[new]] = x[new]
+        hit, bits = plausible((n[active], low, high, pos[active]), (n[at], low, high, pos[at]), cfg.percent, (active, at))
+        y = active[hit]
         hits[y] += 1
-        top = bits < least[y]
-        t, u = y[top], y[~top & (bits < next_least[y])]
-        next_best[t], next_least[t] = best[t], least[t]
-        best[t], least[t] = x[top], bits[top]
-        second = ~top & (bits < next_least[y])
-        next_best[u], next_least[u] = x[second], bits[second]
-    kept = [(np.flatnonzero(first >= 0), first)]
-    kept += [(np.flatnonzero((other >= 0) & (other != first)), other) for other in (best, next_best)]
-    several = (hits > sum(np.bincount(i, minlength=len(rows)) for i, _ in kept)) | (rank >= cfg.head)
-    y = np.concatenate([i for i, _ in kept] + [np.flatnonzero(several & (first < 0))])
-    x = np.concatenate([other[i] for i, other in kept] + [np.full(int((several & (first < 0)).sum()), -1)])
+        nearer = bits < least[y]
+        best[y[nearer]], least[y[nearer]] = at[hit][nearer], bits[nearer]
+    several = (hits > 1) | (rank >= cfg.head)
+    y = np.flatnonzero((best >= 0) | several)
+    x = best[y]
     partner = [pa.array(rows[c][x].astype(np.int64), mask=x < 0) for c in ("doc", "line", "key")]
     own = [pa.array(rows[c][y].astype(np.int64)) for c in ("sig", "doc", "line", "key")]
-    yield pa.RecordBatch.from_arrays([pa.array(several[y]), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(several[y]), pa.array(least[y]), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
     if several.any():
         many = np.bincount(start, weights=several, minlength=len(rows))[start] > 0
-        none = [pa.nulls(1, pa.bool_()), *[pa.nulls(1, pa.int64())] * 7]
+        none = [pa.nulls(1, pa.bool_()), *[pa.nulls(1, pa.int64())] * 8]
         yield pa.RecordBatch.from_arrays([*none, pa.array([part]), pa.array([rows[many].tobytes()], pa.binary())], names=_NAMES)
 
 
@@ -341,6 +378,7 @@ def _part_rows(batches: Iterator[pa.RecordBatch], cfg: LineDedupConfig) -> Itera
             held.append(blob.as_py())
     if held:
         yield from part_pairs(of, np.frombuffer(b"".join(held), _SIGNED), cfg)
+    release()
 
 
 def _line_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -478,51 +516,59 @@ def _verified_dense(dense: DataFrame, rows: DataFrame, cfg: LineDedupConfig) ->
 
 
 def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> DataFrame:
-    """rid (hash of doc_id and text) and the numbers of the lines to remove, of rows that lose any.
+    """rid, rid2 (hashes of doc_id and text) and the numbers of the lines to remove, of rows that lose any.
 
     Lines are what line breaks part; a token is a word with A-Z as a-z; a line's set is its distinct tokens.
     Lines are ordered by doc_id (null last) and number. A line goes if an earlier line, removed or not, has
     the same or a similar set. Lines of fewer than ``least`` tokens stay and remove nothing. Rows with the
     same doc_id and text are one document: they lose the same lines.
     """
-    rows = docs.select(
-        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        "text",
-    ).filter("text is not null")
+    rows = docs.select(*_rids(F.col("doc_id"), F.col("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), "text")
+    rows = rows.filter("text is not null")
     marked = materialise(_occurrences(rows, cfg))
-    seen = marked.filter("cell is null").select("rid", "doc", "line", "k1", "k2")
-    classes, mean = token_classes(marked.filter("cell is not null").select("cell", "part"))
-    hot = int(_class(np.array([max(cfg.hot, 4 * mean)]))[0])
-    total = seen.count()
-    many = seen.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("p"))
-    many = many.filter(F.col("n") > max(16, total // HOT_SHARE)).collect()  # fewer than HOT_SHARE sets
-    copied = {r["k1"]: (r["p"]["doc"], r["p"]["line"]) for r in many}
+    seen = marked.filter("token is null").drop("token", "times")
+    cells, least_class = token_cells(marked.filter("token is not null").select("token", "times"))
+    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid", "rid2")).alias("p"), F.count(F.lit(1)).alias("n"))
+    first = materialise(first.select("k1", "k2", "p.*", "n", F.shiftright(F.shiftleft("k1", 32), 32).alias("key")))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    copied = first.filter(F.col("n") > max(4, total // HOT_SHARE)).select("k1", "k2", "doc", "line").collect()  # fewer than HOT_SHARE
 
     parts = max(16, 12 * total // PART_ROWS)
-    signed = _signed(rows, classes, hot, parts, copied, cfg).repartition(parts, "part").sortWithinPartitions("part")
+    signed = _signed(rows, cells, least_class, parts, copied, cfg).repartition(parts, "part").sortWithinPartitions("part")
     found = materialise(signed.mapInArrow(lambda it: _part_rows(it, cfg), _FOUND))
-    names = ["doc", "line", "key", "xdoc", "xline", "xkey"]
-    gone = materialise(_verified(found.filter("xdoc is not null").select(*names).distinct(), rows, cfg))
-
-    # what the first partners didn't settle, against all earlier lines of the buckets
-    left = found.filter("more").select("sig", "doc", "line", "key").join(gone, ["doc", "line", "key"], "left_anti")
-    rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), materialise(left), parts, cfg))
-    few = _verified(rest.filter("xdoc is not null").select(*names).distinct(), rows, cfg)
-    dense = rest.filter("xdoc is null").select("sig", "doc", "line", "key", "open")
-    gone = materialise(gone.unionAll(few).unionAll(_verified_dense(dense, rows, cfg)).distinct())
+    place, names = ["doc", "line", "key"], ["doc", "line", "key", "xdoc", "xline", "xkey"]
+    partner = F.when(F.col("xdoc").isNotNull(), F.struct("xdoc", "xline", "xkey"))
+    near = F.min(F.when(F.col("xdoc").isNotNull(), F.struct("bits", "xdoc", "xline", "xkey")))
+    best = found.filter("doc is not null").groupBy(*place).agg(
+        near.alias("b"), (F.max("more") | (F.min(partner) != F.max(partner))).alias("open")
+    )
+    best = materialise(best.select(*place, "b.xdoc", "b.xline", "b.xkey", "open"))
+    near_lines = materialise(_verified(best.filter("xdoc is not null").select(*names), rows, cfg))
+
+    # what the nearest partner didn't settle: its other partners, and all earlier lines of the buckets with more
+    left = materialise(best.filter("open").select(*place).join(near_lines, place, "left_anti"))
+    others = found.filter("xdoc is not null").select(*names).join(left, place, "left_semi")
+    asked = found.filter("more").select("sig", *place).join(left, place, "left_semi")
+    rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), asked, parts, cfg))
+    few = _verified(others.unionAll(rest.filter("xdoc is not null").select(*names)).distinct(), rows, cfg)
+    dense = rest.filter("xdoc is null").select("sig", *place, "open")
+    gone = materialise(near_lines.unionAll(few).unionAll(_verified_dense(dense, rows, cfg)).distinct())
+    discard(found, best, left, near_lines, rest)
 
     # sets that have a line to remove: those of several lines, and those that are gone
-    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid")).alias("p"), F.count(F.lit(1)).alias("n"))
-    first = first.select("k1", "k2", "p.*", "n", F.shiftright(F.shiftleft("k1", 32), 32).alias("key"))
-    first = first.withColumn("place", F.xxhash64("doc", "line", "key"))
-    maybe, stays = split_by_keys(first, "place", gone.select(F.xxhash64("doc", "line", "key").alias("place")))
-    maybe = maybe.join(gone.withColumn("gone", F.lit(True)), ["doc", "line", "key"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    first = first.withColumn("place", F.xxhash64(*place))
+    maybe, stays = split_by_keys(first, "place", gone.select(F.xxhash64(*place).alias("place")))
+    maybe = maybe.join(gone.withColumn("gone", F.lit(True)), place, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     sets = maybe.unionByName(stays.withColumn("gone", F.lit(False))).filter("gone or n > 1")
-    sets = materialise(sets.selectExpr("k1", "k2", "doc as fdoc", "line as fline", "rid as frid", "gone"))
+    sets = materialise(sets.selectExpr("k1", "k2", "doc as fdoc", "line as fline", "rid as frid", "rid2 as frid2", "gone"))
     out = split_by_keys(seen, "k1", sets.select("k1"))[0].join(sets, ["k1", "k2"])
-    out = out.filter("gone or doc <> fdoc or line <> fline or rid <> frid")
-    return out.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    out = out.filter("gone or doc <> fdoc or line <> fline or rid <> frid or rid2 <> frid2")
+    return out.groupBy("rid", "rid2").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+
+
+def _rids(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell rows apart by doc_id and text."""
+    return F.xxhash64(doc_id.cast("long"), text).alias("rid"), F.xxhash64(F.lit(1), text, doc_id.cast("long")).alias("rid2")
 
 
 def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), counts: bool = False) -> DataFrame:
@@ -532,9 +578,9 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), count
     """
     gone = materialise(removed_lines(docs, cfg))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    named = named.withColumn("_rid", F.xxhash64(F.col("_row.doc_id").cast("long"), F.col("_row.text")))
+    named = named.select("_row", *[c.alias(f"_{k}") for k, c in zip(("rid", "rid2"), _rids(F.col("_row.doc_id"), F.col("_row.text")))])
     maybe, clear = split_by_keys(named, "_rid", gone.select("rid"))
-    joined = maybe.join(gone, maybe["_rid"] == gone["rid"], "left").select("_row", "removed")
+    joined = maybe.join(gone, (maybe["_rid"] == gone["rid"]) & (maybe["_rid2"] == gone["rid2"]), "left").select("_row", "removed")
     rows = joined.unionAll(clear.select("_row", F.lit(None).cast("array<long>").alias("removed")))
     # columns of their own: an expression inside a lambda would be evaluated for every line
     out = rows.withColumn("_lines", F.split("_row.text", "\n", -1))

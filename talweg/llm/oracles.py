@@ -10,7 +10,7 @@ sets AS MATERIALIZED (
   SELECT doc_id, k, line, list_sort(list_distinct(regexp_extract_all({_LOWER.format('line')}, {_WORDS}))) AS s FROM lines
 ), firsts AS MATERIALIZED (
   SELECT s, len(s) AS n, min(struct_pack(d := doc_id, k := k)) AS p, row_number() OVER (ORDER BY min(struct_pack(d := doc_id, k := k))) AS i
-  FROM sets WHERE len(s) >= 5 GROUP BY s
+  FROM sets WHERE len(s) >= 1 GROUP BY s
 ), tokens AS MATERIALIZED (SELECT i, n, unnest(s) AS t FROM firsts),
 ranked AS MATERIALIZED (
   SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY f, t) AS r, n

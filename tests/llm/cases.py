@@ -65,7 +65,7 @@ def near_components(rows: list[tuple[int, str | None]], k: int) -> dict[int, int
     return {i: find(i) for i in sets}
 
 
-def removed_lines(rows: list[tuple[int, str | None]], percent: int = 80, least: int = 5) -> dict[int, set[int]]:
+def removed_lines(rows: list[tuple[int, str | None]], percent: int = 80, least: int = 1) -> dict[int, set[int]]:
     first: dict[frozenset, tuple] = {}
     occurrences = []
     for i, text in sorted(rows):

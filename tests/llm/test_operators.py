@@ -61,6 +61,23 @@ def test_frequent_tokens_count_in_pairs(spark):
     assert {r.doc_id for r in out if r.n_removed} == {i for i, k in want.items() if k}
 
 
+def test_families_of_a_core_and_additions(spark):
+    rng = random.Random(11)
+    names = [f"n{k}" for k in range(60)]
+    rows = []
+    for family in range(40):
+        core = [f"c{family}_{k}" for k in range(rng.randrange(3, 14))]
+        for _ in range(rng.randrange(4, 9)):
+            rows.append((len(rows), " ".join([*core, *rng.sample(names, rng.randrange(4))])))
+    check_lines(spark, rows)
+
+
+def test_short_lines_go_too(spark):
+    rows = [(1, "Home\nAll rights reserved.\n\na b c d"), (2, "home\nall rights\n\na b c d e"), (3, "ALL rights reserved.\na b c d e f"), (4, "x")]
+    assert removed_lines(rows) == {2: {0, 3}, 3: {0, 1}}
+    check_lines(spark, rows)
+
+
 def test_a_third_plausible_line_is_not_lost(spark):
     # a, b, c and d share eight tokens; only c and d are similar, but a and b have as few unequal bits to d as c has
     from talweg.llm.text import word_hashes
