@@ -15,13 +15,13 @@ from .common import discard, materialise, release, split_by_keys
 from .text import U64, chunks, mix, word_hashes
 
 #: Cells of the table of token classes: its size is fixed, so it can be sent to every task.
-CELLS = 1 << 24
-#: Cells of that table in one of its rows.
-CELL_ROW = 1 << 14
+CELL_BITS = 24
+#: Bits of a token's hash by which counts are dealt out, at most: each range of cells is one of 4,096 parts or fewer.
+DEALT_BITS = 12
 #: Tokens whose classes are told apart in that table, at most; the other tokens that occur twice share one class.
 FREQUENT = 1 << 20
-#: Different tokens that a task counts before it passes the counts on.
-COUNTED = 1 << 20
+#: Tokens that a task gathers before it counts them.
+GATHERED = 1 << 20
 #: A set in more than this share of all lines is one of fewer than so many; its later copies are left out early.
 HOT_SHARE = 1 << 16
 #: Signatures in one part of the join.
@@ -61,17 +61,24 @@ def _by_line(line: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Lines:
-    """The distinct tokens of the lines of some texts, by line and then hash."""
+    """The distinct tokens of the lines of some texts, by line and then hash; with ``cells``, by line, class and hash."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], cells: np.ndarray | None = None) -> None:
         raw = b"\n".join(texts)
         h, start, _ = word_hashes(raw)
         line = np.cumsum(np.frombuffer(raw, np.uint8) == 10, dtype=np.int64)[start]
-        order = _by_line(line, h >> U64(20), 44)
-        h, line = h[order], line[order]
+        kind = None if cells is None else cells[(h >> U64(64 - CELL_BITS)).astype(np.int64)]
+        key = h >> U64(20) if kind is None else kind.astype(np.uint64) << U64(36) | h >> U64(28)
+        order = _by_line(line, key, 44)
+        h, line, key = h[order], line[order], key[order]
+        alike = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
+        if (alike & (h[1:] != h[:-1])).any():  # hashes that agree in the bits of the key
+            order = order[np.lexsort((h, key, line))]
+            h, line = h[np.lexsort((h, key, line))], line
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
         self.h, self.line = h[new], line[new]
+        self.kind = None if kind is None else kind[order][new]
         counts = np.array([t.count(b"\n") + 1 for t in texts])
         first = np.concatenate([[0], np.cumsum(counts)])
         self.text_of = np.repeat(np.arange(len(texts)), counts)
@@ -80,8 +87,9 @@ class Lines:
 
     def keep(self, least: int) -> np.ndarray:
         """Drop the tokens of lines of fewer than ``least``; the lines that are left, and their first tokens."""
-        ok = self.n[self.line] >= least
-        self.h, self.line = self.h[ok], self.line[ok]
+        if least > 1:
+            ok = self.n[self.line] >= least
+            self.h, self.line, self.kind = self.h[ok], self.line[ok], None if self.kind is None else self.kind[ok]
         lines = np.flatnonzero(self.n >= max(least, 1))
         starts = np.cumsum(self.n[lines]) - self.n[lines]
         return lines, starts
@@ -98,18 +106,15 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def line_signatures(h: np.ndarray, line: np.ndarray, starts: np.ndarray, n: np.ndarray, cells: np.ndarray, hot: int, rare: bool, cfg: LineDedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_signatures(h: np.ndarray, cell: np.ndarray, starts: np.ndarray, n: np.ndarray, hot: int, rare: bool, cfg: LineDedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of lines (index, signature, position of its first token): similar lines share one.
 
-    Tokens are ordered by rarity (the class of their cell), ties by hash. The rarest token that two similar lines
+    Tokens come ordered by rarity (the class of their cell), ties by hash. The rarest token that two similar lines
     share is in the prefix of both, and the second one in both prefixes lengthened by one token. So a rare token is a
     signature by itself; one of a class above ``hot`` (and, without ``rare``, one of the shared class) is a signature
     with each token behind it in the lengthened prefix. A token of a single line is none. Sets of fewer tokens than
     can differ and be similar have no signature: only equal sets are similar to them.
     """
-    cell = cells[(h & U64(CELLS - 1)).astype(np.int64)]
-    order = _by_line(line, cell.astype(np.uint64) << U64(36) | h >> U64(28), 44)
-    h, cell = h[order], cell[order]
     row = np.repeat(np.arange(len(starts)), n)
     pos = np.arange(len(h)) - starts[row]
     first = prefix_length(n, cfg.percent)
@@ -153,81 +158,119 @@ def _groups(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, li
             start += len(group)
 
 
-_SEEN = "rid long, rid2 long, doc long, line long, k1 long, k2 long, token long, times long"
+_SEEN = "rid long, doc long, line int, k1 long, k2 long, range int, counts binary"
+#: How often a token is in a part: 32 bits of its hash below those of the part, and the count.
+_COUNT = np.dtype([("low", "<u4"), ("n", "<u2")])
 
 
-def _occurrences(rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
-    """rid, rid2, doc, line, k1, k2 of every line that is long enough; and (token, times): in how many of a task's lines
-    a token is, in one row or more."""
-    names = [f.split()[0] for f in _SEEN.split(", ")]
+def _summed(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(low, kind="stable")
+    low, n = low[order], n[order]
+    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
+    return low[starts], np.add.reduceat(n, starts) if len(starts) else n
+
 
-    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        token, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
-        return token, np.bincount(at, weights=np.concatenate([k for _, k in held]), minlength=len(token)).astype(np.int64)
+def _occurrences(rows: DataFrame, bits: int, cfg: LineDedupConfig) -> DataFrame:
+    """rid, doc, line, k1, k2 of every line that is long enough; and (range, counts): in how many of a task's lines
+    the tokens are whose hashes begin with these ``bits`` bits. Tokens that agree in 32 bits more are counted together."""
+    names = [f.split()[0] for f in _SEEN.split(", ")]
 
-    def counts(token: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*[pa.nulls(len(token), pa.int64())] * 6, pa.array(token.view(np.int64)), pa.array(times)], names=names)
+    def dealt(token: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        out = np.empty(len(token), _COUNT)
+        out["low"], out["n"] = token, np.minimum(times, 65535)
+        ends = np.searchsorted(token, np.arange(1, (1 << bits) + 1, dtype=np.uint64) << U64(32))
+        blobs = [(k, out[a:e].tobytes()) for k, (a, e) in enumerate(zip(np.append(0, ends[:-1]), ends)) if e > a]
+        # a count too large for its field comes in several rows of the part
+        for i in np.flatnonzero(times > 65535):
+            more = np.full(int(times[i] - 1) // 65535, (token[i] & U64(0xFFFFFFFF), 65535), _COUNT)
+            more["n"][-1] = times[i] - 65535 * len(more)
+            blobs.append((int(token[i] >> U64(32)), more.tobytes()))
+        none = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        gathered: list[np.ndarray] = []
         for b in batches:
-            for part, texts in _groups(b, 3):
+            for part, texts in _groups(b, 2):
                 lines = Lines(texts)
                 at, starts = lines.keep(cfg.least)
                 k1, k2 = _keys(lines.h, starts)
                 of = pa.array(lines.text_of[at])
-                held.append(np.unique(lines.h, return_counts=True))
-                if sum(len(t) for t, _ in held) > 2 * COUNTED:
-                    held = [summed(held)]
-                    if len(held[0][0]) > COUNTED:
-                        yield counts(*held.pop())
-                place = [*(part.column(i).take(of) for i in range(3)), pa.array(lines.number[at].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*place, pa.array(k1), pa.array(k2), *[pa.nulls(len(at), pa.int64())] * 2], names=names)
-        if held:
-            yield counts(*summed(held))
+                gathered.append(lines.h >> U64(32 - bits))
+                if sum(map(len, gathered)) > GATHERED:
+                    yield dealt(*np.unique(np.concatenate(gathered), return_counts=True))
+                    gathered = []
+                place = [*(part.column(i).take(of) for i in range(2)), pa.array(lines.number[at].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(k1), pa.array(k2), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=names)
+        if gathered:
+            yield dealt(*np.unique(np.concatenate(gathered), return_counts=True))
         release()
 
     return rows.mapInArrow(run, _SEEN)
 
 
-def _class(n: Column) -> Column:
-    """Classes of counts, 2 to 255, not falling: counts to 64 by themselves, then eight to each doubling."""
-    return F.when(n <= 64, n).otherwise(F.least(64 + F.floor(8 * F.log2(n / 64)), F.lit(255))).cast("int")
+def _class(n: np.ndarray) -> np.ndarray:
+    """Classes of counts, 0 to 255, not falling: counts to 64 by themselves, then eight to each doubling."""
+    return np.where(n <= 64, n, np.minimum(64 + 8 * np.log2(np.maximum(n, 64) / 64), 255)).astype(np.uint8)
 
 
-def token_cells(parts: DataFrame) -> tuple[np.ndarray, int]:
-    """The table of token classes from rows (token, times), and the least class that it tells apart.
+def token_cells(parts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """The table of token classes from rows (range, counts), and the least class that it tells apart.
 
-    A token's cell is the low bits of its hash. A token of one line has no class (0). Counts are exact; from the
+    A token's cell is the first bits of its hash. A token of one line has no class (0). Counts are exact; from the
     least count on that at most FREQUENT tokens reach, a token's class follows its count; below it is 1. A cell has the
     highest class of its tokens: two tokens of a cell are ordered alike, which costs time and no result.
     """
-    counted = parts.groupBy("token").agg(F.sum("times").alias("n")).filter("n > 1")
-    counted = materialise(counted.select(F.col("token").bitwiseAND(CELLS - 1).alias("cell"), _class(F.col("n")).alias("class")))
-    sizes = {r["class"]: r["count"] for r in counted.groupBy("class").count().collect()}  # at most 255 rows
-    least, told = 256, 0
-    while least > 2 and told + sizes.get(least - 1, 0) <= FREQUENT:
+
+    def total(of: int, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        kind = _class(n)
+        low, kind = low[n > 1], kind[n > 1]
+        sizes = np.bincount(kind, minlength=256)
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([low.tobytes()]), pa.array([kind.tobytes()]), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["range", "low", "kind", "sizes"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, low, n, held = None, np.empty(0, np.uint32), np.empty(0, np.int64), []
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and (k != of or sum(map(len, held)) > 4 * GATHERED):
+                    every = np.concatenate(held)
+                    low, n = _summed(np.append(low, every["low"]), np.append(n, every["n"].astype(np.int64)))
+                    held = []
+                if k != of and len(low):
+                    yield total(of, low, n)
+                    low, n = low[:0], n[:0]
+                of = k
+                held.append(np.frombuffer(blob.as_py(), _COUNT))
+        if held:
+            every = np.concatenate(held)
+            low, n = _summed(np.append(low, every["low"]), np.append(n, every["n"].astype(np.int64)))
+            yield total(of, low, n)
+        release()
+
+    summed = parts.repartition("range").sortWithinPartitions("range").mapInArrow(add, "range int, low binary, kind binary, sizes array<long>")
+    summed = materialise(summed)
+    sizes = np.zeros(256, np.int64)
+    for r in summed.select(F.posexplode("sizes").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        sizes[r["class"]] = r["n"]
+    least = 256
+    while least > 2 and sizes[least - 1 :].sum() <= FREQUENT:
         least -= 1
-        told += sizes.get(least, 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, np.ndarray] = {}
         for b in batches:
-            cell, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            order = np.argsort(cell, kind="stable")
-            cell, kind = cell[order], np.where(kind >= least, kind, 1)[order].astype(np.uint8)
-            row = cell // CELL_ROW
-            edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-            for a, e in zip(edges, [*edges[1:], len(row)]):
-                np.maximum.at(rows.setdefault(int(row[a]), np.zeros(CELL_ROW, np.uint8)), cell[a:e] % CELL_ROW, kind[a:e])
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([r.tobytes() for r in rows.values()], pa.binary())], names=["row", "cells"])
-
-    cells = np.zeros(CELLS, np.uint8)
-    dealt = counted.groupBy("cell").agg(F.max("class").alias("class"))  # no more rows than the table has cells
-    dealt = dealt.repartition(32, F.floor(F.col("cell") / CELL_ROW))
-    for r in dealt.mapInArrow(pack, "row long, cells binary").toLocalIterator():
-        cells[r["row"] * CELL_ROW : (r["row"] + 1) * CELL_ROW] = np.frombuffer(r["cells"], np.uint8)
-    discard(counted)
+            for of, low, kind in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                row = np.zeros(1 << (CELL_BITS - bits), np.uint8)
+                kind = np.frombuffer(kind.as_py(), np.uint8)
+                at = (np.frombuffer(low.as_py(), np.uint32) >> np.uint32(32 - CELL_BITS + bits)).astype(np.int64)
+                order = np.argsort(kind, kind="stable")  # of a cell's tokens the last one written is the highest
+                row[at[order]] = np.where(kind >= least, kind, 1)[order]
+                yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([row.tobytes()])], names=["range", "cells"])
+
+    cells = np.zeros(1 << CELL_BITS, np.uint8)
+    row = 1 << (CELL_BITS - bits)
+    for r in summed.select("range", "low", "kind").mapInArrow(pack, "range int, cells binary").toLocalIterator():
+        cells[r["range"] * row : (r["range"] + 1) * row] = np.frombuffer(r["cells"], np.uint8)
+    discard(summed)
     return cells, least
 
 
@@ -236,7 +279,7 @@ def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, co
 
     ``copied`` has (k1, k2, doc, line) of the first lines of the sets with very many, whose other lines are left out.
     """
-    hot = int(64 + 8 * np.log2(max(cfg.hot, 64) / 64)) if cfg.hot > 64 else cfg.hot
+    hot = int(_class(np.array([cfg.hot]))[0])
     many = np.array(sorted(tuple(r) for r in copied), np.int64).reshape(-1, 4)
     shared = rows.sparkSession.sparkContext.broadcast((cells, many))
 
@@ -253,14 +296,14 @@ def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, co
         held: list[np.ndarray] = []
         for b in batches:
             for part, texts in _groups(b, 1):
-                lines = Lines(texts)
+                lines = Lines(texts, cells)
                 at, starts = lines.keep(cfg.least)
                 if not len(at):
                     continue
                 n = lines.n[at]
                 k1, k2 = _keys(lines.h, starts)
                 doc, number = part.column(0).to_numpy()[lines.text_of[at]], lines.number[at]
-                row, sig, pos = line_signatures(lines.h, lines.line, starts, n, cells, hot, least_class <= hot, cfg)
+                row, sig, pos = line_signatures(lines.h, lines.kind, starts, n, hot, least_class <= hot, cfg)
                 if len(many):
                     i = np.minimum(np.searchsorted(many[:, 0], k1), len(many) - 1)
                     later = (many[i, 2] != doc) | (many[i, 3] != number)
@@ -329,8 +372,8 @@ def _without_copies(rows: np.ndarray) -> np.ndarray:
 
 
 def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
-    """What one part's signatures say. Lines with plausible lines among their bucket's first ``head``: the one of
-    fewest unequal bits, then the earliest; ``more`` tells whether there may be others (then xdoc can be null).
+    """What one part's signatures say. Lines with plausible lines among their bucket's first ``head``: the earliest one
+    and the one of fewest unequal bits; ``more`` tells whether there may be others than these (then xdoc can be null).
     And one blob with all rows of the buckets that have such lines."""
     rows = _without_copies(rows)
     if not len(rows):
@@ -341,8 +384,8 @@ def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa
     n, pos = rows["n"].astype(np.int32), rows["pos"].astype(np.int32)
     low, high = (np.ascontiguousarray(rows[f]).view(np.uint64) for f in ("low", "high"))
     hits = np.zeros(len(rows), np.int32)
-    best = np.full(len(rows), -1)
-    least = np.full(len(rows), 1 << 20)
+    first, best = np.full(len(rows), -1), np.full(len(rows), -1)
+    first_bits, least = np.zeros(len(rows), np.int64), np.full(len(rows), 1 << 20)
     active = np.flatnonzero(rank > 0)
     for j in range(cfg.head):
         active = active[rank[active] > j]
@@ -350,16 +393,22 @@ def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa
             break
         at = start[active] + j
         hit, bits = plausible((n[active], low, high, pos[active]), (n[at], low, high, pos[at]), cfg.percent, (active, at))
-        y = active[hit]
+        y, x = active[hit], at[hit]
         hits[y] += 1
+        new = first[y] < 0
+        first[y[new]], first_bits[y[new]] = x[new], bits[new]
         nearer = bits < least[y]
-        best[y[nearer]], least[y[nearer]] = at[hit][nearer], bits[nearer]
-    several = (hits > 1) | (rank >= cfg.head)
-    y = np.flatnonzero((best >= 0) | several)
-    x = best[y]
+        best[y[nearer]], least[y[nearer]] = x[nearer], bits[nearer]
+    kept = [(np.flatnonzero(best >= 0), best, least)]
+    kept.append((np.flatnonzero((first >= 0) & (first != best)), first, first_bits))
+    several = (hits > sum(np.bincount(i, minlength=len(rows)) for i, _, _ in kept)) | (rank >= cfg.head)
+    unknown = np.flatnonzero(several & (best < 0))
+    y = np.concatenate([*(i for i, _, _ in kept), unknown])
+    x = np.concatenate([*(other[i] for i, other, _ in kept), np.full(len(unknown), -1)])
+    bits = np.concatenate([*(b[i] for i, _, b in kept), np.zeros(len(unknown), np.int64)])
     partner = [pa.array(rows[c][x].astype(np.int64), mask=x < 0) for c in ("doc", "line", "key")]
     own = [pa.array(rows[c][y].astype(np.int64)) for c in ("sig", "doc", "line", "key")]
-    yield pa.RecordBatch.from_arrays([pa.array(several[y]), pa.array(least[y]), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(several[y]), pa.array(bits), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
     if several.any():
         many = np.bincount(start, weights=several, minlength=len(rows))[start] > 0
         none = [pa.nulls(1, pa.bool_()), *[pa.nulls(1, pa.int64())] * 8]
@@ -516,20 +565,20 @@ def _verified_dense(dense: DataFrame, rows: DataFrame, cfg: LineDedupConfig) ->
 
 
 def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> DataFrame:
-    """rid, rid2 (hashes of doc_id and text) and the numbers of the lines to remove, of rows that lose any.
+    """doc (doc_id, null last), rid (hash of doc_id and text) and the numbers of the lines to remove, of rows that lose any.
 
     Lines are what line breaks part; a token is a word with A-Z as a-z; a line's set is its distinct tokens.
     Lines are ordered by doc_id (null last) and number. A line goes if an earlier line, removed or not, has
     the same or a similar set. Lines of fewer than ``least`` tokens stay and remove nothing. Rows with the
     same doc_id and text are one document: they lose the same lines.
     """
-    rows = docs.select(*_rids(F.col("doc_id"), F.col("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), "text")
-    rows = rows.filter("text is not null")
-    marked = materialise(_occurrences(rows, cfg))
-    seen = marked.filter("token is null").drop("token", "times")
-    cells, least_class = token_cells(marked.filter("token is not null").select("token", "times"))
-    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid", "rid2")).alias("p"), F.count(F.lit(1)).alias("n"))
-    first = materialise(first.select("k1", "k2", "p.*", "n", F.shiftright(F.shiftleft("k1", 32), 32).alias("key")))
+    rows = docs.select(*_row_key(F.col("doc_id"), F.col("text")), "text").filter("text is not null")
+    bits = min(DEALT_BITS, max(5, docs.rdd.getNumPartitions().bit_length()))
+    marked = materialise(_occurrences(rows, bits, cfg))
+    seen = marked.filter("range is null").drop("range", "counts")
+    cells, least_class = token_cells(marked.filter("range is not null").select("range", "counts"), bits)
+    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid")).alias("p"), F.count(F.lit(1)).alias("n"))
+    first = materialise(first.select("k1", "k2", "p.*", "n"))
     total = first.agg(F.sum("n")).first()[0] or 0
     copied = first.filter(F.col("n") > max(4, total // HOT_SHARE)).select("k1", "k2", "doc", "line").collect()  # fewer than HOT_SHARE
 
@@ -538,17 +587,19 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
     found = materialise(signed.mapInArrow(lambda it: _part_rows(it, cfg), _FOUND))
     place, names = ["doc", "line", "key"], ["doc", "line", "key", "xdoc", "xline", "xkey"]
     partner = F.when(F.col("xdoc").isNotNull(), F.struct("xdoc", "xline", "xkey"))
-    near = F.min(F.when(F.col("xdoc").isNotNull(), F.struct("bits", "xdoc", "xline", "xkey")))
+    nearest = F.min(F.when(F.col("xdoc").isNotNull(), F.struct("bits", "xdoc", "xline", "xkey")))
     best = found.filter("doc is not null").groupBy(*place).agg(
-        near.alias("b"), (F.max("more") | (F.min(partner) != F.max(partner))).alias("open")
+        nearest.alias("b"), F.min(partner).alias("x"), F.max(partner).alias("z"), F.max("more").alias("more")
     )
-    best = materialise(best.select(*place, "b.xdoc", "b.xline", "b.xkey", "open"))
-    near_lines = materialise(_verified(best.filter("xdoc is not null").select(*names), rows, cfg))
+    pair = F.array(F.struct("b.xdoc", "b.xline", "b.xkey"), "x", "z")
+    best = materialise(best.select(*place, F.array_distinct(pair).alias("xs"), F.when(F.col("b").isNotNull(), F.col("more") | (F.col("x") != F.col("z"))).otherwise(True).alias("open")))
+    pairs = best.select(*place, F.explode("xs").alias("x")).select(*place, "x.*").filter("xdoc is not null")
+    near_lines = materialise(_verified(pairs, rows, cfg))
 
-    # what the nearest partner didn't settle: its other partners, and all earlier lines of the buckets with more
+    # what these partners didn't settle: the line's other partners, and all earlier lines of the buckets with more
     left = materialise(best.filter("open").select(*place).join(near_lines, place, "left_anti"))
     others = found.filter("xdoc is not null").select(*names).join(left, place, "left_semi")
-    asked = found.filter("more").select("sig", *place).join(left, place, "left_semi")
+    asked = found.filter("more").select("sig", *place).distinct().join(left, place, "left_semi")
     rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), asked, parts, cfg))
     few = _verified(others.unionAll(rest.filter("xdoc is not null").select(*names)).distinct(), rows, cfg)
     dense = rest.filter("xdoc is null").select("sig", *place, "open")
@@ -556,19 +607,20 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
     discard(found, best, left, near_lines, rest)
 
     # sets that have a line to remove: those of several lines, and those that are gone
-    first = first.withColumn("place", F.xxhash64(*place))
-    maybe, stays = split_by_keys(first, "place", gone.select(F.xxhash64(*place).alias("place")))
+    first = first.withColumn("key", F.shiftright(F.shiftleft("k1", 32), 32)).withColumn("place", F.xxhash64(*place))
+    maybe, stays = split_by_keys(first, "place", gone.select(F.xxhash64(*[F.col(c).cast(t) for c, t in zip(place, ("long", "int", "long"))]).alias("place")))
     maybe = maybe.join(gone.withColumn("gone", F.lit(True)), place, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     sets = maybe.unionByName(stays.withColumn("gone", F.lit(False))).filter("gone or n > 1")
-    sets = materialise(sets.selectExpr("k1", "k2", "doc as fdoc", "line as fline", "rid as frid", "rid2 as frid2", "gone"))
+    sets = materialise(sets.selectExpr("k1", "k2", "doc as fdoc", "line as fline", "rid as frid", "gone"))
     out = split_by_keys(seen, "k1", sets.select("k1"))[0].join(sets, ["k1", "k2"])
-    out = out.filter("gone or doc <> fdoc or line <> fline or rid <> frid or rid2 <> frid2")
-    return out.groupBy("rid", "rid2").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    out = out.filter("gone or doc <> fdoc or line <> fline or rid <> frid")
+    return out.groupBy("doc", "rid").agg(F.array_sort(F.collect_set(F.col("line").cast("long"))).alias("removed"))
 
 
-def _rids(doc_id: Column, text: Column) -> tuple[Column, Column]:
-    """Two hashes that tell rows apart by doc_id and text."""
-    return F.xxhash64(doc_id.cast("long"), text).alias("rid"), F.xxhash64(F.lit(1), text, doc_id.cast("long")).alias("rid2")
+def _row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """The columns rid and doc: two rows of one doc are told apart by a hash of the text."""
+    doc = doc_id.cast("long")
+    return F.xxhash64(doc, text).alias("rid"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc")
 
 
 def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), counts: bool = False) -> DataFrame:
@@ -578,9 +630,9 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), count
     """
     gone = materialise(removed_lines(docs, cfg))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    named = named.select("_row", *[c.alias(f"_{k}") for k, c in zip(("rid", "rid2"), _rids(F.col("_row.doc_id"), F.col("_row.text")))])
-    maybe, clear = split_by_keys(named, "_rid", gone.select("rid"))
-    joined = maybe.join(gone, (maybe["_rid"] == gone["rid"]) & (maybe["_rid2"] == gone["rid2"]), "left").select("_row", "removed")
+    named = named.select("_row", *_row_key(F.col("_row.doc_id"), F.col("_row.text")))
+    maybe, clear = split_by_keys(named, "rid", gone.select("rid"))
+    joined = maybe.join(gone, ["rid", "doc"], "left").select("_row", "removed")
     rows = joined.unionAll(clear.select("_row", F.lit(None).cast("array<long>").alias("removed")))
     # columns of their own: an expression inside a lambda would be evaluated for every line
     out = rows.withColumn("_lines", F.split("_row.text", "\n", -1))
