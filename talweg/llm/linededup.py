@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import discard, materialise, release, split_by_keys
+from .common import KEY_BUCKETS, discard, materialise, release, split_by_keys
 from .text import U64, chunks, mix, word_hashes
 
 #: Cells of the table of token classes: its size is fixed, so it can be sent to every task.
@@ -274,13 +274,14 @@ def token_cells(parts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return cells, least
 
 
-def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, copied: list[Row], cfg: LineDedupConfig) -> DataFrame:
+def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, copied: pa.Table, cfg: LineDedupConfig) -> DataFrame:
     """Signatures of all lines, dealt to ``parts`` parts by signature: (part, blob of rows).
 
     ``copied`` has (k1, k2, doc, line) of the first lines of the sets with very many, whose other lines are left out.
     """
     hot = int(_class(np.array([cfg.hot]))[0])
-    many = np.array(sorted(tuple(r) for r in copied), np.int64).reshape(-1, 4)
+    many = np.stack([c.to_numpy().astype(np.int64) for c in copied.columns], 1)
+    many = many[np.lexsort((many[:, 1], many[:, 0]))]
     shared = rows.sparkSession.sparkContext.broadcast((cells, many))
 
     def deal(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -346,7 +347,7 @@ def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int
     return hit[near], bits[near]
 
 
-_FOUND = "more boolean, bits long, sig long, doc long, line long, key long, xdoc long, xline long, xkey long, part long, blob binary"
+_FOUND = "more boolean, sig long, doc long, line long, key long, xdoc long, xline long, xkey long, part long, blob binary"
 _NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
 
@@ -385,7 +386,7 @@ def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa
     low, high = (np.ascontiguousarray(rows[f]).view(np.uint64) for f in ("low", "high"))
     hits = np.zeros(len(rows), np.int32)
     first, best = np.full(len(rows), -1), np.full(len(rows), -1)
-    first_bits, least = np.zeros(len(rows), np.int64), np.full(len(rows), 1 << 20)
+    least = np.full(len(rows), 1 << 20)
     active = np.flatnonzero(rank > 0)
     for j in range(cfg.head):
         active = active[rank[active] > j]
@@ -396,22 +397,20 @@ def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa
         y, x = active[hit], at[hit]
         hits[y] += 1
         new = first[y] < 0
-        first[y[new]], first_bits[y[new]] = x[new], bits[new]
+        first[y[new]] = x[new]
         nearer = bits < least[y]
         best[y[nearer]], least[y[nearer]] = x[nearer], bits[nearer]
-    kept = [(np.flatnonzero(best >= 0), best, least)]
-    kept.append((np.flatnonzero((first >= 0) & (first != best)), first, first_bits))
-    several = (hits > sum(np.bincount(i, minlength=len(rows)) for i, _, _ in kept)) | (rank >= cfg.head)
+    kept = [(np.flatnonzero(best >= 0), best), (np.flatnonzero((first >= 0) & (first != best)), first)]
+    several = (hits > sum(np.bincount(i, minlength=len(rows)) for i, _ in kept)) | (rank >= cfg.head)
     unknown = np.flatnonzero(several & (best < 0))
-    y = np.concatenate([*(i for i, _, _ in kept), unknown])
-    x = np.concatenate([*(other[i] for i, other, _ in kept), np.full(len(unknown), -1)])
-    bits = np.concatenate([*(b[i] for i, _, b in kept), np.zeros(len(unknown), np.int64)])
+    y = np.concatenate([*(i for i, _ in kept), unknown])
+    x = np.concatenate([*(other[i] for i, other in kept), np.full(len(unknown), -1)])
     partner = [pa.array(rows[c][x].astype(np.int64), mask=x < 0) for c in ("doc", "line", "key")]
     own = [pa.array(rows[c][y].astype(np.int64)) for c in ("sig", "doc", "line", "key")]
-    yield pa.RecordBatch.from_arrays([pa.array(several[y]), pa.array(bits), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(several[y]), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
     if several.any():
         many = np.bincount(start, weights=several, minlength=len(rows))[start] > 0
-        none = [pa.nulls(1, pa.bool_()), *[pa.nulls(1, pa.int64())] * 8]
+        none = [pa.nulls(1, pa.bool_()), *[pa.nulls(1, pa.int64())] * 7]
         yield pa.RecordBatch.from_arrays([*none, pa.array([part]), pa.array([rows[many].tobytes()], pa.binary())], names=_NAMES)
 
 
@@ -439,11 +438,15 @@ def _line_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(word_hashes((t or "").encode("utf-8"))[0]) for t in b.column(2).to_pylist()]
-            key = pa.array([int(s.sum(dtype=np.uint64).astype(np.int64).astype(np.int32)) for s in sets], pa.int64())
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), key, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "line", "key", "tokens"])
+            for part, texts in _groups(b, 2):
+                sets = Lines(texts)  # one line each
+                at, starts = sets.keep(1)
+                key = np.zeros(part.num_rows, np.int64)
+                key[at] = _keys(sets.h, starts)[0].astype(np.int32)
+                ends = np.append(0, np.cumsum(sets.n)).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key), tokens], names=["doc", "line", "key", "tokens"])
+        release()
 
     fields = [StructField(c, LongType()) for c in ("doc", "line", "key")]
     sets = near.select("doc", "line", "words").mapInArrow(run, StructType([*fields, StructField("tokens", ArrayType(LongType()))]))
@@ -451,15 +454,41 @@ def _line_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
-    """The lines (doc, line, key) of pairs whose full token sets are similar enough."""
+    """The lines (doc, line, key) of pairs whose full token sets are similar enough.
+
+    A line's set is sent to its partners' tasks, each of which holds one partner's set; a partner of many lines is
+    dealt to several tasks by salt.
+    """
+    own, other = ["doc", "line", "key"], ["xdoc", "xline", "xkey"]
     pairs = materialise(pairs)
-    wanted = pairs.select("doc", "line", "key").unionAll(pairs.selectExpr("xdoc", "xline", "xkey")).distinct()
-    sets = materialise(_line_tokens(rows, wanted))
-    other = sets.selectExpr("doc as xdoc", "line as xline", "key as xkey", "tokens as xtokens")
-    both = pairs.join(sets, ["doc", "line", "key"]).join(other, ["xdoc", "xline", "xkey"])
-    shared = F.size(F.array_intersect("tokens", "xtokens"))
-    both = both.filter(100 * shared >= cfg.percent * (F.size("tokens") + F.size("xtokens") - shared))
-    return both.select("doc", "line", "key").distinct()
+    salts = pairs.groupBy(*other).agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("salts"))
+    dealt = pairs.join(salts.filter("salts > 1"), other, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    y = dealt.select(*own, *other, F.pmod(F.xxhash64(*own), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
+    x = salts.select(*[F.col(c).alias(o) for c, o in zip(other, own)], *other, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    asked = y.unionByName(x)
+    sets = _line_tokens(rows, pairs.select(*own).unionAll(pairs.select(*other)).distinct())
+    group = [*other, "salt"]
+    sent = asked.join(sets, own).repartition(*group).sortWithinPartitions(*group, "role").select(*group, "role", *own, "tokens")
+    percent = cfg.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = head = None
+        for b in batches:
+            out = []
+            offsets, flat = b.column(8).offsets.to_numpy(), b.column(8).values.to_numpy(zero_copy_only=False)
+            for k, (*at, role, doc, line, key) in enumerate(zip(*(b.column(i).to_pylist() for i in range(8)))):
+                mine = flat[offsets[k] : offsets[k + 1]]
+                if role == 0:
+                    of, head = at, mine
+                elif of == at:
+                    both = len(np.intersect1d(head, mine, assume_unique=True))
+                    if 100 * both >= percent * (len(head) + len(mine) - both):
+                        out.append((doc, line, key))
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=own)
+        release()
+
+    return sent.mapInArrow(run, "doc long, line long, key long").distinct()
 
 
 _REST = "sig long, doc long, line long, key long, xdoc long, xline long, xkey long, open boolean"
@@ -501,19 +530,49 @@ def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Ite
         yield pa.RecordBatch.from_arrays([*columns(d, ("sig", "doc", "line", "key")), *[pa.nulls(len(d), pa.int64())] * 3, pa.array(np.concatenate(flags))], names=names)
 
 
+def _marked(keys: DataFrame) -> np.ndarray:
+    """A table of KEY_BUCKETS flags: the buckets (low bits) of one column of hashes, gathered in 32 rows."""
+    bucket = keys.select(F.col(keys.columns[0]).bitwiseAND(KEY_BUCKETS - 1).alias("k")).distinct()  # no more rows than flags
+    row = KEY_BUCKETS // 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            k = b.column(0).to_numpy()
+            for r in np.unique(k // row).tolist():
+                found.setdefault(r, np.zeros(row, bool))[k[k // row == r] % row] = True
+        rows = [np.packbits(v).tobytes() for v in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(rows, pa.binary())], names=["row", "bits"])
+
+    flags = np.zeros(KEY_BUCKETS, bool)
+    for r in bucket.repartition(32, F.floor(F.col("k") / row)).mapInArrow(run, "row long, bits binary").collect():
+        flags[r["row"] * row : (r["row"] + 1) * row] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return flags
+
+
 def _rest(blobs: DataFrame, open_lines: DataFrame, parts: int, cfg: LineDedupConfig) -> DataFrame:
     """open_pairs() of every part that has open lines (sig, doc, line, key)."""
+    flags = open_lines.sparkSession.sparkContext.broadcast(_marked(open_lines.select("sig")))
     part = F.floor(F.shiftrightunsigned("sig", 32) * F.lit(parts) / F.lit(1 << 32)).cast("long")
     asked = open_lines.groupBy(part.alias("part")).agg(F.collect_list(F.struct("sig", "doc", "line", "key")).alias("asked"))
     kind = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("key", "<i8")])
 
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, blob in zip(b.column(0), b.column(1)):
+                rows = np.frombuffer(blob.as_py(), _SIGNED)
+                rows = rows[flags.value[rows["sig"] & (KEY_BUCKETS - 1)]]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([rows.tobytes()])], names=["part", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob, asked in zip(b.column(0), b.column(1)):
                 lines = np.array([(x["sig"], x["doc"], x["line"], x["key"]) for x in asked.as_py()], kind)
                 yield from open_pairs(np.frombuffer(blob.as_py(), _SIGNED), lines, cfg)
+        release()
 
-    return blobs.join(asked, "part").select("blob", "asked").mapInArrow(run, _REST)
+    return blobs.mapInArrow(needed, "part long, blob binary").join(asked, "part").select("blob", "asked").mapInArrow(run, _REST)
 
 
 def _verified_dense(dense: DataFrame, rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
@@ -580,31 +639,21 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
     first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid")).alias("p"), F.count(F.lit(1)).alias("n"))
     first = materialise(first.select("k1", "k2", "p.*", "n"))
     total = first.agg(F.sum("n")).first()[0] or 0
-    copied = first.filter(F.col("n") > max(4, total // HOT_SHARE)).select("k1", "k2", "doc", "line").collect()  # fewer than HOT_SHARE
+    copied = first.filter(F.col("n") > max(4, total // HOT_SHARE)).select("k1", "k2", "doc", "line").toArrow()  # fewer than HOT_SHARE
 
     parts = max(16, 12 * total // PART_ROWS)
     signed = _signed(rows, cells, least_class, parts, copied, cfg).repartition(parts, "part").sortWithinPartitions("part")
     found = materialise(signed.mapInArrow(lambda it: _part_rows(it, cfg), _FOUND))
     place, names = ["doc", "line", "key"], ["doc", "line", "key", "xdoc", "xline", "xkey"]
-    partner = F.when(F.col("xdoc").isNotNull(), F.struct("xdoc", "xline", "xkey"))
-    nearest = F.min(F.when(F.col("xdoc").isNotNull(), F.struct("bits", "xdoc", "xline", "xkey")))
-    best = found.filter("doc is not null").groupBy(*place).agg(
-        nearest.alias("b"), F.min(partner).alias("x"), F.max(partner).alias("z"), F.max("more").alias("more")
-    )
-    pair = F.array(F.struct("b.xdoc", "b.xline", "b.xkey"), "x", "z")
-    best = materialise(best.select(*place, F.array_distinct(pair).alias("xs"), F.when(F.col("b").isNotNull(), F.col("more") | (F.col("x") != F.col("z"))).otherwise(True).alias("open")))
-    pairs = best.select(*place, F.explode("xs").alias("x")).select(*place, "x.*").filter("xdoc is not null")
-    near_lines = materialise(_verified(pairs, rows, cfg))
-
-    # what these partners didn't settle: the line's other partners, and all earlier lines of the buckets with more
-    left = materialise(best.filter("open").select(*place).join(near_lines, place, "left_anti"))
-    others = found.filter("xdoc is not null").select(*names).join(left, place, "left_semi")
-    asked = found.filter("more").select("sig", *place).distinct().join(left, place, "left_semi")
-    rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), asked, parts, cfg))
-    few = _verified(others.unionAll(rest.filter("xdoc is not null").select(*names)).distinct(), rows, cfg)
+    near_lines = materialise(_verified(found.filter("xdoc is not null").select(*names).distinct(), rows, cfg))
+
+    # what these partners didn't settle, against all earlier lines of the buckets that have more
+    asked = found.filter("more").select("sig", *place).distinct().join(near_lines, place, "left_anti")
+    rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), materialise(asked), parts, cfg))
+    few = _verified(rest.filter("xdoc is not null").select(*names).distinct(), rows, cfg)
     dense = rest.filter("xdoc is null").select("sig", *place, "open")
     gone = materialise(near_lines.unionAll(few).unionAll(_verified_dense(dense, rows, cfg)).distinct())
-    discard(found, best, left, near_lines, rest)
+    discard(found, near_lines, rest)
 
     # sets that have a line to remove: those of several lines, and those that are gone
     first = first.withColumn("key", F.shiftright(F.shiftleft("k1", 32), 32)).withColumn("place", F.xxhash64(*place))
