@@ -287,7 +287,7 @@ def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, co
     def deal(held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(held)
         part_of = (every["sig"].view(np.uint64) >> U64(32)).astype(np.int64) * parts >> 32
-        every = every[np.argsort(part_of, kind="stable")]
+        every = every[np.argsort(part_of.astype(np.uint16) if parts < 1 << 16 else part_of, kind="stable")]
         ends = np.cumsum(np.bincount(part_of, minlength=parts))
         blobs = [(k, every[a:b].tobytes()) for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
@@ -353,23 +353,26 @@ _NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
 def _without_copies(rows: np.ndarray) -> np.ndarray:
     """Rows of the signatures that several sets have, one row (the earliest line) for each set, by signature and place."""
-    rows = rows[np.argsort(np.ascontiguousarray(rows["sig"]))]
-    sig = np.ascontiguousarray(rows["sig"])
-    new = np.append(True, sig[1:] != sig[:-1])
-    rows = rows[~(new & np.append(new[1:], True))]  # a signature of its own
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["sig"]))]
-    if not len(rows):
-        return rows
-    fields = [np.ascontiguousarray(rows[f]) for f in ("sig", "key", "low", "high")]
-    mark = np.zeros(len(rows), np.uint64)
+    sig, doc, line = (np.ascontiguousarray(rows[f]) for f in ("sig", "doc", "line"))
+    order = np.argsort(sig)
+    new = np.append(True, sig[order[1:]] != sig[order[:-1]])[: len(order)]
+    order = order[~(new & np.append(new[1:], True)[: len(order)])]  # without signatures of their own
+    if not len(order):
+        return rows[:0]
+    sig, doc, line = sig[order], doc[order], line[order]
+    small = doc.min() >= 0 and doc.max() < 1 << 42 and line.max() < 1 << 21  # then a place is one number
+    at = np.lexsort((doc << 21 | line, sig) if small else (line, doc, sig))
+    order, sig = order[at], sig[at]
+    fields = [sig, *(np.ascontiguousarray(rows[f])[order] for f in ("key", "low", "high"))]
+    mark = np.zeros(len(order), np.uint64)
     for f in fields:
         mark = mix(mark * U64(3) + f.astype(np.int64).view(np.uint64))
     _, at, of = np.unique(mark, return_index=True, return_inverse=True)
     head = at[of]
-    copy = head != np.arange(len(rows))
+    copy = head != np.arange(len(order))
     for f in fields:
         copy &= f == f[head]
-    return rows[~copy]
+    return rows[order[~copy]]
 
 
 def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
@@ -496,7 +499,8 @@ _REST = "sig long, doc long, line long, key long, xdoc long, xline long, xkey lo
 
 def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
     """Of a part's rows and its open lines (sig, doc, line, key): each open line with its plausible earlier lines of a
-    bucket; or, where these are more than the bucket's rows, the rows and whether they are open (xdoc is null)."""
+    bucket; or, where these are more than the bucket's rows that are in any such pair, those rows and whether they are
+    open (xdoc is null)."""
     lines = lines[np.argsort(lines["sig"], kind="stable")]
     names = [f.split()[0] for f in _REST.split(", ")]
     sigs, first = np.unique(lines["sig"], return_index=True)
@@ -507,14 +511,18 @@ def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Ite
         known = {tuple(x) for x in asked[["doc", "line", "key"]].tolist()}
         is_open = np.array([tuple(x) in known for x in bucket[["doc", "line", "key"]].tolist()], bool)
         marks = (bucket["n"].astype(np.int64), *(np.ascontiguousarray(bucket[f]).view(np.uint64) for f in ("low", "high")), bucket["pos"].astype(np.int64))
-        found = []
+        found, met = [], is_open.copy()
         for y in np.flatnonzero(is_open):
             a, b = tuple(m[y : y + 1] for m in marks), tuple(m[:y] for m in marks)
-            found.append((y, plausible(a, b, cfg.percent)[0]))
-            if sum(len(x) for _, x in found) > len(bucket):
-                dense.append(bucket)
-                flags.append(is_open)
+            x = plausible(a, b, cfg.percent)[0]
+            found.append((y, x))
+            met[x] = True
+            if sum(len(x) for _, x in found) > 16 * len(bucket):
+                met[:] = True
                 break
+        if sum(len(x) for _, x in found) > met.sum():
+            dense.append(bucket[met])
+            flags.append(is_open[met])
         else:
             ys += [bucket[np.full(len(x), y)] for y, x in found]
             xs += [bucket[x] for _, x in found]
@@ -572,7 +580,8 @@ def _rest(blobs: DataFrame, open_lines: DataFrame, parts: int, cfg: LineDedupCon
                 yield from open_pairs(np.frombuffer(blob.as_py(), _SIGNED), lines, cfg)
         release()
 
-    return blobs.mapInArrow(needed, "part long, blob binary").join(asked, "part").select("blob", "asked").mapInArrow(run, _REST)
+    # a merge join, so that the two Python steps are in different stages
+    return blobs.mapInArrow(needed, "part long, blob binary").hint("merge").join(asked, "part").select("blob", "asked").mapInArrow(run, _REST)
 
 
 def _verified_dense(dense: DataFrame, rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
@@ -684,7 +693,7 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), count
     joined = maybe.join(gone, ["rid", "doc"], "left").select("_row", "removed")
     rows = joined.unionAll(clear.select("_row", F.lit(None).cast("array<long>").alias("removed")))
     # columns of their own: an expression inside a lambda would be evaluated for every line
-    out = rows.withColumn("_lines", F.split("_row.text", "\n", -1))
+    out = rows.withColumn("_lines", F.when(F.col("removed").isNotNull(), F.split("_row.text", "\n", -1)))
     at = F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1)
     out = out.withColumn("_at", F.when(F.col("removed").isNotNull(), F.array_except(at, "removed")))
     kept = F.transform("_at", lambda i: F.get("_lines", i.cast("int")))
@@ -692,5 +701,6 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), count
     columns = [F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     if not counts:
         return out.select(*columns)
-    n_lines = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    breaks = F.octet_length("_row.text") - F.octet_length(F.replace(F.col("_row.text"), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
     return out.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
