@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut as materialise
 from ..scratch import discard
 
-__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "discard", "key_bucket", "materialise", "release", "split_by_keys", "table"]
+__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "bucket_flags", "discard", "key_bucket", "materialise", "release", "split_by_keys", "table"]
 
 #: White space of the corpus contracts: the complement is a word character.
 SPACE = r"\x20\x09-\x0D"
@@ -55,6 +57,26 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
     return tagged.join(buckets, name, "left_semi").drop(name), tagged.join(buckets, name, "left_anti").drop(name)
 
 
+def bucket_flags(keys: DataFrame) -> np.ndarray:
+    """A table of KEY_BUCKETS flags: the buckets (low bits) of one column of hashes, gathered in 32 rows."""
+    bucket = keys.select(F.col(keys.columns[0]).bitwiseAND(KEY_BUCKETS - 1).alias("k")).distinct()  # no more rows than flags
+    row = KEY_BUCKETS // 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            k = b.column(0).to_numpy()
+            for r in np.unique(k // row).tolist():
+                found.setdefault(r, np.zeros(row, bool))[k[k // row == r] % row] = True
+        rows = [np.packbits(v).tobytes() for v in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(rows, pa.binary())], names=["row", "bits"])
+
+    flags = np.zeros(KEY_BUCKETS, bool)
+    for r in bucket.repartition(32, F.floor(F.col("k") / row)).mapInArrow(run, "row long, bits binary").collect():
+        flags[r["row"] * row : (r["row"] + 1) * row] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return flags
+
+
 def bucket_bits(rows: int) -> int:
     """Bits of a hash prefix such that its buckets hold about BUCKET_ROWS of ``rows`` rows."""
     return max(4, min(30, (max(rows, 1) // BUCKET_ROWS).bit_length()))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import KEY_BUCKETS, discard, materialise, release, split_by_keys
+from .common import KEY_BUCKETS, bucket_flags, discard, materialise, release, split_by_keys
 from .text import U64, chunks, mix, word_hashes
 
 #: Cells of the table of token classes: its size is fixed, so it can be sent to every task.
@@ -538,29 +538,9 @@ def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Ite
         yield pa.RecordBatch.from_arrays([*columns(d, ("sig", "doc", "line", "key")), *[pa.nulls(len(d), pa.int64())] * 3, pa.array(np.concatenate(flags))], names=names)
 
 
-def _marked(keys: DataFrame) -> np.ndarray:
-    """A table of KEY_BUCKETS flags: the buckets (low bits) of one column of hashes, gathered in 32 rows."""
-    bucket = keys.select(F.col(keys.columns[0]).bitwiseAND(KEY_BUCKETS - 1).alias("k")).distinct()  # no more rows than flags
-    row = KEY_BUCKETS // 32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            k = b.column(0).to_numpy()
-            for r in np.unique(k // row).tolist():
-                found.setdefault(r, np.zeros(row, bool))[k[k // row == r] % row] = True
-        rows = [np.packbits(v).tobytes() for v in found.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(rows, pa.binary())], names=["row", "bits"])
-
-    flags = np.zeros(KEY_BUCKETS, bool)
-    for r in bucket.repartition(32, F.floor(F.col("k") / row)).mapInArrow(run, "row long, bits binary").collect():
-        flags[r["row"] * row : (r["row"] + 1) * row] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return flags
-
-
 def _rest(blobs: DataFrame, open_lines: DataFrame, parts: int, cfg: LineDedupConfig) -> DataFrame:
     """open_pairs() of every part that has open lines (sig, doc, line, key)."""
-    flags = open_lines.sparkSession.sparkContext.broadcast(_marked(open_lines.select("sig")))
+    flags = open_lines.sparkSession.sparkContext.broadcast(bucket_flags(open_lines.select("sig")))
     part = F.floor(F.shiftrightunsigned("sig", 32) * F.lit(parts) / F.lit(1 << 32)).cast("long")
     asked = open_lines.groupBy(part.alias("part")).agg(F.collect_list(F.struct("sig", "doc", "line", "key")).alias("asked"))
     kind = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("key", "<i8")])

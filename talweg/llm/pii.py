@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import KEY_BUCKETS, bucket_flags, discard, materialise, release
+from .text import U64, mix, span_hashes, words_of
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the fixed patterns, and the one that only the method finds.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = 4
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Runs are taken whole: a match that begins or ends inside a run of digits never succeeds where the whole run fails.
@@ -20,22 +26,24 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"\S+")
-_EDGE = "\"'()[]{}<>|,.;:!?*#$%&="
+#: Seeds of secrets: keys of 128, 160 and 256 bits in hexadecimal. A seed is reported only where a pattern vouches for it.
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])")
+_EDGE = b"\"'()[]{}<>|,.;:!?*#$%&="
+_IS_EDGE = np.zeros(256, bool)
+_IS_EDGE[list(_EDGE)] = True
+_IS_GROUP = np.zeros(256, bool)
+_IS_GROUP[list(b"0123456789().+-")] = True
 
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """``context`` characters on either side are read for patterns. A pattern needs ``support`` different seeds
-    of a kind, and that share ``confidence`` of all its instances; an instance needs ``accept``."""
+    """A pattern needs ``support`` different seeds of a kind, and that share ``confidence`` of all its instances; an
+    instance needs ``accept``. In each of ``rounds`` rounds the instances accepted before count as seeds."""
 
-    context: int = 64
-    least_digits: int = 4
-    longest: int = 64
     support: int = 3
     confidence: float = 0.6
     accept: float = 0.8
-    rounds: int = 3
+    rounds: int = 2
 
 
 def luhn(digits: str) -> bool:
@@ -81,100 +89,228 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _patterns(text: str, start: int, end: int, width: int) -> list[int]:
-    """Hashes of the contexts of a span: the two words to its left; the words on both sides."""
-    import xxhash
+class Words:
+    """A text's words with their spans without punctuation, numbers of several groups as one span, and contexts."""
+
+    def __init__(self, text: str) -> None:
+        self.raw = text.encode("utf-8", "surrogatepass")
+        b = np.frombuffer(self.raw, np.uint8)
+        self.first = np.flatnonzero((b & 0xC0) != 0x80)  # the first byte of each character
+        self.start, self.end = words_of(self.raw)
+        self.h = span_hashes(self.raw, self.start, self.end)
+        n = len(self.h)
+        group, digit = np.append(0, np.cumsum(_IS_GROUP[b])), np.append(0, np.cumsum((b >= 48) & (b <= 57)))
+        numeric = (group[self.end] - group[self.start] == self.end - self.start) & (digit[self.end] > digit[self.start])
+        joined = np.zeros(n, bool)  # a group that goes on with the next word
+        joined[:-1] = numeric[:-1] & numeric[1:] & (self.start[1:] == self.end[:-1] + 1)
+        self.head = np.append(True, ~joined[:-1])[:n]  # words that begin a span
+        stops = np.flatnonzero(~joined)
+        self.last = stops[np.searchsorted(stops, np.arange(n))] if n else stops  # the word in which the span ends
+        solid = np.flatnonzero(~_IS_EDGE[b])
+        end = self.end[self.last]
+        self.s = np.append(solid, len(b))[np.searchsorted(solid, self.start)]
+        self.e = np.append(solid, 0)[np.searchsorted(solid, end) - 1] + 1
+        self.s, self.e = np.minimum(self.s, end), np.maximum(self.e, np.minimum(self.s, end))
+        self.label = np.zeros(n, bool)
+        self.label[1:] = np.isin(b[self.end[:-1] - 1], (58, 61)) if n > 1 else False
+
+    def contexts(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Patterns (hashes, and whether they are there) of spans from word i to word j: the two words to the left; the
+        words on both sides; the word to the left if it ends in a colon or an equals sign."""
+        n = len(self.h)
+        left, before = self.h[np.maximum(i - 1, 0)], self.h[np.maximum(i - 2, 0)]
+        right = self.h[np.minimum(j + 1, n - 1)]
+        pats = np.stack([mix(before * U64(3) + left), mix(left * U64(5) + right), mix(left ^ U64(0x5A5A))], 1)
+        return pats, np.stack([i >= 2, (i >= 1) & (j + 1 < n), (i >= 1) & self.label[i]], 1)
+
+    def inner(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Labels within words, as in name=value: word, first byte of the value, and pattern."""
+        b = np.frombuffer(self.raw, np.uint8)
+        sign = np.flatnonzero((b == 61) | (b == 58))
+        word = np.searchsorted(self.start, sign, "right") - 1
+        keep = np.append(True, word[1:] != word[:-1])[: len(word)] & (sign < self.end[word] - 1)  # the first one of a word
+        sign, word = sign[keep], word[keep]
+        return word, sign + 1, mix(span_hashes(self.raw, self.start[word], sign + 1) ^ U64(0x5A5A))
+
+
+def seeds(text: str) -> list[tuple[int, int, int]]:
+    """Base spans and seeds of secrets that touch none of them."""
+    base = base_spans(text)
+    if not _DIGIT.search(text):
+        return base
+    touches = _touching([(s, e) for _, s, e in base])
+    more = [(BASE_KINDS, m.start(), m.end()) for m in _SECRET.finditer(text) if _DIGIT.search(m.group()) and re.search("[a-f]", m.group())]
+    return base + [x for x in more if not touches(x[1], x[2])]
 
-    left = text[max(0, start - width) : start].lower().split()
-    if left and start > width and not text[start - width - 1].isspace():
-        left = left[1:]  # cut off by the window
-    right = text[end : end + width].lower().split()
-    sides = []
-    if len(left) >= 2:
-        sides.append(f"l {left[-2]} {left[-1]}")
-    if left and right:
-        sides.append(f"b {left[-1]} {right[0].strip(_EDGE)}")
-    return [xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63) for s in sides]
 
+def _touching(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span touches one of these."""
+    spans = sorted(spans)
+    starts, far = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    return lambda start, end: (k := bisect_left(starts, end)) > 0 and far[k - 1] > start
 
-def _instance(text: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(text.lower().encode("utf-8", "surrogatepass")) - (1 << 63)
+def _only_edges(raw: bytes, start: int, end: int) -> bool:
+    """Whether punctuation alone, of 64 bytes at most, is between a context and a seed."""
+    return end - start <= 64 and not raw[start:end].strip(_EDGE)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]], cfg: PiiConfig) -> list[tuple[int, int]]:
-    """Words with enough digits, without punctuation at their edges, that no span of ``taken`` touches."""
-    if not _DIGIT.search(text):
+def occurrences(text: str, flags: np.ndarray | None) -> list[tuple[int, int, int, int, list[int]]]:
+    """(kind, start, end, instance, patterns) of every seed and, with ``flags`` (of pattern or instance buckets), every
+    other span (kind -1) that has a flagged pattern or is a flagged instance and touches no seed."""
+    found = seeds(text)
+    if not found and flags is None:
         return []
-    spans = sorted((s, e) for _, s, e in taken)
-    out, k = [], 0
-    for m in _WORD.finditer(text):
-        word = m.group()
-        if len(word) > cfg.longest + 16 or sum("0" <= c <= "9" for c in word) < cfg.least_digits:
-            continue
-        start = m.start() + len(word) - len(word.lstrip(_EDGE))
-        end = m.end() - (len(word) - len(word.rstrip(_EDGE)))
-        while k < len(spans) and spans[k][1] <= start:
-            k += 1
-        if end - start <= cfg.longest and not (k < len(spans) and spans[k][0] < end):
-            out.append((start, end))
+    w = Words(text)
+    out: list[tuple[int, int, int, int, list[int]]] = []
+    if not len(w.h):
+        return out
+    word, value, label = w.inner()
+    inner = {int(k): (int(v), int(p)) for k, v, p in zip(word, value, label)}
+
+    def signed(x: np.ndarray) -> np.ndarray:
+        return x.view(np.int64)
+
+    if found:
+        at = np.append(w.first, len(w.raw))
+        s, e = at[[x[1] for x in found]], at[[x[2] for x in found]]
+        i, j = np.searchsorted(w.start, s, "right") - 1, np.searchsorted(w.start, e - 1, "right") - 1
+        pats, there = w.contexts(i, j)
+        inst = signed(span_hashes(w.raw, s, e))
+        for k, (kind, start, end) in enumerate(found):
+            value, label = inner.get(int(i[k]), (len(w.raw), 0))
+            own = [int(p) for p in signed(pats[k][there[k]])] if _only_edges(w.raw, w.start[i[k]], s[k]) else []
+            if value <= s[k] and _only_edges(w.raw, value, s[k]):
+                own = [int(np.uint64(label).view(np.int64))]
+            out.append((kind, start, end, int(inst[k]), own))
+    if flags is None:
+        return out
+    touches = _touching([(x[1], x[2]) for x in found])
+    heads = np.flatnonzero(w.head & (w.s < w.e))
+    pats, there = w.contexts(heads, w.last[heads])
+    inst = span_hashes(w.raw, w.s[heads], w.e[heads])
+    bucket = (pats & U64(KEY_BUCKETS - 1)).astype(np.int64)
+    hit = (flags[bucket] & there).any(1) | flags[(inst & U64(KEY_BUCKETS - 1)).astype(np.int64)]
+    for k in np.flatnonzero(hit).tolist():
+        start, end = np.searchsorted(w.first, [w.s[heads[k]], w.e[heads[k]]]).tolist()
+        if not touches(start, end):
+            out.append((-1, start, end, int(signed(inst[k : k + 1])[0]), [int(p) for p in signed(pats[k][there[k]])]))
+    for i, (v, p) in inner.items():
+        if flags[p & (KEY_BUCKETS - 1)]:
+            value = w.raw[v : w.end[i]]
+            s = v + len(value) - len(value.lstrip(_EDGE))
+            e = v + len(value.rstrip(_EDGE))
+            start, end = np.searchsorted(w.first, [s, e]).tolist()
+            if s < e and not touches(start, end):
+                out.append((-1, start, end, int(signed(span_hashes(w.raw, np.array([s]), np.array([e])))[0]), [int(np.uint64(p).view(np.int64))]))
     return out
 
 
-_MARKS = "kind int, start long, stop long, inst long, pats array<long>"
-
-
-def marks(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
-    """doc_id, n_<kind> and spans of every row: each base span and (kind -1) each candidate with instance and patterns."""
-    types = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("inst", pa.int64()), ("pats", pa.list_(pa.int64()))]))
+def _rows(docs: DataFrame) -> DataFrame:
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc_id"), F.xxhash64(doc, "text").alias("rid"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts: list[list[int]] = [[], [], [], []]
-            spans = []
-            for text in (t.as_py() or "" for t in b.column(1)):
-                found = base_spans(text)
-                for k in range(4):
-                    counts[k].append(sum(x[0] == k for x in found))
-                every = found + [(-1, s, e) for s, e in candidates(text, found, cfg)]
-                spans.append([{"kind": k, "start": s, "stop": e, "inst": _instance(text[s:e]), "pats": _patterns(text, s, e, cfg.context)} for k, s, e in every])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(spans, types)],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "marks"],
-            )
 
-    schema = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, marks array<struct<{_MARKS.replace(' ', ':').replace(',:', ',')}>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+    for k in range(b.num_rows):
+        yield k, b.column(2)[k].as_py() or ""
 
 
-def bootstrap(found: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
-    """(inst, kind): the candidate instances that high-confidence patterns vouch for.
+def _edges(docs: DataFrame, flags: np.ndarray | None) -> DataFrame:
+    """occurrences() of all texts: doc_id, rid, start, stop, inst, kind, pats."""
+    shared = None if flags is None else docs.sparkSession.sparkContext.broadcast(flags)
+    names = ["doc_id", "rid", "start", "stop", "inst", "kind", "pats"]
 
-    Seeds have confidence 1 for their kind. In each round a pattern's confidence for a kind is the confidence
-    of its different instances, summed and divided by their number, candidates of no kind included; an
-    instance's is one minus the product of its patterns' doubts. Instances accepted in a round are seeds of
-    the next. Pattern and instance tables are grouped with sums combined before the shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for k, text in _texts(b):
+                new = occurrences(text, shared and shared.value)
+                at += [k] * len(new)
+                rows += new
+            of = pa.array(at, pa.int64())
+            columns = list(zip(*rows)) or [[]] * 5
+            kind, start, stop, inst = (pa.array(c, pa.int64()) for c in columns[:4])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), start, stop, inst, kind, pa.array(list(columns[4]), pa.list_(pa.int64()))], names=names)
+        release()
+
+    return _rows(docs).mapInArrow(run, "doc_id long, rid long, start long, stop long, inst long, kind long, pats array<long>")
+
+
+def score(edges: DataFrame, cfg: PiiConfig = PiiConfig()) -> tuple[DataFrame, DataFrame]:
+    """Of a graph (pat, inst, kind; a row for each pair): the accepted instances (inst, kind, conf) and the patterns (pat,
+    kind, p) that vouch for them.
+
+    Seeds have confidence 1 for their kind. In each round a pattern's confidence for a kind is the confidence of its
+    different instances, summed and divided by their number, instances of no kind included; an instance's is one
+    minus the product of its patterns' doubts. Instances accepted in a round are seeds of the next. Pattern and instance
+    tables are grouped with sums combined before the shuffle.
     """
-    spans = found.select(F.explode("marks").alias("m")).select("m.kind", "m.inst", F.explode("m.pats").alias("pat"))
-    edges = materialise(spans.groupBy("pat", "inst").agg(F.max("kind").alias("kind")))
     total = edges.groupBy("pat").agg(F.count(F.lit(1)).alias("n"))
-    seeds = edges.filter("kind >= 0").select("inst", "kind").distinct().withColumn("conf", F.lit(1.0))
-    base = seeds
-    accepted = None
+    base = edges.filter("kind >= 0").select("inst", "kind").distinct().withColumn("conf", F.lit(1.0))
+    known, accepted, strong = base, None, None
     for _ in range(cfg.rounds):
-        votes = edges.select("pat", "inst").join(seeds, "inst")
+        votes = edges.select("pat", "inst").join(known, "inst")
         strong = votes.groupBy("pat", "kind").agg(F.sum("conf").alias("s"), F.count(F.lit(1)).alias("seeds"))
         strong = strong.filter(F.col("seeds") >= cfg.support).join(total, "pat").withColumn("p", F.col("s") / F.col("n"))
-        strong = strong.filter(F.col("p") >= cfg.confidence).select("pat", "kind", "p")
-        open_edges = edges.filter("kind < 0").select("pat", "inst").join(strong, "pat")
+        strong = materialise(strong.filter(F.col("p") >= cfg.confidence).select("pat", "kind", "p"))
         doubt = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6))))
-        scored = open_edges.groupBy("inst", "kind").agg((1 - F.exp(doubt)).alias("conf"))
+        scored = edges.filter(f"kind < 0 or kind = {BASE_KINDS}").select("pat", "inst").join(strong, "pat")
+        scored = scored.groupBy("inst", "kind").agg((1 - F.exp(doubt)).alias("conf"))
         best = scored.groupBy("inst").agg(F.max(F.struct("conf", -F.col("kind"))).alias("b"))
         accepted = best.select("inst", (-F.col("b.col2")).alias("kind"), F.col("b.conf").alias("conf")).filter(F.col("conf") >= cfg.accept)
         accepted = materialise(accepted)
-        seeds = base.unionAll(accepted)
-    return accepted.select("inst", "kind")
+        known = base.unionAll(accepted.join(base.select("inst"), "inst", "left_anti"))
+    return accepted, strong
+
+
+def bootstrap(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
+    """doc_id, rid, kind, start, stop of what patterns add to the base spans.
+
+    Seeds' contexts are patterns; those with enough seeds are looked up in all texts, with every span they have; the
+    graph of both is scored; accepted instances are looked up everywhere, and their contexts are patterns too. What
+    is looked up is a table of KEY_BUCKETS flags: where it fills up, more is read and nothing is lost. An
+    occurrence is added where a pattern that vouches for its kind is beside it.
+    """
+    edges = materialise(_edges(docs, None))
+    wanted = edges.select("inst", F.explode("pats").alias("pat"), "kind").distinct().groupBy("pat", "kind").agg(F.count(F.lit(1)).alias("n"))
+    keys = wanted.filter(F.col("n") >= cfg.support).select("pat")
+    accepted = strong = None
+    for k in range(cfg.rounds):
+        flags = bucket_flags(keys)
+        discard(edges)
+        edges = materialise(_edges(docs, flags))
+        graph = materialise(edges.select(F.explode("pats").alias("pat"), "inst", "kind").groupBy("pat", "inst").agg(F.max("kind").alias("kind")))
+        accepted, strong = score(graph, cfg)
+        if k + 1 < cfg.rounds:
+            named = graph.join(accepted.select("inst"), "inst", "left_semi").select("pat", "inst").unionAll(graph.filter("kind >= 0").select("pat", "inst"))
+            keys = named.distinct().groupBy("pat").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cfg.support).select("pat")
+            keys = keys.unionAll(accepted.select("inst"))
+    places = edges.filter(f"kind < 0 or kind = {BASE_KINDS}").select("doc_id", "rid", "start", "stop", "inst", F.explode("pats").alias("pat"))
+    added = places.join(accepted.select("inst", "kind"), "inst").join(strong.select("pat", "kind"), ["pat", "kind"])
+    return added.select("doc_id", "rid", F.col("kind").cast("int").alias("kind"), "start", "stop").distinct()
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, n_<kind> and base_spans of every row."""
+    types = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: list[list[int]] = [[], [], [], []]
+            spans = []
+            for _, text in _texts(b):
+                found = base_spans(text)
+                for k in range(BASE_KINDS):
+                    counts[k].append(sum(x[0] == k for x in found))
+                spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in found])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(spans, types)],
+                names=["doc_id", "rid", "n_email", "n_ip", "n_card", "n_phone", "base_spans"],
+            )
+
+    schema = "doc_id long, rid long, n_email long, n_ip long, n_card long, n_phone long, base_spans array<struct<kind:int,start:long,stop:long>>"
+    return _rows(docs).mapInArrow(run, schema)
 
 
 def _joined(spans: Column) -> Column:
@@ -185,23 +321,27 @@ def _joined(spans: Column) -> Column:
 def find(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
     """doc_id, base counts, base_spans and spans (arrays of kind number, start, stop, in that order) of every row.
 
-    Null text counts as empty. Every occurrence of an accepted instance that touches no base span is added,
-    under the kind of its patterns. Rows that repeat an id each have their own spans.
+    Null text counts as empty and has no spans; very long texts are read whole. Rows of the same id and text have the
+    same spans, rows that repeat an id with another text have their own, a null id is an id. An empty table gives
+    none. Added spans touch no base span.
     """
-    found = materialise(marks(docs, cfg).withColumn("row", F.monotonically_increasing_id()))
-    more = bootstrap(found, cfg)
-    open_marks = found.select("row", F.explode(F.filter("marks", lambda m: m["kind"] < 0)).alias("m")).select("row", "m.start", "m.stop", "m.inst")
-    added = open_marks.join(more, "inst").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("added"))
-    base = F.array_sort(F.transform(F.filter("marks", lambda m: m["kind"] >= 0), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"))))
-    rows = found.withColumn("base_spans", base).drop("marks").join(added, "row", "left")
+    more = materialise(bootstrap(docs, cfg))
+    added = more.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("added"))  # one text's
+    base = _base(docs).alias("b")
+    on = F.col("b.rid").eqNullSafe(F.col("a.rid")) & F.col("b.doc_id").eqNullSafe(F.col("a.doc_id"))
+    rows = base.join(added.alias("a"), on, "left")
     spans = F.when(F.col("added").isNull(), F.col("base_spans")).otherwise(F.array_sort(F.concat("base_spans", "added")))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", spans.alias("spans"))
+    return rows.select("b.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", spans.alias("spans"))
 
 
 def digests(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row, and n_secret and n_spans: how many spans
+    of that kind, and in all, the row has. Rows and edge cases are those of find()."""
     out = find(docs, cfg)
     return out.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2(F.encode(_joined(F.col("base_spans")), "UTF-8"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == BASE_KINDS)).cast("long").alias("n_secret"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -36,22 +36,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of UTF-8 text (A-Z as a-z), with each word's first byte and end."""
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        none = np.empty(0, np.int64)
-        return np.empty(0, U64), none, none
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[b]
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte and the end of each word of UTF-8 text."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[np.frombuffer(raw, np.uint8)]
     edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def span_hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of spans (A-Z as a-z); equal bytes have equal hashes wherever they are."""
     if not len(start):
-        return np.empty(0, U64), start, end
+        return np.empty(0, U64)
+    b = np.frombuffer(raw, np.uint8)
     power, inverse = _power(len(b))
     total = np.zeros(len(b) + 1, U64)
     np.cumsum(_BYTE[b] * power, out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64)), start, end
+    return mix((total[end] - total[start]) * inverse[np.minimum(start, len(b) - 1)] + (end - start).astype(U64))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of UTF-8 text (A-Z as a-z), with each word's first byte and end."""
+    if not raw:
+        none = np.empty(0, np.int64)
+        return np.empty(0, U64), none, none
+    start, end = words_of(raw)
+    return span_hashes(raw, start, end), start, end
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
