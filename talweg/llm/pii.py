@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_BUCKETS, bucket_flags, discard, materialise, release
-from .text import U64, mix, span_hashes, words_of
+from .common import KEY_BUCKETS, bucket_flags, materialise, release
+from .text import U64, chunks, mix, span_hashes, words_of
 
 #: The kinds of the fixed patterns, and the one that only the method finds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -37,8 +37,9 @@ _IS_GROUP[list(b"0123456789().+-")] = True
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """A pattern needs ``support`` different seeds of a kind, and that share ``confidence`` of all its instances; an
-    instance needs ``accept``. In each of ``rounds`` rounds the instances accepted before count as seeds."""
+    """A pattern needs ``support`` different seeds of a kind, and that share ``confidence`` of all its occurrences has
+    one; an instance needs ``accept``. In each of ``rounds`` rounds the instances accepted before count as seeds; a
+    round without new ones is the last."""
 
     support: int = 3
     confidence: float = 0.6
@@ -90,38 +91,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Words:
-    """A text's words with their spans without punctuation, numbers of several groups as one span, and contexts."""
+    """The words of some texts with their spans without punctuation, numbers of several groups as one span, and contexts."""
 
-    def __init__(self, text: str) -> None:
-        self.raw = text.encode("utf-8", "surrogatepass")
+    def __init__(self, texts: list[str]) -> None:
+        encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        self.raw = b"\n".join(encoded) + b"\n"
         b = np.frombuffer(self.raw, np.uint8)
+        self.begin = np.append(0, np.cumsum([len(t) + 1 for t in encoded]))[: len(texts)]
         self.first = np.flatnonzero((b & 0xC0) != 0x80)  # the first byte of each character
+        self.char = np.searchsorted(self.first, self.begin)  # the number of each text's first character
         self.start, self.end = words_of(self.raw)
         self.h = span_hashes(self.raw, self.start, self.end)
         n = len(self.h)
+        self.text = np.searchsorted(self.begin, self.start, "right") - 1
         group, digit = np.append(0, np.cumsum(_IS_GROUP[b])), np.append(0, np.cumsum((b >= 48) & (b <= 57)))
         numeric = (group[self.end] - group[self.start] == self.end - self.start) & (digit[self.end] > digit[self.start])
         joined = np.zeros(n, bool)  # a group that goes on with the next word
-        joined[:-1] = numeric[:-1] & numeric[1:] & (self.start[1:] == self.end[:-1] + 1)
+        joined[:-1] = numeric[:-1] & numeric[1:] & (self.start[1:] == self.end[:-1] + 1) & (self.text[1:] == self.text[:-1])
         self.head = np.append(True, ~joined[:-1])[:n]  # words that begin a span
         stops = np.flatnonzero(~joined)
         self.last = stops[np.searchsorted(stops, np.arange(n))] if n else stops  # the word in which the span ends
-        solid = np.flatnonzero(~_IS_EDGE[b])
-        end = self.end[self.last]
-        self.s = np.append(solid, len(b))[np.searchsorted(solid, self.start)]
-        self.e = np.append(solid, 0)[np.searchsorted(solid, end) - 1] + 1
-        self.s, self.e = np.minimum(self.s, end), np.maximum(self.e, np.minimum(self.s, end))
+        self.solid = np.append(np.flatnonzero(~_IS_EDGE[b]), len(b))
+        self.s, self.e = self.stripped(self.start, self.end[self.last])
         self.label = np.zeros(n, bool)
-        self.label[1:] = np.isin(b[self.end[:-1] - 1], (58, 61)) if n > 1 else False
+        self.label[1:] = np.isin(b[self.end[:-1] - 1], (58, 61))
+
+    def stripped(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans without punctuation at their edges; an empty one where there is nothing else."""
+        s = np.minimum(self.solid[np.searchsorted(self.solid, start)], end)
+        return s, np.maximum(self.solid[np.searchsorted(self.solid, end) - 1] + 1, s)
 
     def contexts(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Patterns (hashes, and whether they are there) of spans from word i to word j: the two words to the left; the
         words on both sides; the word to the left if it ends in a colon or an equals sign."""
         n = len(self.h)
-        left, before = self.h[np.maximum(i - 1, 0)], self.h[np.maximum(i - 2, 0)]
-        right = self.h[np.minimum(j + 1, n - 1)]
+
+        def beside(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.clip(k, 0, max(n - 1, 0))
+            return self.h[at], (k >= 0) & (k < n) & (self.text[at] == self.text[i])
+
+        (left, l1), (before, l2), (right, r1) = beside(i - 1), beside(i - 2), beside(j + 1)
         pats = np.stack([mix(before * U64(3) + left), mix(left * U64(5) + right), mix(left ^ U64(0x5A5A))], 1)
-        return pats, np.stack([i >= 2, (i >= 1) & (j + 1 < n), (i >= 1) & self.label[i]], 1)
+        return pats, np.stack([l2, l1 & r1, l1 & self.label[i]], 1)
 
     def inner(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Labels within words, as in name=value: word, first byte of the value, and pattern."""
@@ -133,6 +144,19 @@ class Words:
         return word, sign + 1, mix(span_hashes(self.raw, self.start[word], sign + 1) ^ U64(0x5A5A))
 
 
+@dataclass
+class Found:
+    """Occurrences: text, kind (-1: none yet), span in bytes, instance, and patterns with whether they are there."""
+
+    text: np.ndarray
+    kind: np.ndarray
+    s: np.ndarray
+    e: np.ndarray
+    inst: np.ndarray
+    pats: np.ndarray
+    there: np.ndarray
+
+
 def seeds(text: str) -> list[tuple[int, int, int]]:
     """Base spans and seeds of secrets that touch none of them."""
     base = base_spans(text)
@@ -152,58 +176,47 @@ def _touching(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
 
 def _only_edges(raw: bytes, start: int, end: int) -> bool:
     """Whether punctuation alone, of 64 bytes at most, is between a context and a seed."""
-    return end - start <= 64 and not raw[start:end].strip(_EDGE)
-
-
-def occurrences(text: str, flags: np.ndarray | None) -> list[tuple[int, int, int, int, list[int]]]:
-    """(kind, start, end, instance, patterns) of every seed and, with ``flags`` (of pattern or instance buckets), every
-    other span (kind -1) that has a flagged pattern or is a flagged instance and touches no seed."""
-    found = seeds(text)
-    if not found and flags is None:
-        return []
-    w = Words(text)
-    out: list[tuple[int, int, int, int, list[int]]] = []
-    if not len(w.h):
-        return out
+    return bool(end - start <= 64 and not raw[start:end].strip(_EDGE))
+
+
+def occurrences(texts: list[str], flags: np.ndarray | None) -> tuple[Words, Found]:
+    """Every seed and, with ``flags`` (of pattern or instance buckets), every other span (kind -1) that has a flagged
+    pattern or is a flagged instance and touches no seed."""
+    own = [(t, *x) for t, text in enumerate(texts) for x in seeds(text)]
+    w = Words(texts)
+    t, kind, start, stop = (np.array(c, np.int64) for c in (zip(*own) if own else ([],) * 4))
+    s, e = w.first[w.char[t] + start], w.first[w.char[t] + stop]
+    i, j = np.searchsorted(w.start, s, "right") - 1, np.searchsorted(w.start, e - 1, "right") - 1
     word, value, label = w.inner()
-    inner = {int(k): (int(v), int(p)) for k, v, p in zip(word, value, label)}
-
-    def signed(x: np.ndarray) -> np.ndarray:
-        return x.view(np.int64)
-
-    if found:
-        at = np.append(w.first, len(w.raw))
-        s, e = at[[x[1] for x in found]], at[[x[2] for x in found]]
-        i, j = np.searchsorted(w.start, s, "right") - 1, np.searchsorted(w.start, e - 1, "right") - 1
-        pats, there = w.contexts(i, j)
-        inst = signed(span_hashes(w.raw, s, e))
-        for k, (kind, start, end) in enumerate(found):
-            value, label = inner.get(int(i[k]), (len(w.raw), 0))
-            own = [int(p) for p in signed(pats[k][there[k]])] if _only_edges(w.raw, w.start[i[k]], s[k]) else []
-            if value <= s[k] and _only_edges(w.raw, value, s[k]):
-                own = [int(np.uint64(label).view(np.int64))]
-            out.append((kind, start, end, int(inst[k]), own))
-    if flags is None:
-        return out
-    touches = _touching([(x[1], x[2]) for x in found])
-    heads = np.flatnonzero(w.head & (w.s < w.e))
-    pats, there = w.contexts(heads, w.last[heads])
-    inst = span_hashes(w.raw, w.s[heads], w.e[heads])
-    bucket = (pats & U64(KEY_BUCKETS - 1)).astype(np.int64)
-    hit = (flags[bucket] & there).any(1) | flags[(inst & U64(KEY_BUCKETS - 1)).astype(np.int64)]
-    for k in np.flatnonzero(hit).tolist():
-        start, end = np.searchsorted(w.first, [w.s[heads[k]], w.e[heads[k]]]).tolist()
-        if not touches(start, end):
-            out.append((-1, start, end, int(signed(inst[k : k + 1])[0]), [int(p) for p in signed(pats[k][there[k]])]))
-    for i, (v, p) in inner.items():
-        if flags[p & (KEY_BUCKETS - 1)]:
-            value = w.raw[v : w.end[i]]
-            s = v + len(value) - len(value.lstrip(_EDGE))
-            e = v + len(value.rstrip(_EDGE))
-            start, end = np.searchsorted(w.first, [s, e]).tolist()
-            if s < e and not touches(start, end):
-                out.append((-1, start, end, int(signed(span_hashes(w.raw, np.array([s]), np.array([e])))[0]), [int(np.uint64(p).view(np.int64))]))
-    return out
+    pats, there = w.contexts(i, j)
+    at = np.minimum(np.searchsorted(word, i), max(len(word) - 1, 0))
+    for k in range(len(s)):
+        there[k] &= _only_edges(w.raw, w.start[i[k]], s[k])
+        if len(word) and word[at[k]] == i[k] and value[at[k]] <= s[k] and _only_edges(w.raw, value[at[k]], s[k]):
+            pats[k, 2], there[k] = label[at[k]], (False, False, True)
+    found = [Found(t, kind, s, e, span_hashes(w.raw, s, e), pats, there)]
+    if flags is not None and len(w.h):
+        order = np.argsort(s, kind="stable")
+        starts, far = s[order], np.maximum.accumulate(e[order]) if len(e) else e
+
+        def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(starts, b) - 1
+            return (k < 0) | (far[np.maximum(k, 0)] <= a) if len(far) else np.ones(len(a), bool)
+
+        def flagged(x: np.ndarray) -> np.ndarray:
+            return flags[(x & U64(KEY_BUCKETS - 1)).astype(np.int64)]
+
+        i = np.flatnonzero(w.head & (w.s < w.e))
+        pats, there = w.contexts(i, w.last[i])
+        inst = span_hashes(w.raw, w.s[i], w.e[i])
+        hit = ((flagged(pats) & there).any(1) | flagged(inst)) & apart(w.s[i], w.e[i])
+        i = i[hit]
+        found.append(Found(w.text[i], np.full(len(i), -1), w.s[i], w.e[i], inst[hit], pats[hit], there[hit]))
+        a, b = w.stripped(value, w.end[word])
+        hit = flagged(label) & (a < b) & apart(a, b)
+        pats = np.repeat(label[hit][:, None], 3, 1)
+        found.append(Found(w.text[word[hit]], np.full(len(pats), -1), a[hit], b[hit], span_hashes(w.raw, a[hit], b[hit]), pats, np.tile([False, False, True], (len(pats), 1))))
+    return w, Found(*(np.concatenate([getattr(f, c) for f in found]) for c in Found.__annotations__))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -216,6 +229,14 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, str]]:
         yield k, b.column(2)[k].as_py() or ""
 
 
+def _groups(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for top in range(0, b.num_rows, 256):
+        texts = [t or "" for t in b.column(2).slice(top, 256).to_pylist()]
+        for group in chunks(texts, lambda t: len(t) + 1, 1 << 18):
+            yield b.slice(top, len(group)), group
+            top += len(group)
+
+
 def _edges(docs: DataFrame, flags: np.ndarray | None) -> DataFrame:
     """occurrences() of all texts: doc_id, rid, start, stop, inst, kind, pats."""
     shared = None if flags is None else docs.sparkSession.sparkContext.broadcast(flags)
@@ -223,71 +244,82 @@ def _edges(docs: DataFrame, flags: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = [], []
-            for k, text in _texts(b):
-                new = occurrences(text, shared and shared.value)
-                at += [k] * len(new)
-                rows += new
-            of = pa.array(at, pa.int64())
-            columns = list(zip(*rows)) or [[]] * 5
-            kind, start, stop, inst = (pa.array(c, pa.int64()) for c in columns[:4])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), start, stop, inst, kind, pa.array(list(columns[4]), pa.list_(pa.int64()))], names=names)
+            for part, texts in _groups(b):
+                w, f = occurrences(texts, shared and shared.value)
+                of = pa.array(f.text)
+                start, stop = (pa.array(np.searchsorted(w.first, x) - w.char[f.text]) for x in (f.s, f.e))
+                ends = np.append(0, np.cumsum(f.there.sum(1))).astype(np.int32)
+                pats = pa.ListArray.from_arrays(pa.array(ends), pa.array(f.pats[f.there].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), start, stop, pa.array(f.inst.view(np.int64)), pa.array(f.kind), pats], names=names)
         release()
 
     return _rows(docs).mapInArrow(run, "doc_id long, rid long, start long, stop long, inst long, kind long, pats array<long>")
 
 
-def score(edges: DataFrame, cfg: PiiConfig = PiiConfig()) -> tuple[DataFrame, DataFrame]:
-    """Of a graph (pat, inst, kind; a row for each pair): the accepted instances (inst, kind, conf) and the patterns (pat,
-    kind, p) that vouch for them.
+def _totals(docs: DataFrame, flags: np.ndarray) -> DataFrame:
+    """pat, n: how often each flagged pattern occurs in all texts, with any instance; a task sums before it sends."""
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
 
-    Seeds have confidence 1 for their kind. In each round a pattern's confidence for a kind is the confidence of its
-    different instances, summed and divided by their number, instances of no kind included; an instance's is one
-    minus the product of its patterns' doubts. Instances accepted in a round are seeds of the next. Pattern and instance
-    tables are grouped with sums combined before the shuffle.
-    """
-    total = edges.groupBy("pat").agg(F.count(F.lit(1)).alias("n"))
-    base = edges.filter("kind >= 0").select("inst", "kind").distinct().withColumn("conf", F.lit(1.0))
-    known, accepted, strong = base, None, None
-    for _ in range(cfg.rounds):
-        votes = edges.select("pat", "inst").join(known, "inst")
-        strong = votes.groupBy("pat", "kind").agg(F.sum("conf").alias("s"), F.count(F.lit(1)).alias("seeds"))
-        strong = strong.filter(F.col("seeds") >= cfg.support).join(total, "pat").withColumn("p", F.col("s") / F.col("n"))
-        strong = materialise(strong.filter(F.col("p") >= cfg.confidence).select("pat", "kind", "p"))
-        doubt = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6))))
-        scored = edges.filter(f"kind < 0 or kind = {BASE_KINDS}").select("pat", "inst").join(strong, "pat")
-        scored = scored.groupBy("inst", "kind").agg((1 - F.exp(doubt)).alias("conf"))
-        best = scored.groupBy("inst").agg(F.max(F.struct("conf", -F.col("kind"))).alias("b"))
-        accepted = best.select("inst", (-F.col("b.col2")).alias("kind"), F.col("b.conf").alias("conf")).filter(F.col("conf") >= cfg.accept)
-        accepted = materialise(accepted)
-        known = base.unionAll(accepted.join(base.select("inst"), "inst", "left_anti"))
-    return accepted, strong
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        pats, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+        return pats, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(pats)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for _, texts in _groups(b):
+                _, f = occurrences(texts, shared.value)
+                pats = f.pats[f.there]
+                held.append(np.unique(pats[shared.value[(pats & U64(KEY_BUCKETS - 1)).astype(np.int64)]], return_counts=True))
+                if sum(len(p) for p, _ in held) > 1 << 20:
+                    held = [summed(held)]
+                    if len(held[0][0]) > 1 << 19:
+                        pats, n = held.pop()
+                        yield pa.RecordBatch.from_arrays([pa.array(pats.view(np.int64)), pa.array(n)], names=["pat", "n"])
+        if held:
+            pats, n = summed(held)
+            yield pa.RecordBatch.from_arrays([pa.array(pats.view(np.int64)), pa.array(n)], names=["pat", "n"])
+        release()
+
+    return _rows(docs).mapInArrow(run, "pat long, n long").groupBy("pat").agg(F.sum("n").alias("n"))
 
 
 def bootstrap(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
     """doc_id, rid, kind, start, stop of what patterns add to the base spans.
 
-    Seeds' contexts are patterns; those with enough seeds are looked up in all texts, with every span they have; the
-    graph of both is scored; accepted instances are looked up everywhere, and their contexts are patterns too. What
-    is looked up is a table of KEY_BUCKETS flags: where it fills up, more is read and nothing is lost. An
+    Seeds have confidence 1 for their kind. In each round the contexts of the known instances are patterns. Of those
+    with enough different ones, a pattern's confidence for a kind is the confidence of its known occurrences, summed and
+    divided by the number of all its occurrences; an instance's is one minus the product of the doubts of the different
+    patterns beside it. Instances accepted in a round are known in the next. What is looked up in the texts is a table
+    of KEY_BUCKETS flags: where it fills up, more is read and nothing is lost. Counts are combined before a shuffle. An
     occurrence is added where a pattern that vouches for its kind is beside it.
     """
-    edges = materialise(_edges(docs, None))
-    wanted = edges.select("inst", F.explode("pats").alias("pat"), "kind").distinct().groupBy("pat", "kind").agg(F.count(F.lit(1)).alias("n"))
-    keys = wanted.filter(F.col("n") >= cfg.support).select("pat")
-    accepted = strong = None
+    seen = materialise(_edges(docs, None)).select("inst", "kind", F.explode("pats").alias("pat"))
+    votes = seen.groupBy("pat", "kind", "inst").agg(F.count(F.lit(1)).cast("double").alias("s"))
+    base = materialise(votes)
+    known, places = base, None
     for k in range(cfg.rounds):
-        flags = bucket_flags(keys)
-        discard(edges)
-        edges = materialise(_edges(docs, flags))
-        graph = materialise(edges.select(F.explode("pats").alias("pat"), "inst", "kind").groupBy("pat", "inst").agg(F.max("kind").alias("kind")))
-        accepted, strong = score(graph, cfg)
-        if k + 1 < cfg.rounds:
-            named = graph.join(accepted.select("inst"), "inst", "left_semi").select("pat", "inst").unionAll(graph.filter("kind >= 0").select("pat", "inst"))
-            keys = named.distinct().groupBy("pat").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cfg.support).select("pat")
-            keys = keys.unionAll(accepted.select("inst"))
-    places = edges.filter(f"kind < 0 or kind = {BASE_KINDS}").select("doc_id", "rid", "start", "stop", "inst", F.explode("pats").alias("pat"))
-    added = places.join(accepted.select("inst", "kind"), "inst").join(strong.select("pat", "kind"), ["pat", "kind"])
+        strong = known.groupBy("pat", "kind").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("insts")).filter(F.col("insts") >= cfg.support)
+        strong = materialise(strong)
+        total = _totals(docs, bucket_flags(strong.select("pat")))
+        strong = strong.join(total, "pat").withColumn("p", F.col("s") / F.col("n")).filter(F.col("p") >= cfg.confidence)
+        strong = materialise(strong.select("pat", "kind", "p"))
+        open_spans = _edges(docs, bucket_flags(strong.select("pat"))).filter(f"kind < 0 or kind = {BASE_KINDS}")
+        places = open_spans.select("doc_id", "rid", "start", "stop", "inst", F.explode("pats").alias("pat"))
+        places = materialise(places.join(strong, "pat"))
+        doubt = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6))))
+        scored = places.select("inst", "kind", "pat", "p").distinct().groupBy("inst", "kind").agg((1 - F.exp(doubt)).alias("conf"))
+        best = scored.groupBy("inst").agg(F.max(F.struct("conf", -F.col("kind"))).alias("b"))
+        accepted = best.select("inst", (-F.col("b.col2")).alias("kind"), F.col("b.conf").alias("conf")).filter(F.col("conf") >= cfg.accept)
+        accepted = materialise(accepted)
+        new = accepted.join(known.select("inst"), "inst", "left_anti")
+        if k + 1 == cfg.rounds or new.isEmpty():
+            break
+        fresh = accepted.join(base.select("inst"), "inst", "left_anti")
+        beside = _edges(docs, bucket_flags(fresh.select("inst"))).filter("kind < 0").select("inst", F.explode("pats").alias("pat"))
+        beside = beside.groupBy("pat", "inst").agg(F.count(F.lit(1)).alias("c")).join(fresh, "inst")
+        known = materialise(base.unionByName(beside.select("pat", "kind", "inst", (F.col("c") * F.col("conf")).alias("s"))))
+    added = places.join(accepted.select("inst", "kind"), ["inst", "kind"])
     return added.select("doc_id", "rid", F.col("kind").cast("int").alias("kind"), "start", "stop").distinct()
 
 

@@ -5,7 +5,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -362,7 +362,7 @@ def test_contexts_find_identifiers_that_no_pattern_knows(spark):
 
 def plain_bootstrap(rows, cfg=pii.PiiConfig()):
     """The added spans by the definition, over words that spaces part (rows hold no numbers of several groups)."""
-    edge, graph, places = pii._EDGE.decode(), defaultdict(dict), []
+    edge, places = pii._EDGE.decode(), []
     for i, text in rows:
         found = pii.seeds(text)
         words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", text)]
@@ -381,33 +381,31 @@ def plain_bootstrap(rows, cfg=pii.PiiConfig()):
                 pats.append(words[k - 1][2])
             for a, b, within in spans:
                 seed = [x for x in found if s <= x[1] and x[2] <= e and (x[1] == a or not text[a : x[1]].strip(edge))]
-                kind = seed[0][0] if seed else -1
                 if a >= b or (not seed and any(x < b and a < y for _, x, y in found)):
                     continue
-                a, b = seed[0][1:] if seed else (a, b)
-                for p in [w[: sign + 1]] if within else pats:
-                    graph[p][text[a:b].lower()] = max(kind, graph[p].get(text[a:b].lower(), -1))
-                    places.append((i, a, b, text[a:b].lower(), p, kind))
-    known = {(x, k): 1.0 for members in graph.values() for x, k in members.items() if k >= 0}
-    base = dict(known)
+                kind, a, b = seed[0] if seed else (-1, a, b)
+                places += [(i, a, b, text[a:b].lower(), p, kind) for p in ([w[: sign + 1]] if within else pats)]
+    base = {x: (kind, 1.0) for _, _, _, x, _, kind in places if kind >= 0}
+    total = Counter(p for *_, p, _ in places)
+    known = base
     for _ in range(cfg.rounds):
-        strong = {}
-        for p, members in graph.items():
-            for kind in range(5):
-                votes = [known[x, kind] for x in members if (x, kind) in known]
-                if len(votes) >= cfg.support and sum(votes) / len(members) >= cfg.confidence:
-                    strong[p, kind] = sum(votes) / len(members)
-        doubt = defaultdict(lambda: 1.0)
-        for (p, kind), share in strong.items():
-            for x, k in graph[p].items():
-                if k < 0 or k == 4:
-                    doubt[x, kind] *= max(1 - share, 1e-6)
-        best = {}
+        votes, members, strong = defaultdict(float), defaultdict(set), {}
+        for _, _, _, x, p, kind in places:
+            if x in known and (kind >= 0 or x not in base):
+                votes[p, known[x][0]] += known[x][1]
+                members[p, known[x][0]].add(x)
+        for (p, kind), v in votes.items():
+            if len(members[p, kind]) >= cfg.support and v / total[p] >= cfg.confidence:
+                strong[p, kind] = v / total[p]
+        beside = {(x, kind, p): strong[p, kind] for _, _, _, x, p, k in places for kind in range(5) if (k < 0 or k == 4) and (p, kind) in strong}
+        doubt, best = defaultdict(lambda: 1.0), {}
+        for (x, kind, _), share in beside.items():
+            doubt[x, kind] *= max(1 - share, 1e-6)
         for (x, kind), d in doubt.items():
             best[x] = max(best.get(x, (-1, 0)), (1 - d, -kind))
-        accepted = {(x, -k): c for x, (c, k) in best.items() if c >= cfg.accept - 1e-12}
-        known = base | {(x, k): c for (x, k), c in accepted.items() if not any(y == x for y, _ in base)}
-    return {(i, kind, a, b) for i, a, b, x, p, k in places for (p2, kind) in strong if p2 == p and (x, kind) in accepted and (k < 0 or k == 4)}
+        accepted = {x: (-k, c) for x, (c, k) in best.items() if c >= cfg.accept - 1e-12}
+        known = accepted | base
+    return {(i, kind, a, b) for i, a, b, x, p, k in places for kind in range(5) if (p, kind) in strong and accepted.get(x, (-1,))[0] == kind and (k < 0 or k == 4)}
 
 
 def labelled_rows(rng, n, masked):
@@ -465,4 +463,4 @@ def test_base_spans_are_the_regexes(texts):
 def test_long_runs_take_linear_time():
     for t in ("a" * 300_000, "1" * 300_000, "+1 " * 100_000, "a." * 150_000 + "@", "@" * 100_000):
         pii.base_spans(t)
-        pii.occurrences(t, np.ones(KEY_BUCKETS, bool))
+        pii.occurrences([t], np.ones(KEY_BUCKETS, bool))
