@@ -13,7 +13,10 @@ from talweg.llm.queries import RANKS
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model is learnt from this stage's input and ``labels``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").filter(F.col("_score") < 0.5).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from .common import release
 from .text import chunks
 
 #: Characters of text that a task works on at a time (a longer text comes alone).
@@ -216,6 +217,7 @@ def _apply(df: DataFrame, ranks_path: str, pattern: str, source: str, outs: list
                     part = b.slice(start, len(group))
                     start += len(group)
                     yield pa.RecordBatch.from_arrays([*part.columns, *work(codec, group)], names=[*kept, *names])
+        release()
 
     return src.mapInArrow(run, StructType([*src.schema.fields, *outs]))
 

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialise, split_by_keys
+from .common import materialise, release, split_by_keys
 from .text import U64, mix, shingles, word_hashes
 
 
@@ -115,6 +115,7 @@ def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _longs(bands), _longs(sketch)],
                     names=["id", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
+        release()
 
     return docs.mapInArrow(run, fields)
 
@@ -328,9 +329,18 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
 
 
 def without_near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Rows that repeat a kept id all stay."""
-    dropped = near_duplicates(docs, cfg).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    maybe, clear = split_by_keys(named, "_id", dropped)
-    kept = maybe.join(dropped, maybe["_id"] == dropped["_gone"], "left_anti")
-    return kept.unionAll(clear).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, with their columns; of rows that repeat an id and its text, one stays.
+
+    A null id is kept. Rows that repeat a kept id with another text stay.
+    """
+    found = materialise(near_duplicates(docs, cfg))
+    odd = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = materialise(odd.filter("not kept or n > 1"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    named = docs.select(row).withColumn("doc_id", F.col("_row.doc_id").cast("long"))
+    maybe, clear = split_by_keys(named, "doc_id", odd.select("doc_id"))
+    joined = maybe.join(odd, "doc_id", "left").filter("kept is null or kept")
+    same = Window.partitionBy("doc_id", F.xxhash64("_row.text"), F.xxhash64(F.lit(1), "_row.text")).orderBy(F.lit(1))
+    repeated = joined.filter("n > 1").withColumn("_k", F.row_number().over(same)).filter("_k = 1")
+    kept = joined.filter("n is null or n = 1").select("_row").unionAll(repeated.select("_row")).unionAll(clear.select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

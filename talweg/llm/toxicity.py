@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import release
 from .text import chunks
 
 U32 = np.uint32
@@ -201,12 +202,17 @@ def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFram
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 scores = [text_scores(model, run) for run in chunks(texts, lambda t: len(t) + 32, 1 << 19)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores))], names=[*kept, out])
+        release()
 
     return src.mapInArrow(run, StructType([*src.schema.fields, StructField(out, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document.
+
+    Null and empty texts have the bias alone, very long ones are read whole, passage by passage. A null id is not in the
+    held-out fold's sense defined and gives a null held_out; rows that repeat an id each have their score.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(rows, fit(docs, labels, cfg))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
