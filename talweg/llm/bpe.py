@@ -24,8 +24,9 @@ GROUP_ROWS = 1200
 QUERY_BYTES = 1 << 19
 #: Longer pieces go through a heap instead of the recursive query, whose rows add up over the steps.
 SHORT_PIECE = 64
-#: Pieces whose ids a task's process remembers.
-CACHE_PIECES = 600_000
+#: Bytes of the pieces, with their ids, that a task's process remembers; PIECE_BYTES are counted for each beside its own.
+CACHE_BYTES = 80 << 20
+PIECE_BYTES = 150
 #: Ids decoded in one query.
 DECODE_IDS = 1 << 18
 
@@ -96,6 +97,7 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _rows(self, raws: list[bytes]) -> pa.Table:
         size = np.array([len(x) for x in raws])
@@ -158,11 +160,14 @@ class Codec:
                 todo.append((p, raw))
         for run in chunks(todo, lambda x: len(x[1]), QUERY_BYTES):
             fresh.update(zip((p for p, _ in run), self.merge([raw for _, raw in run])))
-        room = CACHE_PIECES - len(self.known)
         self.known.update(fresh)
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32) for pieces in split]
-        for p in list(fresh)[max(0, room) :]:
-            del self.known[p]
+        for p, ids in fresh.items():
+            size = PIECE_BYTES + len(p) + len(ids)
+            if self.held + size > CACHE_BYTES:
+                del self.known[p]
+            else:
+                self.held += size
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:

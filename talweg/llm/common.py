@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut as materialise
 from ..scratch import discard
 
-__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "bucket_flags", "discard", "key_bucket", "materialise", "release", "split_by_keys", "table"]
+__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "bucket_flags", "discard", "key_bucket", "materialise", "release", "small_batches", "split_by_keys", "table"]
 
 #: White space of the corpus contracts: the complement is a word character.
 SPACE = r"\x20\x09-\x0D"
@@ -29,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches: a few thousand long texts at a time would be most of a small executor's memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        try:
+            now = int(spark.conf.get(key))
+        except (ValueError, PySparkException):  # no such limit, or one with a unit
+            now = 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def release() -> None:
     """Give memory that a finished task has freed back to the system: Python workers stay for later tasks."""
     gc.collect()

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -274,8 +275,8 @@ def token_cells(parts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return cells, least
 
 
-def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, copied: pa.Table, cfg: LineDedupConfig) -> DataFrame:
-    """Signatures of all lines, dealt to ``parts`` parts by signature: (part, blob of rows).
+def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, copied: pa.Table, cfg: LineDedupConfig) -> tuple[DataFrame, Broadcast]:
+    """Signatures of all lines, dealt to ``parts`` parts by signature: (part, blob of rows); and what was sent to all.
 
     ``copied`` has (k1, k2, doc, line) of the first lines of the sets with very many, whose other lines are left out.
     """
@@ -322,7 +323,7 @@ def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, co
             yield deal(held)
         release()
 
-    return rows.select("doc", "text").mapInArrow(run, "part long, blob binary")
+    return rows.select("doc", "text").mapInArrow(run, "part long, blob binary"), shared
 
 
 def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int, at: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -631,8 +632,10 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
     copied = first.filter(F.col("n") > max(4, total // HOT_SHARE)).select("k1", "k2", "doc", "line").toArrow()  # fewer than HOT_SHARE
 
     parts = max(16, 12 * total // PART_ROWS)
-    signed = _signed(rows, cells, least_class, parts, copied, cfg).repartition(parts, "part").sortWithinPartitions("part")
+    signed, shared = _signed(rows, cells, least_class, parts, copied, cfg)
+    signed = signed.repartition(parts, "part").sortWithinPartitions("part")
     found = materialise(signed.mapInArrow(lambda it: _part_rows(it, cfg), _FOUND))
+    shared.unpersist()
     place, names = ["doc", "line", "key"], ["doc", "line", "key", "xdoc", "xline", "xkey"]
     near_lines = materialise(_verified(found.filter("xdoc is not null").select(*names).distinct(), rows, cfg))
 

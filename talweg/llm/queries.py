@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe, html, oracles, pii, quality
-from .common import table
+from .common import small_batches, table
 from .linededup import LineDedupConfig, dedup_lines
 from .mixing import MixConfig, mix
 from .neardup import NearDupConfig, near_duplicates
@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 (of what is left) of every document."""
+    small_batches(spark)
     out = dedup_lines(table(spark, sf_dir, "documents"), LineDedupConfig(), counts=True)
     left = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256")
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", left)

@@ -21,7 +21,7 @@ _powers: list[np.ndarray] = [np.empty(0, U64), np.empty(0, U64)]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(size, base, U64)
             p[0] = U64(1)
