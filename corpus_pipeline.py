@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm import bpe, linededup, mixing, neardup, toxicity
-from talweg.llm.common import WORD, materialise, small_batches, table
+from talweg.llm.common import WORD, collect_garbage, materialise, small_batches, table
 from talweg.llm.queries import RANKS
 
 
+def _start(spark: SparkSession) -> None:
+    """Bound what a stage's Python workers need, and free what the stage before has left."""
+    small_batches(spark)
+    collect_garbage(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model is learnt from this stage's input and ``labels``."""
-    small_batches(spark)
+    _start(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     name = "_score"
     while name in docs.columns:
@@ -23,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are similar to an earlier line of any document. A document that has lost
     all its words goes; n_chars follows the text."""
-    small_batches(spark)
+    _start(spark)
     out = linededup.dedup_lines(docs, counts=True)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(WORD)
     out = out.filter(F.coalesce(left, F.lit(True)))
@@ -35,7 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one of smallest id."""
-    small_batches(spark)
+    _start(spark)
     return neardup.without_near_duplicates(docs)
 
 
@@ -48,7 +54,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and n_tokens of every row, with whether the ids decode to the text."""
     import public_tokenizers
 
-    small_batches(spark)
+    _start(spark)
     rows = docs.select("doc_id", "source", "text")
     out = bpe.round_trip(rows, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     whole = F.col("raw") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut as materialise
 from ..scratch import discard
 
-__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "bucket_flags", "discard", "key_bucket", "materialise", "release", "small_batches", "split_by_keys", "table"]
+__all__ = ["BUCKET_ROWS", "KEY_BUCKETS", "SPACE", "WORD", "bucket_bits", "bucket_flags", "collect_garbage", "discard", "key_bucket", "materialise", "release", "small_batches", "split_by_keys", "table"]
 
 #: White space of the corpus contracts: the complement is a word character.
 SPACE = r"\x20\x09-\x0D"
@@ -41,6 +41,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have executors give heap that is garbage back to the system before Python workers need it: a JVM keeps what it has
+    once taken. A few short tasks, as good as the scheduler spreads them; it changes no result."""
+    n = max(2, spark.sparkContext.defaultParallelism)
+    tasks = spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done"))
+    tasks.write.format("noop").mode("overwrite").save()
+
+
 def release() -> None:
     """Give memory that a finished task has freed back to the system: Python workers stay for later tasks."""
     gc.collect()

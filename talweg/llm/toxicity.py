@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFram
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                scores = [text_scores(model, run) for run in chunks(texts, lambda t: len(t) + 32, 1 << 19)]
+                scores = [text_scores(model, run) for run in chunks(texts, lambda t: len(t) + 32, 1 << 18)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores))], names=[*kept, out])
         release()
 
