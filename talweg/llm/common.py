@@ -42,8 +42,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Have executors give heap that is garbage back to the system before Python workers need it: a JVM keeps what it has
-    once taken. A few short tasks, as good as the scheduler spreads them; it changes no result."""
+    """Have executors and the driver give heap that is garbage back to the system before Python needs it: a JVM keeps what
+    it has once taken. A few short tasks, as good as the scheduler spreads them; it changes no result."""
+    release()
+    spark.sparkContext._jvm.System.gc()
     n = max(2, spark.sparkContext.defaultParallelism)
     tasks = spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done"))
     tasks.write.format("noop").mode("overwrite").save()

@@ -186,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
         seen.setdefault(r["doc_id"], (r["y"], r["text"]))
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    return train([t for _, t in seen.values()], np.array([y for y, _ in seen.values()]), prior, cfg)
+    model = train([t for _, t in seen.values()], np.array([y for y, _ in seen.values()]), prior, cfg)
+    del rows, seen
+    release()  # on the driver, whose memory the sample and the training took
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
