@@ -358,12 +358,16 @@ def min_distance_from_sources_mfd(nodes: DataFrame, spec: GridSpec) -> DataFrame
     return A.mfd_distance(e, nodes, False, True).select("node", F.round("value", 6).alias("value"))
 
 
-@query()
+# Levels spread inwards from the rim; a node's value is replaced while it falls.
+_FILL = "fill(node, v) USING KEY (node) AS (SELECT node, z FROM nodes, dims WHERE (r IN (0, ny - 1) OR c IN (0, nx - 1)) UNION SELECT e.nb, min(greatest(f.v, e.z_nb)) FROM fill f JOIN edges e ON e.node = f.node LEFT JOIN recurring.fill o ON o.node = e.nb WHERE o.v IS NULL OR greatest(f.v, e.z_nb) < o.v GROUP BY e.nb)"
+
+
+@query(_sql("SELECT node, z, v AS filled FROM nodes JOIN fill USING (node)", EDGES, _FILL))
 def filled_surface(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return depressions.fill(nodes, spec)
 
 
-@query()
+@query(_sql("SELECT node, v - z AS depth FROM nodes JOIN fill USING (node)", EDGES, _FILL))
 def lake_depth(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return depressions.lake_depth(depressions.fill(nodes, spec))
 
@@ -614,13 +618,30 @@ def diffusion_step(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return terrain.diffuse(_scaled(nodes), spec, 0.1, 1.0).select("node", F.round("z", 2).alias("z"))
 
 
-@query()
+def _tree_sql(rounds: int) -> str:
+    """Boruvka's rounds written out: labels, each label's lightest link, and what these links connect."""
+    parts = ["l0 AS MATERIALIZED (SELECT node, node AS l FROM nodes)", "lks AS MATERIALIZED (SELECT node AS a, nb AS b, abs(z - z_nb) AS w FROM edges WHERE node < nb)"]
+    for i in range(rounds):
+        parts += [
+            f"x{i} AS MATERIALIZED (SELECT a, b, w, p.l AS la, q.l AS lb FROM lks JOIN l{i} p ON p.node = a JOIN l{i} q ON q.node = b WHERE p.l <> q.l)",
+            f"m{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY w, a, b) AS k FROM (SELECT la AS l, lb AS o, a, b, w FROM x{i} UNION ALL SELECT lb, la, a, b, w FROM x{i})) WHERE k = 1)",
+            f"t{i} AS MATERIALIZED (SELECT l, o FROM m{i} UNION SELECT o, l FROM m{i})",
+            f"c{i}(l, n) USING KEY (l) AS (SELECT DISTINCT l, l FROM l{i} UNION SELECT t.o, min(c.n) FROM c{i} c JOIN t{i} t ON t.l = c.l JOIN recurring.c{i} r ON r.l = t.o WHERE c.n < r.n GROUP BY t.o)",
+            f"l{i + 1} AS MATERIALIZED (SELECT node, n AS l FROM l{i} JOIN c{i} USING (l))",
+        ]
+    return _sql(" UNION ALL ".join(f"(SELECT DISTINCT a, b, w FROM m{i})" for i in range(rounds)), EDGES, *parts)
+
+
+@query(_tree_sql(16))
 def minimum_spanning_tree(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     e = neighbours(nodes, spec).select("node", "nb", F.abs(F.col("z") - F.col("z_nb")).alias("w"))
     return graphs.spanning_tree(e)
 
 
-@query()
+_SHORT = "high AS MATERIALIZED (SELECT node, nb, dx FROM edges WHERE z > 2000000000 AND z_nb > 2000000000), way(node, v) USING KEY (node) AS (SELECT min(node), 0::DOUBLE FROM nodes WHERE z > 2000000000 UNION SELECT h.nb, min(w.v + h.dx) FROM way w JOIN high h ON h.node = w.node LEFT JOIN recurring.way o ON o.node = h.nb WHERE o.v IS NULL OR w.v + h.dx < o.v - 1e-9 GROUP BY h.nb)"
+
+
+@query(_sql("SELECT node, round(v, 6) AS value FROM way", EDGES, _SHORT))
 def shortest_path_lengths(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     high = nodes.filter(F.col("z") > 2_000_000_000)
     start = high.agg(F.min("node")).first()[0]
