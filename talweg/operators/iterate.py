@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, exists, scratch_path
 
 
 def upstream_fold(sfd: DataFrame, values: DataFrame, combine: Callable[[Column], Column], merge: Callable[[Column, Column], Column], step: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -67,6 +67,8 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     open_ = state.filter("k > 0")
     while not front.isEmpty():
         level += 1
+        if level > 2 and level & (level - 1) == 0:  # edges to finished nodes are left behind
+            e = cut(e.join(open_.unionAll(front.withColumn("k", F.lit(0))).select(F.col("node").alias("nb")), "nb", "left_semi").select("node", "nb"))
         freed = e.join(front.select(F.col("node").alias("nb")), "nb", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("f"))
         after = cut(open_.join(freed, "node", "left").select("node", (F.col("k") - F.coalesce("f", F.lit(0))).alias("k")))
         front, open_ = after.filter("k = 0").select("node"), after.filter("k > 0")
@@ -78,23 +80,42 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(done.select("node", F.col("level").cast("long").alias("level")))
 
 
+def _by_level(df: DataFrame, level: str, path: str) -> DataFrame:
+    """A table with a folder for each level. Rows of a level are dealt out by size, so a large level is several files."""
+    df.hint("rebalance", level).write.partitionBy(level).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def level_loop(edges: DataFrame, start: DataFrame, level: DataFrame, send: Column, combine: Callable[[Column], Column], merge: Callable[[Column, Column], Column], downstream: bool = True) -> DataFrame:
     """node, value: values sent along weighted edges in order of level.
 
     Downstream: from the highest level down, each node's final value is sent to its receivers. Upstream: from
     level 0 up, to its donors. ``send`` is over value and the edge's columns; what meets at a node is combined
-    and merged with its value. One round for each level that has edges.
+    and merged with its value. One round for each level that has edges: it reads this level's edges and values and
+    what was sent to it, and writes what it sends by the level that takes it, so every edge, value and message is
+    read once in all rounds. All that was sent makes the values in one pass at the end.
     """
+    spark = edges.sparkSession
+    root = scratch_path(spark)
     e = edges.join(level, "node").withColumnRenamed("level", "l_from").join(level.selectExpr("node as nb", "level as l_to"), "nb")
-    source, target, order = ("node", "nb", "l_from") if downstream else ("nb", "node", "l_to")
-    e = cut(e)
+    source, target, order, goal = ("node", "nb", "l_from", "l_to") if downstream else ("nb", "node", "l_to", "l_from")
+    e = _by_level(e, order, f"{root}/edges")
     rounds = [r[0] for r in e.select(order).distinct().collect()]
-    value = cut(start.select("node", "value"))
-    for l in sorted(rounds, reverse=downstream):
-        part = e.filter(F.col(order) == l)
-        sent = part.join(value.withColumnRenamed("node", source), source).groupBy(F.col(target).alias("node")).agg(combine(send).alias("got"))
-        value = cut(value.join(sent, "node", "left").select("node", F.when(F.col("got").isNull(), F.col("value")).otherwise(merge(F.col("value"), F.col("got"))).alias("value")))
-    return value
+    value = _by_level(start.select("node", "value").join(level, "node", "left").withColumnRenamed("level", "l"), "l", f"{root}/values")
+    for k in sorted(rounds, reverse=downstream):
+        mine = value.filter(F.col("l") == k).select("node", "value")
+        met = f"{root}/sent/from=*/{goal}={k}"
+        if exists(spark, met):
+            got = spark.read.schema(sent.drop(goal).schema).parquet(met).groupBy("node").agg(combine("got").alias("got"))
+            mine = mine.join(got, "node", "left").select("node", F.when(F.col("got").isNull(), F.col("value")).otherwise(merge(F.col("value"), F.col("got"))).alias("value"))
+        part = e.filter(F.col(order) == k).drop(order)
+        sent = part.join(mine.withColumnRenamed("node", source), source).groupBy(F.col(target).alias("node"), goal).agg(combine(send).alias("got"))
+        sent.hint("rebalance", goal).write.partitionBy(goal).parquet(f"{root}/sent/from={k}")
+    if not rounds:
+        return value.select("node", "value")
+    every = spark.read.schema(sent.drop(goal).schema).option("recursiveFileLookup", True).parquet(f"{root}/sent")
+    got = every.groupBy("node").agg(combine("got").alias("got"))
+    return cut(value.join(got, "node", "left").select("node", F.when(F.col("got").isNull(), F.col("value")).otherwise(merge(F.col("value"), F.col("got"))).alias("value")))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, source: str = "node", target: str = "nb", limit: int | None = None) -> DataFrame:

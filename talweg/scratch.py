@@ -19,9 +19,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{place.rstrip('/')}/talweg-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder matches a pattern."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame into the shared folder and read it again, so that a lost executor costs no recomputation."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
