@@ -47,6 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix; a document that is taken several times has as many rows."""
+    _start(spark)
     return mixing.mixed_documents(docs)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import release
+from .common import KEPT, release
 from .text import chunks
 
 #: Characters of text that a task works on at a time (a longer text comes alone).
@@ -57,7 +57,7 @@ SELECT word, unhex(array_to_string(list(hex ORDER BY pos), '')) AS raw FROM ids
 
 
 class Codec:
-    """Encoder and decoder of one rank file; lives as long as the worker process."""
+    """Encoder and decoder of one rank file; lives in the worker process until a task of another operator comes."""
 
     _made: dict[int, Codec] = {}
 
@@ -192,6 +192,9 @@ class Codec:
         return self._ids
 
 
+KEPT.append(Codec._made)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
@@ -222,7 +225,7 @@ def _apply(df: DataFrame, ranks_path: str, pattern: str, source: str, outs: list
                     part = b.slice(start, len(group))
                     start += len(group)
                     yield pa.RecordBatch.from_arrays([*part.columns, *work(codec, group)], names=[*kept, *names])
-        release()
+        release(Codec._made)
 
     return src.mapInArrow(run, StructType([*src.schema.fields, *outs]))
 

@@ -8,7 +8,8 @@ from pathlib import Path
 
 import pytest
 
-from talweg.llm.common import collect_garbage
+from talweg.llm.bpe import Codec
+from talweg.llm.common import collect_garbage, release
 
 
 def test_the_driver_gives_native_memory_back(spark):
@@ -28,3 +29,15 @@ def test_the_driver_gives_native_memory_back(spark):
     before = in_use()
     collect_garbage(spark)
     assert in_use() < before - 60
+
+
+def test_a_codec_goes_with_the_next_operators_task():
+    """A codec is some 130 MB of a worker, which later stages and runs in the same session need."""
+    from base64 import b64encode
+
+    ranks = b"\n".join(b64encode(bytes([i])) + b" %d" % i for i in range(256))
+    codec = Codec.of(ranks, r"\S+|\s+")
+    release(Codec._made)  # as its own tasks end
+    assert Codec.of(ranks, r"\S+|\s+") is codec
+    release()  # as those of all others do
+    assert Codec.of(ranks, r"\S+|\s+") is not codec
