@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import KEY_BUCKETS, bucket_flags, discard, materialise, release, split_by_keys
 from .text import U64, chunks, mix, word_hashes
@@ -23,8 +22,10 @@ DEALT_BITS = 12
 FREQUENT = 1 << 20
 #: Tokens that a task gathers before it counts them.
 GATHERED = 1 << 20
-#: A set in more than this share of all lines is one of fewer than so many; its later copies are left out early.
-HOT_SHARE = 1 << 16
+#: Sets of several lines that every task is told, at most, those of most lines first: their later copies are left out early.
+COPIED = 1 << 18
+#: Open lines that are sent to every task, at most; beyond that the buckets' rows are shuffled to them.
+OPEN_SENT = 1 << 17
 #: Signatures in one part of the join.
 PART_ROWS = 1 << 18
 #: Signatures that a task holds before it deals them out.
@@ -35,6 +36,8 @@ GROUP_BYTES = 1 << 18
 LONG_LINE = 512
 #: Bits of the parity bitmap of a line's tokens.
 _BITS = 128
+#: The bits of its hash that a signature has. Where two agree in these, lines are compared for nothing.
+_SIG = U64(0xFFFFFFFFFFFF0000)
 #: One signature of a line: the line is known by its place and a part of its key.
 _SIGNED = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("low", "<i8"), ("high", "<i8"), ("line", "<i4"), ("key", "<i4"), ("n", "<u2"), ("pos", "<u2")])
 
@@ -297,7 +300,7 @@ def token_cells(parts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
 def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, copied: pa.Table, cfg: LineDedupConfig) -> tuple[DataFrame, Broadcast]:
     """Signatures of all lines, dealt to ``parts`` parts by signature: (part, blob of rows); and what was sent to all.
 
-    ``copied`` has (k1, k2, doc, line) of the first lines of the sets with very many, whose other lines are left out.
+    ``copied`` has (k1, k2, doc, line) of the first lines of the sets with most lines, whose other lines are left out.
     """
     hot = int(_class(np.array([cfg.hot]))[0])
     many = np.stack([c.to_numpy().astype(np.int64) for c in copied.columns], 1)
@@ -331,7 +334,7 @@ def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, co
                     stay = ~((many[i, 0] == k1) & (many[i, 1] == k2) & later)[row]
                     sig, pos, row = sig[stay], pos[stay], row[stay]
                 out = np.empty(len(row), _SIGNED)
-                out["sig"], out["doc"], out["line"], out["key"] = sig.view(np.int64), doc[row], number[row], k1[row].astype(np.int32)
+                out["sig"], out["doc"], out["line"], out["key"] = (sig & _SIG).view(np.int64), doc[row], number[row], k1[row].astype(np.int32)
                 low, high = sketches(lines.h, np.repeat(np.arange(len(at)), n), len(at))
                 out["low"], out["high"], out["n"], out["pos"] = low[row], high[row], np.minimum(n, 65535)[row], np.minimum(pos, 65535)
                 held.append(out)
@@ -397,7 +400,7 @@ def _without_copies(rows: np.ndarray) -> np.ndarray:
 
 def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa.RecordBatch]:
     """What one part's signatures say. Lines with plausible lines among their bucket's first ``head``: the earliest one
-    and the one of fewest unequal bits; ``more`` tells whether there may be others than these (then xdoc can be null).
+    and the one of fewest unequal bits; ``more`` tells, once for a line, whether there may be others (then xdoc can be null).
     And one blob with all rows of the buckets that have such lines."""
     rows = _without_copies(rows)
     if not len(rows):
@@ -428,9 +431,11 @@ def part_pairs(part: int, rows: np.ndarray, cfg: LineDedupConfig) -> Iterator[pa
     unknown = np.flatnonzero(several & (best < 0))
     y = np.concatenate([*(i for i, _ in kept), unknown])
     x = np.concatenate([*(other[i] for i, other in kept), np.full(len(unknown), -1)])
+    more = several[y]
+    more[len(kept[0][0]) : len(kept[0][0]) + len(kept[1][0])] = False  # these lines come with their best one too
     partner = [pa.array(rows[c][x].astype(np.int64), mask=x < 0) for c in ("doc", "line", "key")]
     own = [pa.array(rows[c][y].astype(np.int64)) for c in ("sig", "doc", "line", "key")]
-    yield pa.RecordBatch.from_arrays([pa.array(several[y]), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(more), *own, *partner, pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.binary())], names=_NAMES)
     if several.any():
         many = np.bincount(start, weights=several, minlength=len(rows))[start] > 0
         none = [pa.nulls(1, pa.bool_()), *[pa.nulls(1, pa.int64())] * 7]
@@ -452,8 +457,9 @@ def _part_rows(batches: Iterator[pa.RecordBatch], cfg: LineDedupConfig) -> Itera
     release()
 
 
-def _line_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, line, key, tokens of the lines in ``wanted`` (doc, line, key)."""
+def _line_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, line, key, words (the line itself, which takes less room than its tokens' hashes) of the lines in ``wanted``
+    (doc, line, key)."""
     rows = split_by_keys(rows.select("doc", "text"), "doc", wanted.select("doc").distinct())[0]
     lines = rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     lines = lines.select("doc", F.col("line").cast("long").alias("line"), "words").withColumn("at", F.xxhash64("doc", "line"))
@@ -466,16 +472,22 @@ def _line_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 at, starts = sets.keep(1)
                 key = np.zeros(part.num_rows, np.int64)
                 key[at] = _keys(sets.h, starts)[0].astype(np.int32)
-                ends = np.append(0, np.cumsum(sets.n)).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key), tokens], names=["doc", "line", "key", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key), part.column(2)], names=["doc", "line", "key", "words"])
         release()
 
-    fields = [StructField(c, LongType()) for c in ("doc", "line", "key")]
-    sets = near.select("doc", "line", "words").mapInArrow(run, StructType([*fields, StructField("tokens", ArrayType(LongType()))]))
+    sets = near.select("doc", "line", "words").mapInArrow(run, "doc long, line long, key long, words string")
     return sets.join(wanted, ["doc", "line", "key"], "left_semi").dropDuplicates(["doc", "line", "key"])
 
 
+def _token_sets(b: pa.RecordBatch, column: int) -> Iterator[tuple[list, np.ndarray]]:
+    """The rows of a batch, each with the token set of the line in a column; the line itself is not in the row."""
+    for part, texts in _groups(b, column):
+        sets = Lines(texts)  # one line each
+        ends = np.cumsum(sets.n)
+        for row, a, e in zip(zip(*(part.column(i).to_pylist() for i in range(part.num_columns) if i != column)), ends - sets.n, ends):
+            yield list(row), sets.h[a:e]
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, cfg: LineDedupConfig) -> DataFrame:
     """The lines (doc, line, key) of pairs whose full token sets are similar enough.
 
@@ -489,18 +501,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, cfg: LineDedupConfig) -> DataFr
     y = dealt.select(*own, *other, F.pmod(F.xxhash64(*own), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     x = salts.select(*[F.col(c).alias(o) for c, o in zip(other, own)], *other, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     asked = y.unionByName(x)
-    sets = _line_tokens(rows, pairs.select(*own).unionAll(pairs.select(*other)).distinct())
+    sets = _line_words(rows, pairs.select(*own).unionAll(pairs.select(*other)).distinct())
     group = [*other, "salt"]
-    sent = asked.join(sets, own).repartition(*group).sortWithinPartitions(*group, "role").select(*group, "role", *own, "tokens")
+    sent = asked.join(sets, own).repartition(*group).sortWithinPartitions(*group, "role").select(*group, "role", *own, "words")
     percent = cfg.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = head = None
         for b in batches:
             out = []
-            offsets, flat = b.column(8).offsets.to_numpy(), b.column(8).values.to_numpy(zero_copy_only=False)
-            for k, (*at, role, doc, line, key) in enumerate(zip(*(b.column(i).to_pylist() for i in range(8)))):
-                mine = flat[offsets[k] : offsets[k + 1]]
+            for (*at, role, doc, line, key), mine in _token_sets(b, 8):
                 if role == 0:
                     of, head = at, mine
                 elif of == at:
@@ -560,16 +570,18 @@ def open_pairs(rows: np.ndarray, lines: np.ndarray, cfg: LineDedupConfig) -> Ite
 
 def _rest(blobs: DataFrame, open_lines: DataFrame, parts: int, cfg: LineDedupConfig) -> DataFrame:
     """open_pairs() of every part that has open lines (sig, doc, line, key)."""
-    flags = open_lines.sparkSession.sparkContext.broadcast(bucket_flags(open_lines.select("sig")))
+    flags = open_lines.sparkSession.sparkContext.broadcast(bucket_flags(open_lines.select(F.shiftright("sig", 16))))
     part = F.floor(F.shiftrightunsigned("sig", 32) * F.lit(parts) / F.lit(1 << 32)).cast("long")
     asked = open_lines.groupBy(part.alias("part")).agg(F.collect_list(F.struct("sig", "doc", "line", "key")).alias("asked"))
+    if open_lines.count() <= OPEN_SENT:
+        asked = F.broadcast(asked)
     kind = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("key", "<i8")])
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, blob in zip(b.column(0), b.column(1)):
                 rows = unpacked([blob.as_py()], _SIGNED)
-                rows = rows[flags.value[rows["sig"] & (KEY_BUCKETS - 1)]]
+                rows = rows[flags.value[rows["sig"] >> 16 & (KEY_BUCKETS - 1)]]
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([packed(rows)])], names=["part", "blob"])
 
@@ -592,23 +604,20 @@ def _verified_dense(dense: DataFrame, rows: DataFrame, cfg: LineDedupConfig) ->
     place = ["doc", "line", "key"]
     size = dense.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("blocks"))
     dealt = materialise(dense.join(size, "sig"))
-    sets = materialise(_line_tokens(rows, dealt.select(*place).distinct()))
+    sets = materialise(_line_words(rows, dealt.select(*place).distinct()))
     x = dealt.select("sig", F.pmod(F.xxhash64(*place), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), *place)
     y = dealt.filter("open").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), *place)
-    sent = x.unionAll(y).join(sets, place).select("sig", "block", "role", *place, "tokens")
+    sent = x.unionAll(y).join(sets, place).select("sig", "block", "role", *place, "words")
     sent = sent.repartition("sig", "block").sortWithinPartitions("sig", "block", "role")
     percent = cfg.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held, places, index = None, [], [], None
         for b in batches:
-            tokens = b.column(6)
-            offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
             out = []
-            for k, (sig, block, role, *own) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)))):
+            for (sig, block, role, *own), mine in _token_sets(b, 6):
                 if of != (sig, block):
                     of, held, places, index = (sig, block), [], [], None
-                mine = flat[offsets[k] : offsets[k + 1]]
                 if role == 0:
                     held.append(mine)
                     places.append(tuple(own))
@@ -631,6 +640,19 @@ def _verified_dense(dense: DataFrame, rows: DataFrame, cfg: LineDedupConfig) ->
     return sent.mapInArrow(run, "doc long, line long, key long").distinct()
 
 
+def _copied(first: DataFrame) -> tuple[int, int]:
+    """Of sets of ``n`` lines each: how many lines they have, and the least n that at most COPIED sets exceed."""
+    most = 256
+    sizes, total = np.zeros(most + 1, np.int64), 0
+    for r in first.groupBy(F.least("n", F.lit(most)).alias("size")).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("lines")).collect():  # 256 rows
+        sizes[r["size"]], total = r["sets"], total + r["lines"]
+    if sizes[most] > COPIED:
+        return total, max(most, total // COPIED)
+    while most > 2 and sizes[most - 1 :].sum() <= COPIED:
+        most -= 1
+    return total, most - 1
+
+
 def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> DataFrame:
     """doc (doc_id, null last), rid (hash of doc_id and text) and the numbers of the lines to remove, of rows that lose any.
 
@@ -646,8 +668,8 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
     cells, least_class = token_cells(marked.filter("range is not null").select("range", "counts"), bits)
     first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "rid")).alias("p"), F.count(F.lit(1)).alias("n"))
     first = materialise(first.select("k1", "k2", "p.*", "n"))
-    total = first.agg(F.sum("n")).first()[0] or 0
-    copied = first.filter(F.col("n") > max(4, total // HOT_SHARE)).select("k1", "k2", "doc", "line").toArrow()  # fewer than HOT_SHARE
+    total, least_copies = _copied(first)
+    copied = first.filter(F.col("n") > least_copies).select("k1", "k2", "doc", "line").toArrow()  # at most COPIED
 
     parts = max(16, 12 * total // PART_ROWS)
     signed, shared = _signed(rows, cells, least_class, parts, copied, cfg)
@@ -658,7 +680,7 @@ def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) ->
     near_lines = materialise(_verified(found.filter("xdoc is not null").select(*names).distinct(), rows, cfg))
 
     # what these partners didn't settle, against all earlier lines of the buckets that have more
-    asked = found.filter("more").select("sig", *place).distinct().join(near_lines, place, "left_anti")
+    asked = found.filter("more").select("sig", *place).join(near_lines, place, "left_anti").distinct()
     rest = materialise(_rest(found.filter("blob is not null").select("part", "blob"), materialise(asked), parts, cfg))
     few = _verified(rest.filter("xdoc is not null").select(*names).distinct(), rows, cfg)
     dense = rest.filter("xdoc is null").select("sig", *place, "open")
