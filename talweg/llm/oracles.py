@@ -70,3 +70,49 @@ reach(doc_id, other) AS (SELECT a, b FROM ties UNION SELECT r.doc_id, e.b FROM r
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least(s.doc_id, c.m), s.doc_id) AS component_id, coalesce(c.m, s.doc_id) >= s.doc_id AS kept
 FROM sets s LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+_CRC_TABLE = "list_transform(range(256), lambda v: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, v))"
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), hashed AS (SELECT *, md5(length(role) || ':' || role || text) AS key FROM turns),
+coded AS MATERIALIZED (
+  SELECT conv_id, turn, key, dense_rank() OVER (ORDER BY role, text) AS id, len(regexp_extract_all(text, {_WORDS}))::BIGINT AS words FROM hashed
+), convs AS MATERIALIZED (
+  SELECT conv_id, list(id ORDER BY turn NULLS FIRST, key) AS s, list(words ORDER BY turn NULLS FIRST, key) AS w FROM coded GROUP BY conv_id
+), crcs AS (SELECT {_CRC_TABLE} AS t),
+headed AS (
+  SELECT c.*, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 4 AS h
+  FROM convs c, crcs
+), rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(b.s[1:c.h], []), c.s[c.h + 1:]) AS s, list_concat(coalesce(b.w[1:c.h], []), c.w[c.h + 1:]) AS w
+  FROM headed c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20
+), nodes AS MATERIALIZED (
+  SELECT p, len(p) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+  FROM (SELECT conv_id, s[1:d] AS p, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, d = len(s) AS ends FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM rebuilt)) GROUP BY p
+), kids AS MATERIALIZED (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS MATERIALIZED (
+  SELECT p[1:d] AS p, sum((n_convs - 1) * words)::BIGINT AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (SELECT n.*, k.p IS NULL AS leaf, unnest(range(depth + 1)) AS d FROM nodes n LEFT JOIN kids k ON k.p = n.p) GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN nodes a ON n.depth > 0 AND a.p = n.p[1:n.depth - 1]
+"""
+
+HARD_NEGATIVES = """
+WITH rows AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""

@@ -12,6 +12,8 @@ from .common import small_batches, table
 from .linededup import LineDedupConfig, dedup_lines
 from .mixing import MixConfig, mix
 from .neardup import NearDupConfig, near_duplicates
+from .negatives import hard_negatives, quantised
+from .prefixtrie import encoded, prefix_trie, rebuilt
 from .sharding import shard_documents
 from .toxicity import classify
 
@@ -71,6 +73,18 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie(rebuilt(encoded(table(spark, sf_dir, "conversations"))))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the vectors whose vec_id is divisible by 100; a seventh of the labels is moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), quantised(rows, "embedding").alias("v")))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -85,9 +99,11 @@ def queries() -> dict[str, Query]:
             op8_jump_shards,
             op9_toxicity,
             op10_pii_bootstrap,
+            op11_prefix_trie,
+            op12_hard_negatives,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": oracles.LINE_DEDUP, "op3_mix_sources": oracles.MIX, "op4_minhash_odd_sketch": oracles.NEAR_DEDUP}
+    return {"op1_line_dedup": oracles.LINE_DEDUP, "op3_mix_sources": oracles.MIX, "op4_minhash_odd_sketch": oracles.NEAR_DEDUP, "op11_prefix_trie": oracles.PREFIX_TRIE, "op12_hard_negatives": oracles.HARD_NEGATIVES}
