@@ -14,6 +14,7 @@ from .mixing import MixConfig, mix
 from .neardup import NearDupConfig, near_duplicates
 from .negatives import hard_negatives, quantised
 from .prefixtrie import encoded, prefix_trie, rebuilt
+from .repeats import without_repeats
 from .sharding import shard_documents
 from .toxicity import classify
 
@@ -85,6 +86,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.select("vec_id", label.alias("label"), quantised(rows, "embedding").alias("v")))
 
 
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 400-byte strings that start twice or more."""
+    small_batches(spark)
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -101,6 +108,7 @@ def queries() -> dict[str, Query]:
             op10_pii_bootstrap,
             op11_prefix_trie,
             op12_hard_negatives,
+            op13_repeated_strings,
         )
     }
 
