@@ -28,11 +28,13 @@ class RepeatConfig:
     """Bytes in a string of ``length`` that starts anywhere else too go. A trigger is where the rolling hash of ``window``
     bytes is least within ``reach`` bytes to both sides (strictly to the left): triggers are more than ``reach`` bytes
     apart and ``2 * reach + window`` bytes tell whether there is one. ``window`` is a power of two; a trigger's context
-    has to be shorter than ``length``. Window and reach change no result."""
+    has to be shorter than ``length``. Up to ``group`` texts around the same phrases are compared in a task, more of them
+    by hashes of their strings. Window, reach and group change no result."""
 
     length: int = 400
     window: int = 16
     reach: int = 40
+    group: int = 256
 
     @property
     def context(self) -> int:
@@ -126,12 +128,13 @@ def _parse(cfg: RepeatConfig, names: list[str]):
     return run
 
 
-_STRETCH = "u long, i long, n long, mid long, full binary"
+_STRETCHES = pa.schema([("u", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("lead", pa.int64()), ("body", pa.int64()), ("mid", pa.binary()), ("full", pa.binary())])
+_STRETCH = "u long, i long, n long, lead long, body long, mid binary, full binary"
 
 
 def _stretches(cfg: RepeatConfig):
-    """Starts between two cuts, for which the same triggers are inside: the first, their number, a hash of what is between
-    the outermost triggers, and of all bytes of these strings. Only those whose phrases all repeat; without a trigger
+    """Starts between two cuts, for which the same triggers are inside: the first, their number, the bytes before the first
+    trigger and from it to the last, a hash of these last ones, and of all bytes of these strings. Only those whose phrases all repeat; without a trigger
     ``mid`` and ``full`` are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,35 +164,92 @@ def _stretches(cfg: RepeatConfig):
                     keep = keep | np.where(first == last, single[f], (first < last) & (phrases[np.minimum(z, len(phrases) - 1)] == phrases[np.minimum(f, len(phrases) - 1)]))
                 for i, c, p, q in zip(starts[keep].tolist(), count[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
                     if p > q:
-                        out.append((us[k], i, c, None, None))
+                        out.append((us[k], i, c, 0, 0, None, None))
                     else:
-                        out.append((us[k], i, c, _long(text[int(t[p]) - r : int(t[q]) + e]), _digest(text[i : i + c - 1 + size], 16)))
-            columns = list(zip(*out)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types)], names=["u", "i", "n", "mid", "full"])
+                        a, z = int(t[p]) - r, int(t[q]) + e
+                        out.append((us[k], i, c, a - i, z - a, _digest(text[a:z], 16), _digest(text[i : i + c - 1 + size], 16)))
+            yield _records(out, _STRETCHES)
         release()
 
     return run
 
 
-def _strings(cfg: RepeatConfig):
-    """A row for each start of the stretches of a text: the string's hash, and whether the start's own fate is open."""
+#: A string's hash, or else the bytes to both sides of the phrases that a stretch has in common with others.
+_ENDS = "h binary, u long, i long, n long, open boolean, mid binary, left binary, right binary"
+_END = pa.schema([("h", pa.binary()), ("u", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("open", pa.bool_()), ("mid", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+_FOUND = pa.schema([("u", pa.int64()), ("i", pa.int64()), ("n", pa.int64())])
+
+
+def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _ends(cfg: RepeatConfig):
+    """For each stretch of a text its bytes to both sides; where ``one`` is set, a row with a hash for each of its strings.
+    ``open``: whether the fate of its starts is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = cfg.length
         for b in batches:
-            for u, text, stretches in zip(b.column(0), b.column(1).cast(pa.large_binary()), b.column(2)):
-                data = memoryview(text.as_buffer())
+            for u, text, stretches in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2)):
+                data, out = memoryview(text.as_buffer()), []
                 for s in stretches.as_py():
-                    for at in range(s["i"], s["i"] + s["n"], 4096):
-                        end = min(s["i"] + s["n"], at + 4096)
-                        hashes = [_digest(data[k : k + cfg.length], 16) for k in range(at, end)]
-                        rows = [pa.array(hashes, pa.binary()), pa.array([u.as_py()] * len(hashes), pa.int64()), pa.array(range(at, end), pa.int64()), pa.array([s["open"]] * len(hashes), pa.bool_())]
-                        yield pa.RecordBatch.from_arrays(rows, names=["h", "u", "i", "open"])
+                    i, n = s["i"], s["n"]
+                    if not s["one"]:
+                        a = i + s["lead"]
+                        out.append((None, u, i, n, s["open"], s["mid"], bytes(data[i:a]), bytes(data[a + s["body"] : i + n - 1 + size])))
+                        continue
+                    for k in range(i, i + n):
+                        out.append((_digest(data[k : k + size], 16), u, k, 1, s["open"], None, None, None))
+                        if len(out) >= 4096:
+                            yield _records(out, _END)
+                            out = []
+                yield _records(out, _END)
         release()
 
     return run
 
 
+def _twice(members: list[tuple]) -> list[tuple]:
+    """Open starts (u, i, n) of stretches around the same phrases whose strings some other of them has too: ends of the
+    bytes before, with beginnings of the bytes after."""
+    count: dict[tuple[bytes, bytes], int] = {}
+    keys = []
+    for _, _, n, _, left, right in members:
+        least = len(right) - n + 1
+        own = [(left[j:], right[: least + j]) for j in range(n)]
+        for key in own:
+            count[key] = count.get(key, 0) + 1
+        keys.append(own)
+    out = []
+    for (u, i, n, is_open, _, _), own in zip(members, keys):
+        if is_open:
+            out += [(u, i + j, 1) for j in range(n) if count[own[j]] > 1]
+    merged: list[tuple] = []
+    for u, i, n in out:
+        if merged and merged[-1][0] == u and merged[-1][1] + merged[-1][2] == i:
+            merged[-1] = (u, merged[-1][1], merged[-1][2] + n)
+        else:
+            merged.append((u, i, n))
+    return merged
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_twice`` for each run of rows with the same phrases (mid); rows come in order of it."""
+    mid, members = None, []
+    for b in batches:
+        out: list[tuple] = []
+        for m, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if m != mid:
+                out += _twice(members)
+                mid, members = m, []
+            members.append(tuple(row))
+        yield _records(out, _FOUND)
+    yield _records(_twice(members), _FOUND)
+    release()
+
+
 def _kept(cfg: RepeatConfig, names: list[str], texts: bool):
     """What is left of each text whose repeated starts are listed."""
     x, s = names.index("text"), names.index("starts")
@@ -232,19 +292,22 @@ def repeated_starts(parsed: DataFrame, cfg: RepeatConfig) -> DataFrame:
     known = materialise(known)
     may, _ = split_by_keys(parsed.select("u", "text"), "u", known.select("u"))
     found = materialise(may.join(known, "u").select("u", "text", "known").mapInArrow(_stretches(cfg), _STRETCH))
-    classes = materialise(found.filter("full is not null").groupBy("full", "mid").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "i", "n")).alias("one")))
+    classes = materialise(found.filter("full is not null").groupBy("full", "mid").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "i", "n", "lead", "body")).alias("one")))
     # strings that agree between their outermost triggers, but not to both ends
-    mids = classes.groupBy("mid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    mids = classes.groupBy("mid").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").drop("least")
     near = join_counted(classes, materialise(mids), "mid", "k", classes.count())
-    near = near.select("one.u", "one.i", "one.n", (F.col("c") == 1).alias("open"))
-    near = near.unionByName(found.filter("full is null").select("u", "i", "n", F.lit(True).alias("open")))
-    near = materialise(near.groupBy("u").agg(F.collect_list(F.struct("i", "n", "open")).alias("s")))
+    near = near.select("one.*", "mid", (F.col("c") == 1).alias("open"), (F.col("k") > cfg.group).alias("one"))
+    bare = found.filter("full is null").select("u", "i", "n", "lead", "body", F.lit(None).cast("binary").alias("mid"), F.lit(True).alias("open"), F.lit(True).alias("one"))
+    near = materialise(near.unionByName(bare).groupBy("u").agg(F.collect_list(F.struct("i", "n", "lead", "body", "mid", "open", "one")).alias("s")))
     may, _ = split_by_keys(parsed.select("u", "text"), "u", near.select("u"))
-    strings = materialise(may.join(near, "u").select("u", "text", "s").mapInArrow(_strings(cfg), "h binary, u long, i long, open boolean"))
+    ends = materialise(may.join(near, "u").select("u", "text", "s").mapInArrow(_ends(cfg), _ENDS))
+    sides = ends.filter("h is null").select("mid", "u", "i", "n", "open", "left", "right").repartition("mid").sortWithinPartitions("mid")
+    around = sides.mapInArrow(_around, "u long, i long, n long")
+    strings = ends.filter("h is not null").select("h", "u", "i", "n", "open")
     twice = materialise(strings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    at_edges = join_counted(strings.filter("open"), twice, "h", "c", strings.count()).select("u", "i", F.lit(1).cast("long").alias("n"))
+    at_edges = join_counted(strings.filter("open"), twice, "h", "c", strings.count()).select("u", "i", "n")
     whole = join_counted(found.filter("full is not null").select("u", "i", "n", "full"), classes.filter("c > 1").select("full", "c"), "full", "c", found.count())
-    return whole.select("u", "i", "n").unionByName(at_edges)
+    return whole.select("u", "i", "n").unionByName(around).unionByName(at_edges)
 
 
 def without_repeats(docs: DataFrame, cfg: RepeatConfig = RepeatConfig(), texts: bool = False) -> DataFrame:

@@ -65,8 +65,8 @@ def test_passages_of_all_lengths(spark, seed):
 
 def test_other_triggers_give_the_same(spark):
     rows = mixed(5, 40, 60)
-    for window, reach in ((1, 3), (8, 20), (16, 12)):
-        check(spark, rows, repeats.RepeatConfig(length=60, window=window, reach=reach))
+    for window, reach, group in ((1, 3, 256), (8, 20, 3), (16, 12, 1)):
+        check(spark, rows, repeats.RepeatConfig(length=60, window=window, reach=reach, group=group))
 
 
 def test_large_length(spark):
