@@ -11,6 +11,7 @@ from ..functions import boundary as B
 from ..functions.grid import GridSpec, distance
 from .iterate import level_loop, levels, reach, to_root, upstream_fold
 from .neighbours import neighbours
+from .tiles import propagate
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -33,11 +34,14 @@ def flow_count(sfd: DataFrame) -> DataFrame:
     return accumulate_sfd(sfd, sfd.select("node", F.lit(1).cast("long").alias("value"))).withColumn("value", F.col("value") - 1)
 
 
-def accumulate_mfd(edges: DataFrame, nodes: DataFrame, values: DataFrame | None = None, constant: float = 1.0, scale: float = 1.0, weight: str = "weight", level: DataFrame | None = None) -> DataFrame:
-    """node, value: a node's own value and the shares that its donors pass on (edges with weights)."""
-    level = levels(edges, nodes) if level is None else level
+def accumulate_mfd(edges: DataFrame, nodes: DataFrame, values: DataFrame | None = None, constant: float = 1.0, scale: float = 1.0, weight: str = "weight", level: DataFrame | None = None, spec: GridSpec | None = None) -> DataFrame:
+    """node, value: a node's own value and the shares that its donors pass on (edges with weights). With the grid it goes
+    by tiles, else level by level."""
     start = nodes.select("node", F.lit(float(constant)).alias("value")) if values is None else values
-    out = level_loop(edges, start, level, F.col("value") * F.col(weight), F.sum, _plus)
+    if spec is not None:
+        out = propagate(edges, start, spec, "sum", F.col(weight))
+    else:
+        out = level_loop(edges, start, levels(edges, nodes) if level is None else level, F.col("value") * F.col(weight), F.sum, _plus)
     return out if scale == 1.0 else out.withColumn("value", F.col("value") * scale)
 
 
@@ -95,11 +99,14 @@ def distance_from_sources(sfd: DataFrame, longest: bool) -> DataFrame:
     return upstream_fold(sfd, start, F.max if longest else F.min, merge, lambda v, d: v + d)
 
 
-def mfd_distance(edges: DataFrame, nodes: DataFrame, longest: bool, from_sources: bool, level: DataFrame | None = None) -> DataFrame:
-    """node, value: longest or shortest path over all receivers, from nodes without donors or from those without receivers."""
-    level = levels(edges, nodes) if level is None else level
+def mfd_distance(edges: DataFrame, nodes: DataFrame, longest: bool, from_sources: bool, level: DataFrame | None = None, spec: GridSpec | None = None) -> DataFrame:
+    """node, value: longest or shortest path over all receivers, from nodes without donors or from those without receivers.
+    With the grid it goes by tiles, else level by level."""
     ends = edges.select((F.col("nb") if from_sources else F.col("node")).alias("node")).distinct().withColumn("_e", F.lit(True))
     start = nodes.select("node").join(ends, "node", "left").select("node", F.when(F.col("_e").isNull(), F.lit(0.0)).alias("value"))
+    if spec is not None:
+        return propagate(edges, start, spec, "max" if longest else "min", F.col("dx"), downstream=from_sources)
+    level = levels(edges, nodes) if level is None else level
     merge = (lambda a, b: F.greatest(a, b)) if longest else (lambda a, b: F.least(a, b))
     return level_loop(edges, start, level, F.col("value") + F.col("dx"), F.max if longest else F.min, merge, downstream=from_sources)
 

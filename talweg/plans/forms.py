@@ -190,12 +190,12 @@ def _to_outlets(f: str) -> str:
 
 @query(_to_outlets("max"))
 def max_distance_to_outlets_mfd(nodes: DataFrame, spec: GridSpec) -> DataFrame:
-    return A.mfd_distance(cut(flow.downhill(nodes, spec)), nodes, True, False).select("node", F.round("value", 6).alias("value"))
+    return A.mfd_distance(cut(flow.downhill(nodes, spec)), nodes, True, False, spec=spec).select("node", F.round("value", 6).alias("value"))
 
 
 @query(_to_outlets("min"))
 def min_distance_to_outlets_mfd(nodes: DataFrame, spec: GridSpec) -> DataFrame:
-    return A.mfd_distance(cut(flow.downhill(nodes, spec)), nodes, False, False).select("node", F.round("value", 6).alias("value"))
+    return A.mfd_distance(cut(flow.downhill(nodes, spec)), nodes, False, False, spec=spec).select("node", F.round("value", 6).alias("value"))
 
 
 _BIG = "big AS MATERIALIZED (SELECT node FROM area ORDER BY value DESC, node LIMIT 1)"

@@ -11,8 +11,9 @@ from ..functions import boundary as B
 from ..functions.grid import D4, DIRECTIONS, GridSpec
 from ..operators import accumulate as A
 from ..operators import builder, depressions, flow, graphs, rivers, terrain, traversal, voxels
-from ..operators.iterate import levels, to_root
+from ..operators.iterate import to_root
 from ..operators.neighbours import d4_neighbours, extreme_neighbour, links, neighbourhood_stats, neighbours, one_neighbour
+from ..operators.tiles import grid_levels
 from ..scratch import cut
 from ..sources.grids import events_surface
 
@@ -330,7 +331,7 @@ _LEVELS = "lv(node, level) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELE
 
 @query(_sql("SELECT node, level FROM levels", EDGES, _DOWN, _LEVELS))
 def topological_level(nodes: DataFrame, spec: GridSpec) -> DataFrame:
-    return levels(flow.downhill(nodes, spec), nodes)
+    return grid_levels(flow.downhill(nodes, spec), nodes, spec)
 
 
 _MFD = "w AS MATERIALIZED (SELECT node, nb, dx, slope / sum(slope) OVER (PARTITION BY node) AS weight FROM down), sent(src, node, value) AS (SELECT node, node, 1::DOUBLE FROM nodes UNION ALL SELECT s.src, w.nb, s.value * w.weight FROM sent s JOIN w ON w.node = s.node)"
@@ -339,7 +340,7 @@ _MFD = "w AS MATERIALIZED (SELECT node, nb, dx, slope / sum(slope) OVER (PARTITI
 @query(_sql("SELECT node, round(sum(value), 6) AS value FROM sent GROUP BY node", EDGES, _DOWN, _MFD))
 def drainage_area_mfd(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     e = cut(flow.partition(flow.downhill(nodes, spec), "freeman"))
-    return A.accumulate_mfd(e, nodes).select("node", F.round("value", 6).alias("value"))
+    return A.accumulate_mfd(e, nodes, spec=spec).select("node", F.round("value", 6).alias("value"))
 
 
 def _mfd_far(f: str) -> str:
@@ -349,13 +350,13 @@ def _mfd_far(f: str) -> str:
 @query(_mfd_far("max"))
 def max_distance_from_sources_mfd(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     e = cut(flow.downhill(nodes, spec))
-    return A.mfd_distance(e, nodes, True, True).select("node", F.round("value", 6).alias("value"))
+    return A.mfd_distance(e, nodes, True, True, spec=spec).select("node", F.round("value", 6).alias("value"))
 
 
 @query(_mfd_far("min"))
 def min_distance_from_sources_mfd(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     e = cut(flow.downhill(nodes, spec))
-    return A.mfd_distance(e, nodes, False, True).select("node", F.round("value", 6).alias("value"))
+    return A.mfd_distance(e, nodes, False, True, spec=spec).select("node", F.round("value", 6).alias("value"))
 
 
 # Levels spread inwards from the rim; a node's value is replaced while it falls.
