@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, bucket_bits, materialise
@@ -116,8 +116,23 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), carry: list[str] | None =
 
 
 def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    plan = mix(docs, cfg).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    named = docs.select(F.struct("*").alias("_row"))
-    joined = named.join(plan, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("doc_id")))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+
+    Rows are told by id, source and size; where rows repeat all three, the copies that the mix takes of them are dealt out
+    evenly, so the output has the words of the mix. Null ids, sources and texts are values as any other; documents without
+    words come as often as their place in the queue says. An empty table gives an empty one.
+    """
+    def key(source: Column, size: Column, doc_id: Column) -> Column:
+        parts = (F.coalesce(doc_id.cast("string"), F.lit("-")), size.cast("string"), F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-")))
+        return F.concat_ws(":", *parts)
+
+    plan = mix(docs, cfg).groupBy(key(F.col("source"), F.col("size"), F.col("doc_id")).alias("_key"))
+    plan = materialise(plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).filter("_copies > 0"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    named = named.withColumn("_key", key(F.col("_row.source"), word_count(F.col("_row.text")), F.col("_row.doc_id").cast("long")))
+    joined = named.join(plan, "_key")
+    if not plan.filter("_n > 1").isEmpty():
+        k = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))
+        joined = joined.withColumn("_copies", F.floor((F.col("_copies") + F.col("_n") - k) / F.col("_n"))).filter("_copies > 0")
+    out = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

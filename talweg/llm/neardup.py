@@ -328,19 +328,37 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     )
 
 
+def _with_row_ids(named: DataFrame) -> DataFrame:
+    """``named`` (_row, doc_id, t1, t2) with one row for each id and text, and an id ``u`` of its own for each: the doc_id
+    for one text of an id, a number beyond all ids for its other texts."""
+    again = materialise(named.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2")).alias("first")).filter("n > 1"))
+    if again.isEmpty():
+        return named.withColumn("u", F.col("doc_id"))
+    maybe, clear = split_by_keys(named, "doc_id", again.select("doc_id"))
+    text = Window.partitionBy("doc_id", "t1", "t2").orderBy(F.xxhash64("_row"))
+    same = maybe.join(again, "doc_id").withColumn("_k", F.row_number().over(text)).filter("_k = 1")
+    same = materialise(same.select("_row", "doc_id", "t1", "t2", (F.struct("t1", "t2") == F.col("first")).alias("is_first"), F.monotonically_increasing_id().alias("k")))
+    low, high = named.agg(F.min("doc_id"), F.max("doc_id")).first()
+    room = high < (1 << 63) - (1 << 61)
+    other = F.lit(high + 1) + F.col("k") if room else F.lit(low - 1) - F.col("k")
+    same = same.withColumn("u", F.when(F.col("is_first"), F.col("doc_id")).otherwise(other)).drop("is_first", "k")
+    single = maybe.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(clear).withColumn("u", F.col("doc_id"))
+    return materialise(single.unionByName(same))
+
+
 def without_near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; of rows that repeat an id and its text, one stays.
+    """The rows of ``docs`` that are kept, with their columns.
 
-    A null id is kept. Rows that repeat a kept id with another text stay.
+    Rows are judged by id and text: of rows that repeat both, one stays (the same one in every run, by a hash of all its
+    columns); another text under an id is a document of its own, which stays unless it is near another one. The row of
+    the smallest id of a group stays. Rows with a null id, and those without words, stay.
     """
-    found = materialise(near_duplicates(docs, cfg))
-    odd = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    odd = materialise(odd.filter("not kept or n > 1"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    named = docs.select(row).withColumn("doc_id", F.col("_row.doc_id").cast("long"))
-    maybe, clear = split_by_keys(named, "doc_id", odd.select("doc_id"))
-    joined = maybe.join(odd, "doc_id", "left").filter("kept is null or kept")
-    same = Window.partitionBy("doc_id", F.xxhash64("_row.text"), F.xxhash64(F.lit(1), "_row.text")).orderBy(F.lit(1))
-    repeated = joined.filter("n > 1").withColumn("_k", F.row_number().over(same)).filter("_k = 1")
-    kept = joined.filter("n is null or n = 1").select("_row").unionAll(repeated.select("_row")).unionAll(clear.select("_row"))
+    text = F.col("_row.text")
+    named = docs.select(row).withColumns({"doc_id": F.col("_row.doc_id").cast("long"), "t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
+    rows = _with_row_ids(named)
+    found = near_duplicates(rows.select(F.col("u").alias("doc_id"), text.alias("text")), cfg)
+    gone = materialise(found.filter("not kept").select(F.col("doc_id").alias("u")))
+    maybe, clear = split_by_keys(rows, "u", gone)
+    kept = maybe.join(gone, "u", "left_anti").select("_row").unionAll(clear.select("_row"))
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
