@@ -116,13 +116,19 @@ def flood_report(filled: DataFrame) -> DataFrame:
     return filled.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(d > 0, 1)).alias("n_filled"), F.sum(d).alias("volume"), F.max(d).alias("deepest"))
 
 
-def reroute(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, carve: bool = True, around: list[tuple[int, int, int]] = D8) -> DataFrame:
+def reroute(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, carve: bool = True, around: list[tuple[int, int, int]] = D8, method: str | None = None) -> DataFrame:
     """node, rec, dx, slope with every closed basin drained over its lowest pass (Cordonnier and others, 2019).
 
+    ``method``: "carve", "simple" (as ``carve`` tells where it isn't given) or "fill".
+
     Boruvka rounds: each closed basin takes its lowest pass, basins that take each other's become one, until
     all reach an open basin. Then the way from each pit to its pass is reversed (carve), or the pit drains
-    straight to the far side of the pass. Basins without a way out stay as they are.
+    straight to the far side of the pass (simple), or all nodes below the pass flow to it as over a lake (fill).
+    Basins without a way out stay as they are.
     """
+    method = method or ("carve" if carve else "simple")
+    if method not in ("carve", "simple", "fill"):
+        raise ValueError(f"unknown method {method}")
     passes = cut(basin_passes(nodes, sfd, spec, around))
     roots = open_roots(nodes, sfd)
     both = passes.select(F.col("b1").alias("b"), F.col("b2").alias("o"), "pass_z", F.col("node_from").alias("here"), F.col("node_to").alias("there"))
@@ -130,9 +136,11 @@ def reroute(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, carve: bool = True
     edges = cut(both)
     # orient from the open basins: a basin is entered over the pass by which a flood would reach it
     reached = _flood_order(edges, roots)
-    exits = reached.join(edges, ["b", "o"]).select("b", "here", "there")
-    if carve:
+    exits = cut(reached.join(edges, ["b", "o"]).select("b", "here", "there", "pass_z"))
+    if method == "carve":
         return _reverse(sfd, exits, spec)
+    if method == "fill":
+        return _flooded(nodes, sfd, exits, spec, around)
     moved = exits.select(F.col("b").alias("node"), F.col("there").alias("rec2"))
     out = sfd.join(moved, "node", "left")
     dx = F.when(F.col("rec2").isNotNull(), _length(spec, F.col("node"), F.col("rec2"))).otherwise(F.col("dx"))
@@ -178,6 +186,23 @@ def _flood_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
         done = cut(done.unionAll(front))
 
 
+def _flooded(nodes: DataFrame, sfd: DataFrame, exits: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]]) -> DataFrame:
+    """Receivers over lakes: the nodes of a closed basin below its pass, and the pass's own node, by steps from that node
+    over such nodes; each flows to a neighbour that is a step nearer, the nearest one, then the smallest."""
+    root = to_root(sfd).select("node", F.col("root").alias("b"))
+    wet = nodes.select("node", "z").join(root, "node").join(exits, "b")
+    wet = cut(wet.filter((F.col("z") < F.col("pass_z")) | (F.col("node") == F.col("here"))).select("node", "b", "here", "there"))
+    e = offsets(wet, spec, around).select("node", "nb", "dx").join(wet.select("node", "b"), "node").join(wet.select(F.col("node").alias("nb"), F.col("b").alias("b_nb")), "nb")
+    e = cut(e.filter("b = b_nb").select("node", "nb", "dx"))
+    far = relax(e, wet.filter("node = here").select("node", F.lit(0).cast("long").alias("value")), F.col("value") + 1)
+    nearer = e.join(far, "node").join(far.select(F.col("node").alias("nb"), F.col("value").alias("v")), "nb").filter("v = value - 1")
+    nearer = nearer.groupBy("node").agg(F.min(F.struct("dx", "nb")).alias("m")).select("node", F.col("m.nb").alias("rec2"))
+    moved = nearer.unionAll(wet.filter("node = here").select("node", F.col("there").alias("rec2")))
+    out = sfd.join(moved, "node", "left")
+    dx = F.when(F.col("rec2").isNotNull(), _length(spec, F.col("node"), F.col("rec2"))).otherwise(F.col("dx"))
+    return out.select("node", F.coalesce("rec2", "rec").alias("rec"), dx.alias("dx"), F.when(F.col("rec2").isNotNull(), 0.0).otherwise(F.col("slope")).alias("slope"))
+
+
 def _reverse(sfd: DataFrame, exits: DataFrame, spec: GridSpec) -> DataFrame:
     """Reverse the receivers on the way from each exit node down to its root, and send the exit node over the pass."""
     on_way = None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import D4, DIRECTIONS, GridSpec
 from ..operators import accumulate as A
-from ..operators import builder, depressions, flow, graphs, rivers, terrain, traversal, voxels
+from ..operators import builder, depressions, flats, flow, graphs, hierarchy, rivers, terrain, traversal, voxels
 from ..operators.iterate import to_root
 from ..operators.neighbours import d4_neighbours, extreme_neighbour, links, neighbourhood_stats, neighbours, one_neighbour
 from ..operators.tiles import grid_levels
@@ -383,10 +383,85 @@ def sink_nodes(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return depressions.sinks(nodes, spec)
 
 
-@query()
+# Receivers with a closed rim, basins by them, and the passes over which a flood from the rim enters each basin: the lowest
+# pass from what is reached to what isn't, one after the other.
+_CLOSED = """cs AS MATERIALIZED (SELECT s.node, CASE WHEN r IN (0, ny - 1) OR c IN (0, nx - 1) THEN s.node ELSE s.rec END AS rec FROM sfd s JOIN nodes n ON n.node = s.node, dims),
+cw(src, node) AS (SELECT node, node FROM cs UNION ALL SELECT w.src, s.rec FROM cw w JOIN cs s ON s.node = w.node WHERE s.rec <> s.node),
+cr AS MATERIALIZED (SELECT w.src AS node, w.node AS root FROM cw w JOIN cs s ON s.node = w.node WHERE s.rec = s.node),
+lowest AS MATERIALIZED (
+  SELECT a.root AS b1, b.root AS b2, min(struct_pack(z := greatest(e.z, e.z_nb), u := e.node, v := e.nb)) AS p
+  FROM edges e JOIN cr a ON a.node = e.node JOIN cr b ON b.node = e.nb WHERE a.root < b.root GROUP BY ALL
+)"""
+_ENTERED = """ways AS MATERIALIZED (SELECT b1 AS b, b2 AS o, p.z AS z, p.u AS here, p.v AS there FROM lowest UNION ALL SELECT b2, b1, p.z, p.v, p.u FROM lowest),
+reached(b, here, there, z) USING KEY (b) AS (
+  SELECT node, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM nodes, dims WHERE r IN (0, ny - 1) OR c IN (0, nx - 1)
+  UNION SELECT * FROM (
+    SELECT w.b, w.here, w.there, w.z FROM recurring.reached r JOIN ways w ON w.o = r.b LEFT JOIN recurring.reached q ON q.b = w.b
+    WHERE q.b IS NULL AND EXISTS (SELECT 1 FROM reached) ORDER BY w.z, least(w.here, w.there), greatest(w.here, w.there) LIMIT 1)
+), exits AS MATERIALIZED (SELECT * FROM reached WHERE here IS NOT NULL)"""
+_LENGTH = "round(CASE WHEN m.node IS NULL THEN CASE WHEN s.rec = s.node THEN 0 ELSE d.dx END ELSE sqrt((floor(m.node / nx) - floor(m.rec / nx)) ** 2 + (m.node % nx - m.rec % nx) ** 2) END, 6) AS dx"
+_MOVED = f"SELECT s.node, coalesce(m.rec, s.rec) AS rec, {_LENGTH} FROM cs s LEFT JOIN moved m ON m.node = s.node LEFT JOIN sfd d ON d.node = s.node, dims"
+
+
+def _rerouted(nodes: DataFrame, spec: GridSpec, method: str) -> DataFrame:
+    coded = builder.codes(nodes, spec)
+    return depressions.reroute(coded, cut(flow.steepest(coded, spec)), spec, method=method).select("node", "rec", F.round("dx", 6).alias("dx"))
+
+
+@query(_sql(_MOVED, EDGES, SFD, _CLOSED, _ENTERED, "moved(node, rec) AS (SELECT here, there FROM exits UNION ALL SELECT s.rec, s.node FROM moved m JOIN cs s ON s.node = m.node WHERE s.rec <> s.node)"))
 def rerouted_receivers(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return _rerouted(nodes, spec, "carve")
+
+
+@query(_sql(_MOVED, EDGES, SFD, _CLOSED, _ENTERED, "moved AS MATERIALIZED (SELECT b AS node, there AS rec FROM exits)"))
+def rerouted_receivers_simple(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return _rerouted(nodes, spec, "simple")
+
+
+_LAKE = """wet AS MATERIALIZED (SELECT n.node, x.b, x.here, x.there FROM nodes n JOIN cr USING (node) JOIN exits x ON x.b = cr.root WHERE n.z < x.z OR n.node = x.here),
+wave(node, h) USING KEY (node) AS (SELECT node, 0 FROM wet WHERE node = here
+  UNION SELECT e.nb, min(w.h + 1) FROM wave w JOIN edges e ON e.node = w.node JOIN wet a ON a.node = e.node JOIN wet b ON b.node = e.nb AND b.b = a.b LEFT JOIN recurring.wave o ON o.node = e.nb WHERE o.h IS NULL GROUP BY e.nb),
+moved AS MATERIALIZED (SELECT node, there AS rec FROM wet WHERE node = here UNION ALL SELECT node, nb FROM (
+  SELECT e.node, e.nb, row_number() OVER (PARTITION BY e.node ORDER BY e.dx, e.nb) AS k FROM edges e JOIN wet a ON a.node = e.node JOIN wet b ON b.node = e.nb AND b.b = a.b JOIN wave u ON u.node = e.node JOIN wave v ON v.node = e.nb AND v.h = u.h - 1) WHERE k = 1)"""
+
+
+@query(_sql(_MOVED, EDGES, SFD, _CLOSED, _ENTERED, _LAKE))
+def rerouted_receivers_fill(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return _rerouted(nodes, spec, "fill")
+
+
+_FLATS = """flooded AS MATERIALIZED (SELECT node, r, c, v FROM nodes JOIN fill USING (node)),
+sides AS MATERIALIZED (SELECT e.node, e.nb, a.v, b.v AS v_nb FROM edges e JOIN flooded a ON a.node = e.node JOIN flooded b ON b.node = e.nb),
+still AS MATERIALIZED (SELECT s.node, bool_or(v_nb > v) AS under FROM sides s JOIN nodes n USING (node), dims WHERE r NOT IN (0, ny - 1) AND c NOT IN (0, nx - 1) GROUP BY s.node HAVING NOT bool_or(v_nb < v)),
+level AS MATERIALIZED (SELECT s.node, s.nb, q.node IS NOT NULL AS inside FROM sides s JOIN still p ON p.node = s.node LEFT JOIN still q ON q.node = s.nb WHERE v = v_nb),
+toward(node, d) USING KEY (node) AS (SELECT DISTINCT node, 1 FROM level WHERE NOT inside
+  UNION SELECT l.nb, min(t.d + 1) FROM toward t JOIN level l ON l.node = t.node AND inside LEFT JOIN recurring.toward o ON o.node = l.nb WHERE o.d IS NULL GROUP BY l.nb),
+away(node, d) USING KEY (node) AS (SELECT node, 1 FROM still WHERE under
+  UNION SELECT l.nb, min(t.d + 1) FROM away t JOIN level l ON l.node = t.node AND inside LEFT JOIN recurring.away o ON o.node = l.nb WHERE o.d IS NULL GROUP BY l.nb),
+flat(node, f) USING KEY (node) AS (SELECT node, node FROM still
+  UNION SELECT l.nb, min(t.f) FROM flat t JOIN level l ON l.node = t.node AND inside JOIN recurring.flat o ON o.node = l.nb WHERE t.f < o.f GROUP BY l.nb)"""
+
+
+@query(_sql("SELECT w.node, n.z, w.v + coalesce(s.steps, 0) AS filled, coalesce(s.steps, 0)::BIGINT AS steps FROM flooded w JOIN nodes n USING (node) LEFT JOIN (SELECT node, 2 * t.d + coalesce(max(a.d) OVER (PARTITION BY f) - a.d, 0) AS steps FROM flat LEFT JOIN toward t USING (node) LEFT JOIN away a USING (node)) s USING (node)", EDGES, _FILL, _FLATS))
+def draining_fill(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return flats.fill_draining(nodes, spec, 1).select("node", "z", F.col("filled").cast("long").alias("filled"), "steps")
+
+
+_TREE = """closed AS MATERIALIZED (SELECT node AS b, v AS spill FROM cs JOIN fill USING (node) JOIN nodes USING (node), dims WHERE rec = node AND r NOT IN (0, ny - 1) AND c NOT IN (0, nx - 1)),
+inner_passes AS MATERIALIZED (SELECT b1, b2, p.z AS z, row_number() OVER (ORDER BY p.z, b1, b2) AS k FROM lowest JOIN closed x ON x.b = b1 JOIN closed y ON y.b = b2 WHERE p.z < least(x.spill, y.spill)),
+side(k, s, b) AS (SELECT k, 1, b1 FROM inner_passes UNION SELECT k, 2, b2 FROM inner_passes
+  UNION SELECT t.k, t.s, CASE WHEN i.b1 = t.b THEN i.b2 ELSE i.b1 END FROM side t JOIN inner_passes i ON i.k < t.k AND (i.b1 = t.b OR i.b2 = t.b)),
+parts AS MATERIALIZED (SELECT k, s, min(b) AS label, count(*) AS n FROM side WHERE k NOT IN (SELECT x.k FROM side x JOIN side y ON x.k = y.k AND x.b = y.b AND x.s = 1 AND y.s = 2) GROUP BY k, s),
+made AS MATERIALIZED (SELECT k, min(label) AS label, sum(n)::BIGINT AS n FROM parts GROUP BY k),
+deps AS MATERIALIZED (SELECT b AS label, 1::BIGINT AS n, NULL::BIGINT AS formed, b, NULL::BIGINT AS k FROM closed UNION ALL SELECT label, n, z, label, k FROM made JOIN inner_passes USING (k)),
+tree AS MATERIALIZED (SELECT d.*, coalesce(i.z, c.spill) AS spill, m.label AS parent_label, m.n AS parent_basins FROM deps d JOIN closed c ON c.b = d.label LEFT JOIN parts p ON p.label = d.label AND p.n = d.n LEFT JOIN made m ON m.k = p.k LEFT JOIN inner_passes i ON i.k = p.k),
+within AS MATERIALIZED (SELECT label, n, label AS b FROM deps WHERE k IS NULL UNION SELECT d.label, d.n, s.b FROM deps d JOIN side s ON s.k = d.k)"""
+
+
+@query(_sql("SELECT t.label, t.n AS n_basins, t.formed::DOUBLE AS formed, t.spill::DOUBLE AS spill, t.parent_label, t.parent_basins, coalesce(w.cells, 0) AS n_cells, coalesce(w.volume, 0)::DOUBLE AS volume FROM tree t LEFT JOIN (SELECT t.label, t.n, count(*) AS cells, sum(t.spill - c.z) AS volume FROM tree t JOIN within w ON w.label = t.label AND w.n = t.n JOIN cr ON cr.root = w.b JOIN nodes c ON c.node = cr.node WHERE c.z < t.spill GROUP BY t.label, t.n) w ON w.label = t.label AND w.n = t.n", EDGES, SFD, _FILL, _CLOSED, _TREE))
+def depression_hierarchy(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     coded = builder.codes(nodes, spec)
-    return depressions.reroute(coded, cut(flow.steepest(coded, spec)), spec).select("node", "rec", F.round("dx", 6).alias("dx"))
+    return hierarchy.hierarchy(coded, cut(flow.steepest(coded, spec)), spec)
 
 
 @query(_sql("SELECT p.node, n.z, least(n.z::DOUBLE, min(m.z)) AS carved FROM paths p JOIN nodes m ON m.node = p.src JOIN nodes n ON n.node = p.node GROUP BY p.node, n.z", EDGES, SFD, PATHS))
