@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import GridSpec, distance, manhattan
 from ..operators import accumulate as A
-from ..operators import builder, depressions, flow, graphs, rivers, terrain, traversal, voxels
+from ..operators import builder, depressions, distances, flow, graphs, ranges, rivers, terrain, traversal, voxels
 from ..operators.iterate import levels, to_root
 from ..operators.neighbours import bit_code, effective_neighbours, extreme_neighbour, link_ends, links, neighbours, orthogonal
 from ..scratch import cut
@@ -628,3 +628,51 @@ def voxel_distance_to(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     vox = _vox(nodes, spec)
     out = voxels.distance_to(vox, vox.filter("z = 6"), 3)
     return _place(out.withColumn("distance", F.round("distance", 6)), "distance")
+
+
+# distances without a bound, and depth-first order
+
+
+_SEEDS = "seeds AS MATERIALIZED (SELECT DISTINCT x, y, z FROM vox WHERE value % 97 < 1), gaps AS MATERIALIZED (SELECT v.x, v.y, v.z, abs(v.x - s.x) AS a, abs(v.y - s.y) AS b, abs(v.z - s.z) AS d, greatest(a, b, d) AS most, least(a, b, d) AS few FROM vox v, seeds s)"
+
+
+def _seeds(vox: DataFrame) -> DataFrame:
+    return vox.filter(F.col("value") % 97 < 1)
+
+
+@query(_sql("SELECT x, y, z, min(a * a + b * b + d * d)::BIGINT AS d2, round(sqrt(min(a * a + b * b + d * d)), 6) AS distance FROM gaps GROUP BY x, y, z", _VOX, _SEEDS))
+def voxel_distance_euclidean(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    vox = _vox(nodes, spec)
+    return _place(distances.euclidean(vox, _seeds(vox)).withColumn("distance", F.round("distance", 6)), "d2", "distance")
+
+
+@query(_sql("SELECT x, y, z, min(2 * most + a + b + d)::BIGINT AS distance FROM gaps GROUP BY x, y, z", _VOX, _SEEDS))
+def voxel_distance_chamfer(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    vox = _vox(nodes, spec)
+    return _place(distances.lattice(vox, _seeds(vox), 3, 4, 5).withColumn("distance", F.col("distance").cast("long")), "distance")
+
+
+@query(_sql("SELECT x, y, z, round(min(sqrt(3) * few + sqrt(2) * (a + b + d - most - 2 * few) + 2 * most - (a + b + d) + few), 6) AS distance FROM gaps GROUP BY x, y, z", _VOX, _SEEDS))
+def voxel_distance_straight_steps(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    vox = _vox(nodes, spec)
+    return _place(distances.lattice(vox, _seeds(vox), 1, 2**0.5, 3**0.5).withColumn("distance", F.round("distance", 6)), "distance")
+
+
+@query(_sql("SELECT x, y, z, min(a + b + d)::BIGINT AS distance FROM gaps GROUP BY x, y, z", _VOX, _SEEDS))
+def voxel_distance_manhattan(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    vox = _vox(nodes, spec)
+    return _place(distances.lattice(vox, _seeds(vox), 1).withColumn("distance", F.col("distance").cast("long")), "distance")
+
+
+_PLACES = "sizes AS MATERIALIZED (SELECT node, count(*) AS size FROM paths GROUP BY node), shifts AS MATERIALIZED (SELECT node, (rec <> node)::INT + coalesce(sum(size) OVER (PARTITION BY CASE WHEN rec = node THEN -1 ELSE rec END ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM sfd JOIN sizes USING (node)), places AS MATERIALIZED (SELECT src AS node, sum(shift)::BIGINT AS \"at\", max(hops)::BIGINT AS depth FROM paths JOIN shifts USING (node) GROUP BY src)"
+
+
+@query(_sql("SELECT node, root, \"at\", size, depth, \"at\" + size - 1 - depth AS post FROM places JOIN sizes USING (node) JOIN roots USING (node)", EDGES, SFD, PATHS, ROOTS, _PLACES))
+def depth_first_order(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return ranges.depth_first(cut(flow.steepest(nodes, spec)))
+
+
+@query(_sql("SELECT DISTINCT src AS node FROM paths WHERE node % 37 = 0 AND src <> node", EDGES, SFD, PATHS))
+def upstream_of_many(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    order = ranges.depth_first(cut(flow.steepest(nodes, spec)))
+    return ranges.upstream_in(order, nodes.filter("node % 37 = 0"))

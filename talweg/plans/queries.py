@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import D4, DIRECTIONS, GridSpec
 from ..operators import accumulate as A
-from ..operators import builder, depressions, flats, flow, graphs, hierarchy, rivers, terrain, traversal, voxels
+from ..operators import builder, depressions, flats, flow, graphs, hierarchy, ranges, rivers, terrain, traversal, voxels
 from ..operators.iterate import to_root
 from ..operators.neighbours import d4_neighbours, extreme_neighbour, links, neighbourhood_stats, neighbours, one_neighbour
 from ..operators.tiles import grid_levels
@@ -274,7 +274,7 @@ def _top(area: DataFrame) -> DataFrame:
 @query(_sql("SELECT p.src AS node FROM paths p, top WHERE p.node = top.node AND p.src <> top.node", EDGES, SFD, PATHS, _AREA, _TOP))
 def upstream_nodes(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     sfd, area = _area(nodes, spec)
-    return A.upstream(A.as_edges(sfd), _top(area)).select("node")
+    return ranges.upstream_in(ranges.depth_first(sfd), _top(area))
 
 
 _DEEP = "deep AS MATERIALIZED (SELECT src FROM paths ORDER BY hops DESC, src LIMIT 1)"
