@@ -11,7 +11,8 @@ from ..operators import accumulate as A
 from ..operators import builder, depressions, distances, flow, graphs, ranges, rivers, terrain, traversal, voxels
 from ..operators.iterate import levels, to_root
 from ..operators.neighbours import bit_code, effective_neighbours, extreme_neighbour, link_ends, links, neighbours, orthogonal
-from ..scratch import cut
+from ..scratch import cut, mounted_path
+from ..sources import raster
 from . import flood
 from .queries import _AREA, _DOWN, _FACE, _FILL, _MFD, _VOX, EDGES, PATHS, ROOTS, SFD, _area, _scaled, _sql, _vox, query
 
@@ -676,3 +677,10 @@ def depth_first_order(nodes: DataFrame, spec: GridSpec) -> DataFrame:
 def upstream_of_many(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     order = ranges.depth_first(cut(flow.steepest(nodes, spec)))
     return ranges.upstream_in(order, nodes.filter("node % 37 = 0"))
+
+
+@query(_sql("SELECT node, r, c, z::DOUBLE AS z FROM nodes, dims WHERE r BETWEEN 3 AND ny - 5 AND c BETWEEN 7 AND nx - 2"))
+def raster_window(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    path = mounted_path(nodes.sparkSession)
+    raster.write_raster(nodes, spec, path, tile=64)
+    return raster.read_raster(nodes.sparkSession, path, (3, 7, spec.ny - 5, spec.nx - 2), "node long, r long, c long, z double")[0].filter("z is not null")

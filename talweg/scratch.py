@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,15 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def mounted_path(spark: SparkSession) -> str:
+    """A new place in the shared folder as a path of the file system, where that folder is one."""
+    path = urlparse(scratch_path(spark))
+    if path.scheme not in ("", "file"):
+        raise RuntimeError(f"a folder of the file system is needed, not {path.scheme}")
+    Path(path.path).parent.mkdir(parents=True, exist_ok=True)
+    return path.path
+
+
 def exists(spark: SparkSession, pattern: str) -> bool:
     """Whether any file or folder matches a pattern."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
