@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import GridSpec, distance, manhattan
 from ..operators import accumulate as A
-from ..operators import builder, depressions, distances, flow, graphs, ranges, rivers, terrain, traversal, voxels
+from ..operators import builder, depressions, distances, flow, graphs, modularity, ranges, rivers, terrain, traversal, voxels
 from ..operators.iterate import levels, to_root
 from ..operators.neighbours import bit_code, effective_neighbours, extreme_neighbour, link_ends, links, neighbours, orthogonal
 from ..scratch import cut, mounted_path
@@ -684,3 +684,18 @@ def raster_window(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     path = mounted_path(nodes.sparkSession)
     raster.write_raster(nodes, spec, path, tile=64)
     return raster.read_raster(nodes.sparkSession, path, (3, 7, spec.ny - 5, spec.nx - 2), "node long, r long, c long, z double")[0].filter("z is not null")
+
+
+# communities
+
+
+@query(_sql("SELECT round(2 * sum(w) FILTER (ra = rb) / sum(2 * w) - (SELECT sum(k * k) FROM (SELECT root, sum(w) AS k FROM (SELECT ra AS root, w FROM links UNION ALL SELECT rb, w FROM links) GROUP BY root)) / sum(2 * w) ** 2, 9) AS modularity FROM links", EDGES, SFD, PATHS, ROOTS, "links AS MATERIALIZED (SELECT e.node, e.nb, 2::DOUBLE AS w, a.root AS ra, b.root AS rb FROM edges e JOIN roots a ON a.node = e.node JOIN roots b ON b.node = e.nb WHERE e.node < e.nb)"))
+def modularity_of_basins(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    root = to_root(cut(flow.steepest(nodes, spec))).select("node", F.col("root").alias("community"))
+    links_ = modularity.undirected(neighbours(nodes, spec))
+    return modularity.modularity(links_, root).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query()
+def modularity_communities(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return modularity.communities(neighbours(nodes, spec), nodes)[0]
