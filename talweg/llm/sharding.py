@@ -31,53 +31,68 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
+def _fresh(name: str, columns: list[str]) -> str:
+    """The name, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def assign(df: DataFrame, key: str, shards: int, out: str = "shard", grown: str | None = None) -> DataFrame:
     """Add the shard of each row's key, and with ``grown`` the shard with one more.
 
-    Ties: equal keys share a shard. A null key counts as the key 0. Columns named like the new ones are replaced.
+    Ties: equal keys share a shard. A null key counts as the key 0. Columns named like the new ones are replaced, all
+    others stay, whatever their names.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     names = [out, *([grown] if grown else [])]
-    kept = [c for c in df.columns if c not in (*names, "_key")]
-    src = df.select(*kept, F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("_key"))
-    fields = [src.schema[c] for c in kept] + [StructField(n, IntegerType()) for n in names]
+    kept = [c for c in df.columns if c not in names]
+    hashed = F.coalesce(F.xxhash64(F.col(_quoted(key))), F.lit(0))
+    src = df.select(*[F.col(_quoted(c)) for c in kept], hashed.alias("_key"))
+    plain = [f"c{i}" for i in range(len(kept) + 1)]  # names with dots don't pass mapInArrow
+    fields = [StructField(p, f.dataType) for p, f in zip(plain, src.schema.fields[:-1])] + [StructField(n, IntegerType()) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             more = [pa.array(jump_hash(keys, shards + i).astype(np.int32)) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*plain[:-1], *names])
 
-    return src.mapInArrow(run, StructType(fields))
+    return src.toDF(*plain).mapInArrow(run, StructType(fields)).toDF(*kept, *names)
 
 
 def with_slots(df: DataFrame, group: str, order: str, out: str = "slot") -> DataFrame:
     """Number the rows of each group from 0 without gaps, in order of a hash prefix and then ``order``.
 
     Counts by (group, hash prefix) give each prefix its first number, so the rows of a group are spread
-    over many tasks. Rows with equal ``order`` are numbered in any order; their other columns decide nothing.
+    over many tasks. Rows with equal ``order`` are numbered in any order; their other columns decide nothing. Null groups
+    are one group, null ``order`` comes like any value. A column named like the new one is replaced, all others stay.
     """
-    df = materialise(df)
+    df = materialise(df.drop(out) if out not in (group, order) else df)
+    names = df.columns
     bits = bucket_bits(df.count())
-    df = df.withColumn("_hb", F.shiftrightunsigned(F.xxhash64(F.col(order)), 64 - bits))
-    counts = df.groupBy(group, "_hb").agg(F.count(F.lit(1)).alias("_n"))
-    first = counts.selectExpr(
-        group, "_hb", f"sum(_n) over (partition by {group} order by _hb) - _n as _first"
-    )
-    ranked = df.selectExpr("*", f"row_number() over (partition by {group}, _hb order by {order}) - 1 as _rank")
-    return (
-        ranked.join(first, [group, "_hb"])
-        .withColumn(out, (F.col("_first") + F.col("_rank")).cast("long"))
-        .drop("_hb", "_first", "_rank")
-    )
+    prefix, n, first, rank, own = (_fresh(c, names) for c in ("_hb", "_n", "_first", "_rank", "_group"))
+    g, o = _quoted(group), _quoted(order)
+    marked = df.withColumn(prefix, F.shiftrightunsigned(F.xxhash64(F.col(o)), 64 - bits))
+    counts = marked.groupBy(F.col(g).alias(own), prefix).agg(F.count(F.lit(1)).alias(n))
+    starts = counts.selectExpr(own, f"{prefix} as {prefix}o", f"sum({n}) over (partition by {own} order by {prefix}) - {n} as {first}")
+    ranked = marked.selectExpr("*", f"row_number() over (partition by {g}, {prefix} order by {o}) - 1 as {rank}")
+    joined = ranked.join(starts, ranked[g].eqNullSafe(starts[own]) & (ranked[prefix] == starts[f"{prefix}o"]))
+    return joined.select(*[F.col(_quoted(c)) for c in names], (F.col(first) + F.col(rank)).cast("long").alias(out))
 
 
 def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     """Placement of every document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law ``key``: the id and the shard count decide. Null or empty text has size 8 and checksum 0.
-    Repeated ids share a shard and take a slot each.
+    Repeated ids share a shard and take a slot each. A null id counts as the key 0. Texts of any length are only measured.
+    Other columns of the table, whatever their names, are left out.
     """
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = docs.select(
