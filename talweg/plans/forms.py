@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import GridSpec, distance, manhattan
 from ..operators import accumulate as A
-from ..operators import builder, depressions, distances, flow, graphs, modularity, ranges, rivers, terrain, traversal, voxels
+from ..operators import builder, depressions, distances, flow, graphs, modularity, ranges, rivers, routes, shapes, terrain, traversal, voxels
 from ..operators.iterate import levels, to_root
 from ..operators.neighbours import bit_code, effective_neighbours, extreme_neighbour, link_ends, links, neighbours, orthogonal
 from ..scratch import cut, mounted_path
@@ -699,3 +699,77 @@ def modularity_of_basins(nodes: DataFrame, spec: GridSpec) -> DataFrame:
 @query()
 def modularity_communities(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return modularity.communities(neighbours(nodes, spec), nodes)[0]
+
+
+# shortest ways between two nodes, and objects
+
+
+_ROUTE = (
+    "high AS MATERIALIZED (SELECT node, nb, floor(dx * 10)::BIGINT + floor(abs(z - z_nb) / 1e9)::BIGINT AS w FROM edges WHERE z > 2000000000 AND z_nb > 2000000000)",
+    "way(node, v) USING KEY (node) AS (SELECT min(node), 0::BIGINT FROM nodes WHERE z > 2000000000 UNION SELECT h.nb, min(w.v + h.w) FROM way w JOIN high h ON h.node = w.node LEFT JOIN recurring.way o ON o.node = h.nb WHERE o.v IS NULL OR w.v + h.w < o.v GROUP BY h.nb)",
+    "best AS MATERIALIZED (SELECT * FROM (SELECT h.nb AS node, h.node AS \"to\", row_number() OVER (PARTITION BY h.nb ORDER BY a.v, h.node) AS k FROM high h JOIN way a ON a.node = h.node JOIN way b ON b.node = h.nb WHERE a.v + h.w = b.v) WHERE k = 1)",
+    "back(node, step) AS (SELECT max(node), 0::BIGINT FROM way UNION ALL SELECT \"to\", step + 1 FROM back JOIN best USING (node))",
+)
+
+
+@query(_sql("SELECT (SELECT max(step) FROM back) - step AS step, node, v::DOUBLE AS value FROM back JOIN way USING (node)", EDGES, *_ROUTE))
+def shortest_route_by_landmarks(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    w = F.floor(F.col("dx") * 10) + F.floor(F.abs(F.col("z") - F.col("z_nb")) / 1e9)
+    high = nodes.filter("z > 2000000000")
+    e = cut(neighbours(high, spec).select("node", "nb", w.alias("w")))
+    start = high.agg(F.min("node")).first()[0]
+    marks = [start, *[m for m in routes.extreme_nodes(e, spec) if m != start]]
+    table = routes.landmark_distances(e, spec, marks, "w")
+    goal = table.filter(F.col("d")[0].isNotNull()).agg(F.max("node")).first()[0]
+    return routes.shortest_route(e, spec, table, start, goal, "w")[0]
+
+
+_AIR = "air AS MATERIALIZED (SELECT x, y, k AS z FROM vox, range(0, 5) t(k) WHERE k >= z), ends AS MATERIALIZED (SELECT min({x: x, y: y, z: z}) AS p, max({x: x, y: y, z: z}) AS q FROM air WHERE z = 4)"
+
+
+def _air(nodes: DataFrame, spec: GridSpec) -> tuple[DataFrame, tuple, tuple]:
+    """The places above the surface in five layers, and the first and last of the highest."""
+    vox = _vox(nodes, spec).filter("z <= 4").withColumn("z", F.explode(F.sequence(F.col("z"), F.lit(4).cast("long"))))
+    vox = cut(vox)
+    p, q = vox.filter("z = 4").agg(F.min(F.struct("x", "y", "z")), F.max(F.struct("x", "y", "z"))).first()
+    return vox, tuple(p), tuple(q)
+
+
+def _voxel_way(k: int, among: str) -> str:
+    """CTEs of the k-th way between the ends through the places of a table: distances, the nearest place before each, the way."""
+    near = "w.x = v.x + a AND w.y = v.y + b AND w.z = v.z + d"
+    return (
+        f"far{k}(x, y, z, v) USING KEY (x, y, z) AS (SELECT p.x, p.y, p.z, 0::BIGINT FROM ends UNION SELECT w.x, w.y, w.z, min(v.v + 1) FROM far{k} v, face, {among} w LEFT JOIN recurring.far{k} o ON o.x = w.x AND o.y = w.y AND o.z = w.z WHERE {near} AND o.v IS NULL GROUP BY w.x, w.y, w.z), "
+        f"near{k} AS MATERIALIZED (SELECT w.x, w.y, w.z, min({{x: v.x, y: v.y, z: v.z}}) AS f FROM far{k} v, face, far{k} w WHERE {near} AND w.v = v.v + 1 GROUP BY w.x, w.y, w.z), "
+        f"way{k}(x, y, z, v) AS (SELECT x, y, z, v FROM far{k}, ends WHERE x = q.x AND y = q.y AND z = q.z UNION ALL SELECT f.x, f.y, f.z, v - 1 FROM way{k} JOIN near{k} USING (x, y, z))"
+    )
+
+
+@query(_sql("SELECT v AS step, x, y, z, v::DOUBLE AS value FROM way1", _VOX, _FACE, _AIR, _voxel_way(1, "air")))
+def voxel_shortest_route(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return routes.voxel_route(*_air(nodes, spec))
+
+
+_APART = "open2 AS MATERIALIZED (SELECT * FROM air ANTI JOIN (SELECT x, y, z FROM way1, ends WHERE {x: x, y: y, z: z} NOT IN (p, q)) USING (x, y, z))"
+
+
+@query(_sql("SELECT 1::BIGINT AS route, v AS step, x, y, z, v::DOUBLE AS value FROM way1 UNION ALL SELECT 2, v, x, y, z, v FROM way2", _VOX, _FACE, _AIR, _voxel_way(1, "air"), _APART, _voxel_way(2, "open2")))
+def voxel_separate_routes(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return routes.separate_routes(*_air(nodes, spec), most=2, separation=0)
+
+
+_OBJECT = """marked AS MATERIALIZED (SELECT x, y, z, comp FROM lab), bits AS MATERIALIZED (
+  SELECT m.comp, m.x, m.y, m.z, count(*) FILTER (a + b + d = 1 AND s = 2) AS pairs, count(*) FILTER (a + b + d = 2 AND s = 4) AS squares, count(*) FILTER (a + b + d = 3 AND s = 8) AS cubes
+  FROM (SELECT m.comp, m.x, m.y, m.z, a, b, d, (SELECT count(*) FROM marked w WHERE w.x BETWEEN m.x AND m.x + a AND w.y BETWEEN m.y AND m.y + b AND w.z BETWEEN m.z AND m.z + d) AS s
+        FROM marked m, range(0, 2) i(a), range(0, 2) j(b), range(0, 2) k(d)) m GROUP BY ALL
+), measured AS MATERIALIZED (SELECT comp, count(*) AS volume, sum(6 - 2 * pairs)::BIGINT AS area, sum(1 - pairs + squares - cubes)::BIGINT AS euler, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max,
+  var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM bits GROUP BY comp)"""
+
+
+@query(_sql("SELECT volume, area, euler, x_min, x_max, y_min, y_max, z_min, z_max, round((xx + yy + zz) * volume * volume)::BIGINT AS spread, round(area::DOUBLE ** 1.5 / volume, 3) AS compactness, round(pi() ** (1 / 3.0) * (6.0 * volume) ** (2 / 3.0) / area, 3) AS sphericity FROM measured", _VOX, _FACE, _CC, _OBJECT))
+def voxel_objects(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    out = shapes.segmented(_vox(nodes, spec))[1]
+    spread = F.pow("length1", F.lit(2)) + F.pow("length2", F.lit(2)) + F.pow("length3", F.lit(2))
+    spread = F.round(spread * F.col("volume") * F.col("volume")).cast("long").alias("spread")  # a whole number
+    measures = [spread, *[F.round(n, 3).alias(n) for n in ("compactness", "sphericity")]]
+    return out.select("volume", "area", "euler", *[f"{k}_{n}" for k in "xyz" for n in ("min", "max")], *measures)
