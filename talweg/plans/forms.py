@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import GridSpec, distance, manhattan
 from ..operators import accumulate as A
-from ..operators import builder, depressions, distances, flow, graphs, modularity, ranges, rivers, routes, shapes, terrain, traversal, voxels
+from ..operators import builder, depressions, distances, flow, graphs, hull, modularity, ranges, rivers, routes, shapes, terrain, traversal, voxels
 from ..operators.iterate import levels, to_root
 from ..operators.neighbours import bit_code, effective_neighbours, extreme_neighbour, link_ends, links, neighbours, orthogonal
 from ..scratch import cut, mounted_path
@@ -773,3 +773,26 @@ def voxel_objects(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     spread = F.round(spread * F.col("volume") * F.col("volume")).cast("long").alias("spread")  # a whole number
     measures = [spread, *[F.round(n, 3).alias(n) for n in ("compactness", "sphericity")]]
     return out.select("volume", "area", "euler", *[f"{k}_{n}" for k in "xyz" for n in ("min", "max")], *measures)
+
+
+_HULL = """spots AS MATERIALIZED (SELECT * FROM (SELECT x, y, z, x IN (min(x) OVER h, max(x) OVER h) AND y IN (min(y) OVER v, max(y) OVER v) AS e FROM vox WINDOW h AS (PARTITION BY y, z), v AS (PARTITION BY x, z)) WHERE e),
+rims AS MATERIALIZED (
+  SELECT p.z, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM spots p JOIN spots q ON q.z = p.z AND (q.x <> p.x OR q.y <> p.y) JOIN spots r ON r.z = p.z GROUP BY ALL
+  HAVING bool_and(CASE sign((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) WHEN 1 THEN true WHEN 0 THEN (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) BETWEEN 0 AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 ELSE false END)
+), cand AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, * FROM (SELECT px AS x, py AS y, z FROM rims UNION SELECT qx, qy, z FROM rims UNION SELECT min(x), min(y), z FROM spots GROUP BY z HAVING count(*) = 1)
+), triples AS MATERIALIZED (
+  SELECT a.i AS a, b.i AS b, c.i AS c, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz, nx * a.x + ny * a.y + nz * a.z AS level
+  FROM cand a JOIN cand b ON b.i > a.i JOIN cand c ON c.i > b.i
+), sides AS MATERIALIZED (
+  SELECT a, b, c, nx, ny, nz FROM triples, cand r WHERE nx <> 0 OR ny <> 0 OR nz <> 0 GROUP BY ALL
+  HAVING min(sign(nx * r.x + ny * r.y + nz * r.z - level)) >= 0 OR max(sign(nx * r.x + ny * r.y + nz * r.z - level)) <= 0
+), meet AS MATERIALIZED (
+  SELECT DISTINCT unnest([a, b, c]) AS i, nx // g * u AS nx, ny // g * u AS ny, nz // g * u AS nz
+  FROM (SELECT *, gcd(gcd(abs(nx), abs(ny)), abs(nz)) AS g, CASE WHEN nx < 0 OR (nx = 0 AND (ny < 0 OR (ny = 0 AND nz < 0))) THEN -1 ELSE 1 END AS u FROM sides)
+)"""
+
+
+@query(_sql("SELECT x, y, z FROM cand WHERE i IN (SELECT i FROM meet a JOIN meet b USING (i) JOIN meet c USING (i) WHERE a.nx * (b.ny * c.nz - b.nz * c.ny) - a.ny * (b.nx * c.nz - b.nz * c.nx) + a.nz * (b.nx * c.ny - b.ny * c.nx) <> 0)", _VOX, _HULL))
+def voxel_convex_hull(nodes: DataFrame, spec: GridSpec) -> DataFrame:
+    return hull.convex_hull(_vox(nodes, spec))

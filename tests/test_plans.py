@@ -91,7 +91,7 @@ def test_steady_flooding(nodes):
     assert flood.droplet_erosion(nodes, SPEC, 50, tile=5).count() == SPEC.size
 
 
-CHECKED = ["d8_neighbours", "drainage_area_mfd", "topological_level", "draining_fill", "depression_hierarchy", "rerouted_receivers_fill", "link_table", "steepest_receiver", "mfd_edges_seibert", "drainage_area_tilted", "min_distance_from_sources_sfd", "basin_bbox", "river_nodes", "hillshade", "aspect", "degree_entropy", "pagerank_5", "voxel_components", "inertial_flood_step", "stream_power_step", "chi_coordinate", "shortest_path_lengths", "filled_surface", "boundary_predicates", "boundary_presets", "orthogonal_cells", "rain_discharge", "height_above_drainage", "smoothed_types", "inertial_flood_with_flux", "voxel_bilateral", "voxel_closing"]
+CHECKED = ["d8_neighbours", "drainage_area_mfd", "topological_level", "draining_fill", "depression_hierarchy", "rerouted_receivers_fill", "link_table", "steepest_receiver", "mfd_edges_seibert", "drainage_area_tilted", "min_distance_from_sources_sfd", "basin_bbox", "river_nodes", "hillshade", "aspect", "degree_entropy", "pagerank_5", "voxel_components", "inertial_flood_step", "stream_power_step", "chi_coordinate", "shortest_path_lengths", "filled_surface", "boundary_predicates", "boundary_presets", "orthogonal_cells", "rain_discharge", "height_above_drainage", "smoothed_types", "inertial_flood_with_flux", "voxel_bilateral", "voxel_closing", "shortest_route_by_landmarks", "voxel_objects", "voxel_convex_hull"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
