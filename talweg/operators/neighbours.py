@@ -12,31 +12,31 @@ from ..functions.grid import D4, D8, DIRECTIONS, GridSpec
 LINKS = [(4, 0, 1), (7, 1, 1), (6, 1, 0), (5, 1, -1)]
 
 
-def offsets(nodes: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]] = D8) -> DataFrame:
-    """node, nb, dir, dr, dc, dx of every neighbour in the grid: ids are computed, nothing is joined."""
+def offsets(nodes: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]] = D8, values: list[str] | None = None) -> DataFrame:
+    """node, nb, dir, dr, dc, dx of every neighbour in the grid, with the node's ``values``: ids are computed, nothing is joined."""
+    values = values or []
     rows = F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(spec.length(dr, dc)).alias("dx")) for d, dr, dc in around])
-    out = spec.with_rowcol(nodes.select("node")).select("node", "r", "c", F.explode(rows).alias("o"))
+    out = spec.with_rowcol(nodes.select("node", *values)).select("node", "r", "c", *values, F.explode(rows).alias("o"))
     r, c = F.col("r") + F.col("o.dr"), F.col("c") + F.col("o.dc")
     if spec.periodic_ns:
         r = F.pmod(r, F.lit(spec.ny))
     if spec.periodic_ew:
         c = F.pmod(c, F.lit(spec.nx))
     inside = r.between(0, spec.ny - 1) & c.between(0, spec.nx - 1)
-    out = out.filter(inside).select("node", spec.node(r, c).alias("nb"), "o.dir", "o.dr", "o.dc", "o.dx")
+    out = out.filter(inside).select("node", spec.node(r, c).alias("nb"), "o.dir", "o.dr", "o.dc", "o.dx", *values)
     return out.filter("node <> nb")  # an axis of one cell doesn't meet itself
 
 
 def neighbours(nodes: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]] = D8, values: list[str] | None = None) -> DataFrame:
     """Edges with the values of both ends (suffix _nb for the neighbour). No-data nodes have no neighbours.
 
-    A value travels once to each neighbour: the join is on the computed id.
+    A value travels once to each neighbour: the join is on the computed id, and the node's own values go along.
     """
     values = values if values is not None else [c for c in nodes.columns if c not in ("node", "r", "c")]
     if "bc" in nodes.columns:
         nodes = nodes.filter(B.can_create_link(F.col("bc")))
-    here = nodes.select("node", *values)
     there = nodes.select(F.col("node").alias("nb"), *[F.col(v).alias(f"{v}_nb") for v in values])
-    return offsets(nodes, spec, around).join(there, "nb").join(here, "node")
+    return offsets(nodes, spec, around, values).join(there, "nb").select("node", "nb", "dir", "dr", "dc", "dx", *[f"{v}_nb" for v in values], *values)
 
 
 def d4_neighbours(nodes: DataFrame, spec: GridSpec) -> DataFrame:
