@@ -8,123 +8,13 @@ and Harrelson, 2005): nodes that cannot be on a shortest way are left out before
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
-from ..scratch import cut, discard
-from .voxels import XYZ, neighbours
-
-#: Sides of tiles and of blocks of voxels that are one task's.
-TILE, BLOCK = 128, 24
-#: Bounds are sums of rounded numbers: a way is given up only if it is longer than the bound by more than this share.
-SLACK = 1e-9
-_ARRAYS = {"nodes": np.int64, "a": np.int32, "b": np.int32, "w": np.float64, "xa": np.int32, "xd": np.int64, "xpart": np.int64, "xw": np.float64, "xlow": np.float64}
-_PACKED = "part long, " + ", ".join(f"{n} binary" for n in _ARRAYS)
-
-
-def tile_of(node: Column, spec: GridSpec, side: int = TILE) -> Column:
-    """The number of a node's tile."""
-    wide = -(-spec.nx // side)
-    return F.floor(spec.row(node) / side) * wide + F.floor(spec.col(node) / side)
-
-
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    """The edges that leave a part's nodes in one row of arrays: those within it by order of their end, and those out of it."""
-    inner = (rows["part"] == rows["part_nb"]).to_numpy()
-    node, nb, w = (rows[c].to_numpy() for c in ("node", "nb", "w"))
-    nodes = np.unique(np.concatenate([node, nb[inner]]))
-    order = np.flatnonzero(inner)[np.argsort(nb[inner], kind="stable")]
-    arrays = {
-        "nodes": nodes, "a": np.searchsorted(nodes, node[order]), "b": np.searchsorted(nodes, nb[order]), "w": w[order],
-        "xa": np.searchsorted(nodes, node[~inner]), "xd": nb[~inner], "xpart": rows["part_nb"].to_numpy()[~inner],
-        "xw": w[~inner], "xlow": rows["low_nb"].to_numpy()[~inner],
-    }
-    return pd.DataFrame([{"part": rows["part"].iat[0]} | {k: arrays[k].astype(t).tobytes() for k, t in _ARRAYS.items()}])
-
-
-def _solved(tile: pd.DataFrame, inbox: pd.DataFrame) -> tuple[dict, np.ndarray, np.ndarray]:
-    """A tile's arrays, the marks that reach it, and the least value of each node by mark."""
-    t = {k: np.frombuffer(tile[k].iat[0], d) for k, d in _ARRAYS.items()}
-    marks, col = np.unique(inbox["mark"].to_numpy(), return_inverse=True)
-    value = np.full((len(t["nodes"]), len(marks)), np.inf)
-    row = np.minimum(np.searchsorted(t["nodes"], inbox["node"].to_numpy()), len(t["nodes"]) - 1)
-    here = t["nodes"][row] == inbox["node"].to_numpy()
-    np.minimum.at(value, (row[here], col[here]), inbox["value"].to_numpy()[here])
-    if len(t["b"]):
-        at = np.flatnonzero(np.concatenate([[True], t["b"][1:] != t["b"][:-1]]))
-        ends, w = t["b"][at], t["w"][:, None]
-        while True:
-            got = np.minimum.reduceat(value[t["a"]] + w, at, axis=0)
-            if not (got < value[ends]).any():
-                break
-            value[ends] = np.minimum(value[ends], got)
-    return t, marks, value
-
-
-def _send(goal: int | None, upper: float) -> Callable:
-    """What a tile hands to others (and to itself for the goal), without what is beyond the bound."""
-
-    def run(tile: pd.DataFrame, inbox: pd.DataFrame) -> pd.DataFrame:
-        if tile.empty or inbox.empty:
-            return pd.DataFrame({"part": [], "mark": [], "node": [], "value": []})
-        t, marks, value = _solved(tile, inbox)
-        out = []
-        for k, mark in enumerate(marks):
-            v = value[t["xa"], k] + t["xw"]
-            good = np.isfinite(v) & (v + t["xlow"] <= upper * (1 + SLACK))
-            out.append(pd.DataFrame({"part": t["xpart"][good], "mark": mark, "node": t["xd"][good], "value": v[good]}))
-            if goal is not None:
-                own = (t["nodes"] == goal) & np.isfinite(value[:, k])
-                out.append(pd.DataFrame({"part": tile["part"].iat[0], "mark": mark, "node": t["nodes"][own], "value": value[own, k]}))
-        return pd.concat(out).groupby(["part", "mark", "node"], as_index=False).min()
-
-    return run
-
-
-def _own(tile: pd.DataFrame, inbox: pd.DataFrame) -> pd.DataFrame:
-    if tile.empty or inbox.empty:
-        return pd.DataFrame({"node": [], "mark": [], "value": []})
-    t, marks, value = _solved(tile, inbox)
-    row, col = np.nonzero(np.isfinite(value))
-    return pd.DataFrame({"node": t["nodes"][row], "mark": marks[col], "value": value[row, col]})
-
-
-def spread(edges: DataFrame, starts: DataFrame, goal: int | None = None, upper: float = float("inf")) -> tuple[DataFrame, int]:
-    """node, mark, value (the least that reaches a node from a mark's start) and how many rounds it took.
-
-    ``edges`` has node, nb, w, the parts of both ends (part, part_nb) and low_nb, a bound from below on what is left from
-    nb to the goal; ``starts`` has part, mark, node, value. What cannot be within ``upper`` isn't handed on; once the goal
-    is reached its value is the bound. Nodes of a part where a search ends keep the values they have, which may be
-    above the least if they are beyond the bound.
-    """
-    tiles = cut(edges.select("part", "node", "nb", "w", "part_nb", "low_nb").groupBy("part").applyInPandas(_pack, _PACKED))
-    inbox = fresh = cut(starts.select("part", "mark", "node", F.col("value").cast("double").alias("value")))
-    rounds = 0
-    while True:
-        rounds += 1
-        active = fresh.select("part").distinct()
-        mine, mail = tiles.join(active, "part", "left_semi"), inbox.join(active, "part", "left_semi")
-        sent = mine.groupBy("part").cogroup(mail.groupBy("part")).applyInPandas(_send(goal, upper), "part long, mark long, node long, value double")
-        sent = sent.groupBy("part", "mark", "node").agg(F.min("value").alias("got"))
-        both = inbox.join(sent, ["part", "mark", "node"], "full").withColumn("better", F.col("got").isNotNull() & (F.col("value").isNull() | (F.col("got") < F.col("value"))))
-        both = cut(both.select("part", "mark", "node", F.least("value", "got").alias("value"), "better"))
-        fresh, inbox = both.filter("better").drop("better"), both.drop("better")
-        if goal is not None:
-            reached = inbox.filter(F.col("node") == goal).agg(F.min("value")).first()[0]
-            upper = upper if reached is None else min(upper, reached)
-        if fresh.isEmpty():
-            break
-    found = tiles.groupBy("part").cogroup(inbox.groupBy("part")).applyInPandas(_own, "node long, mark long, value double")
-    rest = inbox.select("node", "mark", "value")  # a start without edges has no tile
-    out = cut(found.unionAll(rest).groupBy("node", "mark").agg(F.min("value").alias("value")))
-    discard(tiles)
-    return out, rounds
-
+from ..scratch import cut
+from .parts import SLACK, TILE, spread, tile_of
+from .voxels import BLOCK, XYZ, neighbours
 
 def _weighted(edges: DataFrame, spec: GridSpec, weight: str, side: int) -> DataFrame:
     return edges.select("node", "nb", F.col(weight).cast("double").alias("w"), tile_of(F.col("node"), spec, side).alias("part"), tile_of(F.col("nb"), spec, side).alias("part_nb"))
@@ -165,14 +55,14 @@ def ancestors(parent: DataFrame, node: int) -> DataFrame:
         seen = cut(seen.unionAll(more))
         if seen.filter(F.col("step") >= length).isEmpty():
             return seen
-        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"))
+        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("to2")).hint("merge")
         jump, length = cut(jump.join(ahead, "to").select("node", F.col("to2").alias("to"))), 2 * length
 
 
 def _traced(edges: DataFrame, values: DataFrame, start: int, goal: int) -> DataFrame:
     """step (from the start), node, value of the way to the goal. Of several nodes a least value may come from, the way
     takes the one of least value, then of least number."""
-    d1, d2 = values.selectExpr("node", "value as d1"), values.selectExpr("node as nb", "value as d2")
+    d1, d2 = values.selectExpr("node", "value as d1").hint("merge"), values.selectExpr("node as nb", "value as d2").hint("merge")
     near = F.abs(F.col("d1") + F.col("w") - F.col("d2")) <= SLACK * (1 + F.abs("d2"))
     tight = edges.select("node", "nb", "w").join(d1, "node").join(d2, "nb").filter(near & (F.col("d1") < F.col("d2")) & (F.col("nb") != start))
     back = tight.groupBy(F.col("nb").alias("node")).agg(F.min_by("node", F.struct("d1", "node")).alias("to"))
