@@ -9,6 +9,7 @@ from ..functions.grid import GridSpec
 from ..scratch import cut
 from .components import components
 from .iterate import reach, relax
+from .parts import least, tile_of
 
 
 def sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,9 +78,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done if done is not None else nodes.select("node", F.col("node").alias("component"))
 
 
-def shortest_paths(edges: DataFrame, start: int, weight: str = "dx") -> DataFrame:
-    """node, value: the length of the shortest way from one node along edges with weights not below 0."""
+def shortest_paths(edges: DataFrame, start: int, weight: str = "dx", spec: GridSpec | None = None) -> DataFrame:
+    """node, value: the length of the shortest way from one node along edges with weights not below 0. With a grid by tiles,
+    else a round for each step."""
     seed = edges.sparkSession.createDataFrame([(start, 0.0)], "node long, value double")
+    if spec is not None:
+        return least(edges, seed, lambda n: tile_of(n, spec), F.col(weight))
     return relax(edges.select("node", "nb", F.col(weight).cast("double").alias("w")), seed, F.col("value") + F.col("w"))
 
 
