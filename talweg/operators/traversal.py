@@ -9,6 +9,7 @@ from ..functions.grid import GridSpec
 from ..functions.vectors import noise
 from .iterate import levels, reach, to_root
 from .neighbours import neighbours
+from .parts import least, tile_of
 
 
 def spiral_key(spec: GridSpec, r: Column, c: Column) -> Column:
@@ -37,7 +38,8 @@ def random_order(nodes: DataFrame, seed: int = 0) -> DataFrame:
 def breadth_first(nodes: DataFrame, spec: GridSpec, start: int) -> DataFrame:
     """node, step over the active neighbours of a start."""
     e = neighbours(nodes, spec, values=[]) if "bc" not in nodes.columns else neighbours(nodes, spec, values=["bc"])
-    return reach(e, nodes.filter(F.col("node") == start).select("node"))
+    seed = nodes.filter(F.col("node") == start).select("node", F.lit(0.0).alias("value"))
+    return least(e, seed, lambda n: tile_of(n, spec)).select("node", F.col("value").cast("int").alias("step"))
 
 
 def random_node(nodes: DataFrame, seed: int = 0) -> DataFrame:
@@ -78,8 +80,8 @@ def label_ocean(nodes: DataFrame, spec: GridSpec, level: float) -> DataFrame:
     """node, ocean: whether a node at or below a level is connected to the grid's edge by such nodes."""
     low = nodes.filter(F.col("z") <= level).select("node", "z")
     rc = spec.with_rowcol(low)
-    seeds = rc.filter(spec.on_edge(F.col("r"), F.col("c"))).select("node")
-    wet = reach(neighbours(low, spec, values=["z"]), seeds).select("node").withColumn("_o", F.lit(True))
+    seeds = rc.filter(spec.on_edge(F.col("r"), F.col("c"))).select("node", F.lit(0.0).alias("value"))
+    wet = least(neighbours(low, spec, values=[]), seeds, lambda n: tile_of(n, spec), 0.0).select("node").withColumn("_o", F.lit(True))
     return nodes.select("node").join(wet, "node", "left").select("node", F.col("_o").isNotNull().alias("ocean"))
 
 
