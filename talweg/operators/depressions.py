@@ -12,8 +12,9 @@ from ..functions.grid import D8, GridSpec
 from ..scratch import cut
 from .components import components
 from .flow import downhill, steepest
-from .iterate import relax, to_root
+from .iterate import to_root
 from .neighbours import neighbours, offsets
+from .parts import least, tile_of
 
 #: Passes between basins that are solved on the driver; with more of them, joins do it.
 DRIVER_PASSES = 200_000
@@ -33,11 +34,11 @@ def open_roots(nodes: DataFrame, sfd: DataFrame) -> DataFrame:
     return sfd.filter("node = rec").select("node").join(nodes, "node").filter(B.can_out(F.col("bc"))).select(F.col("node").alias("root"))
 
 
-def spill_levels(passes: DataFrame, outlets: DataFrame) -> DataFrame:
+def spill_levels(passes: DataFrame, outlets: DataFrame, spec: GridSpec) -> DataFrame:
     """root, spill: for each basin the least height over which its water reaches an open basin.
 
     The basin graph is far smaller than the grid. Up to DRIVER_PASSES passes are solved on the driver by a
-    heap; beyond that, levels are relaxed by joins, in which only basins that improved send on.
+    heap; beyond that, by tiles, to which basins belong by their roots. Whole numbers beyond 2^53 are rounded there.
     """
     spark = passes.sparkSession
     passes = cut(passes)
@@ -48,8 +49,8 @@ def spill_levels(passes: DataFrame, outlets: DataFrame) -> DataFrame:
             graph.setdefault(r[0], []).append((r[2], r[1]))
             graph.setdefault(r[1], []).append((r[2], r[0]))
         level: dict[int, float] = {}
-        least = -(1 << 62)
-        heap = [(least, r[0]) for r in outlets.select("root").collect()]
+        lowest = -(1 << 62)
+        heap = [(lowest, r[0]) for r in outlets.select("root").collect()]
         heapq.heapify(heap)
         while heap:
             h, b = heapq.heappop(heap)
@@ -59,12 +60,12 @@ def spill_levels(passes: DataFrame, outlets: DataFrame) -> DataFrame:
             for p, other in graph.get(b, ()):
                 if other not in level:
                     heapq.heappush(heap, (max(h, p), other))
-        rows = [(b, None if h == least else h) for b, h in level.items()]
+        rows = [(b, None if h == lowest else h) for b, h in level.items()]
         return spark.createDataFrame(rows, f"root long, spill {kind}")
     both = passes.selectExpr("b1 as node", "b2 as nb", "pass_z").unionAll(passes.selectExpr("b2 as node", "b1 as nb", "pass_z"))
-    start = outlets.select(F.col("root").alias("node"), F.lit(-(1 << 62)).cast(kind).alias("value"))
-    out = relax(both, start, F.greatest("value", "pass_z"))
-    return out.select(F.col("node").alias("root"), F.when(F.col("value") > -(1 << 62), F.col("value")).alias("spill"))
+    start = outlets.select(F.col("root").alias("node"), F.lit(-(1 << 62)).cast("double").alias("value"))
+    out = least(both, start, lambda n: tile_of(n, spec), F.col("pass_z"), "max")
+    return out.select(F.col("node").alias("root"), F.when(F.col("value") > -(1 << 62), F.col("value").cast(kind)).alias("spill"))
 
 
 def fill(nodes: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]] = D8, sfd: DataFrame | None = None) -> DataFrame:
@@ -84,18 +85,18 @@ def fill(nodes: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]] =
     # an outlet ends every path that comes to it, even where lower neighbours go on
     flow = flow.join(leaving.withColumn("_o", F.lit(True)), "node", "left").select("node", F.when(F.col("_o").isNotNull(), F.col("node")).otherwise(F.col("rec")).alias("rec"), "dx", "slope")
     flow = cut(flow)
-    spill = spill_levels(basin_passes(plain, flow, spec, around), leaving.select(F.col("node").alias("root")))
+    spill = spill_levels(basin_passes(plain, flow, spec, around), leaving.select(F.col("node").alias("root")), spec)
     root = to_root(flow).select("node", "root")
     out = nodes.select("node", "z").join(root, "node").join(spill, "root", "left")
     return out.select("node", "z", F.greatest("z", "spill").alias("filled"))
 
 
 def fill_by_relaxation(nodes: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]] = D8) -> DataFrame:
-    """node, z, filled by the fixpoint W = max(z, least W of the neighbours), W = z at outlets: one round for
-    each step of the longest way out. For small grids and as a check of fill()."""
+    """node, z, filled by the fixpoint W = max(z, least W of the neighbours), W = z at outlets, relaxed by tiles: one
+    round for each tile that a way out crosses. A check of fill()."""
     leaving = B.can_out(F.col("bc")) if "bc" in nodes.columns else spec.on_edge(spec.row(F.col("node")), spec.col(F.col("node")))
     e = offsets(nodes, spec, around).select("node", "nb").join(nodes.select(F.col("node").alias("nb"), F.col("z").alias("z_nb")), "nb")
-    w = relax(e, nodes.filter(leaving).select("node", F.col("z").alias("value")), F.greatest("value", "z_nb"))
+    w = least(e, nodes.filter(leaving).select("node", F.col("z").alias("value")), lambda n: tile_of(n, spec), F.col("z_nb"), "max")
     return nodes.select("node", "z").join(w, "node", "left").select("node", "z", F.coalesce("value", "z").alias("filled"))
 
 
@@ -135,7 +136,7 @@ def reroute(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, carve: bool = True
     both = both.unionAll(passes.select(F.col("b2").alias("b"), F.col("b1").alias("o"), "pass_z", F.col("node_to").alias("here"), F.col("node_from").alias("there")))
     edges = cut(both)
     # orient from the open basins: a basin is entered over the pass by which a flood would reach it
-    reached = _flood_order(edges, roots)
+    reached = _flood_order(edges, roots, spec)
     exits = cut(reached.join(edges, ["b", "o"]).select("b", "here", "there", "pass_z"))
     if method == "carve":
         return _reverse(sfd, exits, spec)
@@ -156,7 +157,7 @@ def _length(spec: GridSpec, a, b):
     return F.hypot(dr * spec.dy, dc * spec.dx)
 
 
-def _flood_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def _flood_order(edges: DataFrame, roots: DataFrame, spec: GridSpec) -> DataFrame:
     """b, o: the neighbour over which each closed basin drains: minimum spanning tree by Boruvka, oriented to the open basins."""
     tree = None
     label = edges.select("b").distinct().unionAll(roots.select(F.col("root").alias("b"))).distinct()
@@ -176,14 +177,9 @@ def _flood_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     if tree is None:
         return spark.createDataFrame([], "b long, o long")
     tree = cut(tree.unionAll(tree.select(F.col("o").alias("b"), F.col("b").alias("o"))).distinct())
-    done = cut(roots.select(F.col("root").alias("b"), F.lit(None).cast("long").alias("o")))
-    front = done
-    while True:
-        nxt = tree.join(front.select(F.col("b").alias("o")), "o").select("b", "o").join(done.select("b"), "b", "left_anti")
-        front = cut(nxt.groupBy("b").agg(F.min("o").alias("o")))
-        if front.isEmpty():
-            return done.filter("o is not null")
-        done = cut(done.unionAll(front))
+    far = least(tree.select(F.col("o").alias("node"), F.col("b").alias("nb")), roots.select(F.col("root").alias("node"), F.lit(0.0).alias("value")), lambda n: tile_of(n, spec))
+    nearer = tree.join(far.select(F.col("node").alias("b"), "value"), "b").join(far.select(F.col("node").alias("o"), F.col("value").alias("v")), "o")
+    return nearer.filter("v = value - 1").groupBy("b").agg(F.min("o").alias("o"))
 
 
 def _flooded(nodes: DataFrame, sfd: DataFrame, exits: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]]) -> DataFrame:
@@ -194,7 +190,7 @@ def _flooded(nodes: DataFrame, sfd: DataFrame, exits: DataFrame, spec: GridSpec,
     wet = cut(wet.filter((F.col("z") < F.col("pass_z")) | (F.col("node") == F.col("here"))).select("node", "b", "here", "there"))
     e = offsets(wet, spec, around).select("node", "nb", "dx").join(wet.select("node", "b"), "node").join(wet.select(F.col("node").alias("nb"), F.col("b").alias("b_nb")), "nb")
     e = cut(e.filter("b = b_nb").select("node", "nb", "dx"))
-    far = relax(e, wet.filter("node = here").select("node", F.lit(0).cast("long").alias("value")), F.col("value") + 1)
+    far = least(e, wet.filter("node = here").select("node", F.lit(0.0).alias("value")), lambda n: tile_of(n, spec))
     nearer = e.join(far, "node").join(far.select(F.col("node").alias("nb"), F.col("value").alias("v")), "nb").filter("v = value - 1")
     nearer = nearer.groupBy("node").agg(F.min(F.struct("dx", "nb")).alias("m")).select("node", F.col("m.nb").alias("rec2"))
     moved = nearer.unionAll(wet.filter("node = here").select("node", F.col("there").alias("rec2")))
@@ -205,14 +201,16 @@ def _flooded(nodes: DataFrame, sfd: DataFrame, exits: DataFrame, spec: GridSpec,
 
 def _reverse(sfd: DataFrame, exits: DataFrame, spec: GridSpec) -> DataFrame:
     """Reverse the receivers on the way from each exit node down to its root, and send the exit node over the pass."""
-    on_way = None
-    front = cut(exits.select(F.col("here").alias("node"), F.col("there").alias("rec2")))
-    flow = cut(sfd.select("node", "rec"))
-    while True:
-        on_way = front if on_way is None else on_way.unionAll(front)
-        front = cut(front.join(flow, "node").filter("node <> rec").select(F.col("rec").alias("node"), F.col("node").alias("rec2")))
-        if front.isEmpty():
+    flow = cut(sfd.filter("node <> rec").select("node", F.col("rec").alias("to")))
+    ways, jump = cut(exits.select(F.col("here").alias("node"))), flow
+    while True:  # after k rounds all nodes less than 2^k steps down from the exits
+        more = cut(ways.join(jump, "node").select(F.col("to").alias("node")))
+        if more.isEmpty():
             break
+        ways = cut(ways.unionAll(more))
+        jump = cut(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("to2")), "to").select("node", F.col("to2").alias("to")))
+    on_way = ways.join(flow, "node").select(F.col("to").alias("node"), F.col("node").alias("rec2"))
+    on_way = exits.select(F.col("here").alias("node"), F.col("there").alias("rec2")).unionAll(on_way)
     out = sfd.join(cut(on_way), "node", "left")
     dx = F.when(F.col("rec2").isNotNull(), _length(spec, F.col("node"), F.col("rec2"))).otherwise(F.col("dx"))
     return out.select("node", F.coalesce("rec2", "rec").alias("rec"), dx.alias("dx"), F.when(F.col("rec2").isNotNull(), 0.0).otherwise(F.col("slope")).alias("slope"))

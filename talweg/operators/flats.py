@@ -10,8 +10,8 @@ from ..functions.grid import D8, GridSpec
 from ..scratch import cut
 from .components import components
 from .depressions import fill
-from .iterate import relax
 from .neighbours import neighbours
+from .parts import least, tile_of
 
 
 def _leaving(nodes: DataFrame, spec: GridSpec) -> DataFrame:
@@ -38,9 +38,14 @@ def flat_steps(surface: DataFrame, leaving: DataFrame, spec: GridSpec, around: l
     level = e.filter("z = z_nb").select("node", "nb").join(kind.filter("still").select("node"), "node")
     level = cut(level.join(kind.select(F.col("node").alias("nb"), F.col("still").alias("still_nb")), "nb"))
     inside = cut(level.filter("still_nb").select("node", "nb"))
-    one = F.lit(1).cast("long").alias("value")
-    toward = relax(inside, level.filter("not still_nb").select("node").distinct().select("node", one), F.col("value") + 1, rounds)
-    away = relax(inside, kind.filter("still and under").select("node", one), F.col("value") + 1, rounds)
+    one = F.lit(1.0).alias("value")
+
+    def steps_from(starts: DataFrame) -> DataFrame:
+        found = least(inside, starts.select("node", one), lambda n: tile_of(n, spec)).select("node", F.col("value").cast("long").alias("value"))
+        return found if rounds is None else found.filter(F.col("value") <= rounds + 1)
+
+    toward = steps_from(level.filter("not still_nb").select("node").distinct())
+    away = steps_from(kind.filter("still and under"))
     flat = components(inside.selectExpr("node as u", "nb as v"))
     out = kind.filter("still").select("node").join(toward.withColumnRenamed("value", "toward"), "node", "left").join(away.withColumnRenamed("value", "away"), "node", "left")
     out = cut(out.join(flat, "node", "left").withColumn("flat", F.coalesce("component", "node")).drop("component"))

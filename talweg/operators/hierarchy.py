@@ -71,7 +71,7 @@ def hierarchy(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, around: list[tup
     """
     root = cut(to_root(sfd).select("node", "root"))
     passes = cut(basin_passes(nodes, sfd, spec, around).select("b1", "b2", F.col("pass_z").cast("double").alias("pass_z")))
-    spill = spill_levels(passes, open_roots(nodes, sfd)).filter("spill is not null")
+    spill = spill_levels(passes, open_roots(nodes, sfd), spec).filter("spill is not null")
     spill = cut(spill.select(F.col("root").alias("b"), F.col("spill").cast("double").alias("spill")))
     inner = passes.join(spill.select(F.col("b").alias("b1"), F.col("spill").alias("s1")), "b1").join(spill.select(F.col("b").alias("b2"), F.col("spill").alias("s2")), "b2")
     inner = cut(inner.filter("pass_z < least(s1, s2)").select("b1", "b2", "pass_z"))
