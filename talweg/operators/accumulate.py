@@ -55,14 +55,19 @@ def accumulate_with(edges: DataFrame, start: DataFrame, level: DataFrame, send:
     return out.join(start.withColumnRenamed("value", "own"), "node").select("node", (F.col("value") - F.col("own")).alias("value"))
 
 
-def with_loss(edges: DataFrame, start: DataFrame, level: DataFrame, loss: float) -> DataFrame:
-    """A share ``loss`` is lost on each edge."""
+def with_loss(edges: DataFrame, start: DataFrame, level: DataFrame | None, loss: float, spec: GridSpec | None = None) -> DataFrame:
+    """A share ``loss`` is lost on each edge. With the grid it goes by tiles and needs no levels."""
+    if spec is not None:
+        return propagate(edges, start, spec, "sum", F.col("weight") * (1 - loss))
     return accumulate_with(edges, start, level, F.col("value") * F.col("weight") * (1 - loss))
 
 
-def discharge(edges: DataFrame, rain: DataFrame, level: DataFrame, spec: GridSpec) -> DataFrame:
-    """node, value: rain (rate by node) on each cell and everything that flows in."""
-    return accumulate_with(edges, rain.select("node", (F.col("value") * spec.cell_area).alias("value")), level, F.col("value") * F.col("weight"))
+def discharge(edges: DataFrame, rain: DataFrame, level: DataFrame | None, spec: GridSpec) -> DataFrame:
+    """node, value: rain (rate by node) on each cell and everything that flows in; by level if levels are given, else by tiles."""
+    start = rain.select("node", (F.col("value") * spec.cell_area).alias("value"))
+    if level is None:
+        return propagate(edges, start, spec, "sum", F.col("weight"))
+    return accumulate_with(edges, start, level, F.col("value") * F.col("weight"))
 
 
 def extreme_upstream(sfd: DataFrame, values: DataFrame, highest: bool = True) -> DataFrame:

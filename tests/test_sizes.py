@@ -2,7 +2,10 @@
 
 import duckdb
 import pandas as pd
+import pytest
 
+from talweg import scratch
+from talweg.operators import depressions, parts, voxels
 from talweg.plans import forms  # noqa: F401  registers its queries
 from talweg.plans.queries import QUERIES, SQL
 
@@ -22,3 +25,17 @@ def agrees(spark, tmp_path, name, copies):
 
 def test_smoothed_types_where_the_last_row_is_not_full(spark, tmp_path):
     agrees(spark, tmp_path, "smoothed_types", 3)
+
+
+BY_TILES = ["filled_surface", "reconstructed_surface", "draining_fill", "rerouted_receivers", "rerouted_receivers_fill", "breadth_first_steps", "ocean_labels", "shortest_path_lengths", "rain_discharge", "mfd_with_loss", "voxel_distance_steps"]
+
+
+@pytest.mark.parametrize("name", BY_TILES)
+def test_by_tiles(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(parts.tile_of, "__defaults__", (16,))
+    monkeypatch.setattr(depressions, "DRIVER_PASSES", 0)
+    monkeypatch.setattr(voxels, "BLOCK", 16)
+    tables = []
+    monkeypatch.setattr(scratch, "scratch_path", lambda s, path=scratch.scratch_path: tables.append(path(s)) or tables[-1])
+    agrees(spark, tmp_path, name, 1)
+    assert len(tables) < 90  # a few rounds each: steps along a way are no rounds of their own
