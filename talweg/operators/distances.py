@@ -7,12 +7,15 @@ from math import inf
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .voxels import XYZ
 
 CELLS = 1 << 18
+#: Side of a block of places that is one task's.
+SIDE = 64
 
 
 def _lowest(at: list[int], base: list[int], wanted: np.ndarray) -> np.ndarray:
@@ -111,28 +114,76 @@ def lattice(vox: DataFrame, seeds: DataFrame, face: float, edge: float = inf, co
 
     Lengths shall not fall from face to edge to corner. Then a shortest way never goes to and fro along an axis, so its
     places lie between its ends, and since nothing is in its way its steps can be put in any order: along each of the 13
-    directions in turn. That is a pass for each, by two running minima on its lines, of what is before a place and after
-    it. Every place of the box of voxels and seeds is a row. No seeds: null. Repeated seeds count once, repeated voxels each.
+    directions in turn. A task does so for a block, whose places are an array; a block hands the values of its rim on to
+    those beside it, and only blocks that got something better go another round. Values get into a block from places
+    outside it, so a block and the rim around it are solved together. No seeds: null. Repeated seeds count once, repeated
+    voxels each.
     """
     if not 0 < face <= edge <= corner:
         raise ValueError("lengths of steps must not fall from face to edge to corner")
-    spark = vox.sparkSession
     places = vox.select(*[F.col(k).cast("long").alias(k) for k in XYZ])
-    seeded = seeds.select(*[F.col(k).cast("long").alias(k) for k in XYZ]).distinct().withColumn("f", F.lit(0.0))
-    box = places.unionAll(seeded.select(*XYZ)).agg(*[F.struct(F.min(k), F.max(k)).alias(k) for k in XYZ]).first()
+    seeded = seeds.select(*[F.col(k).cast("long").alias(k) for k in XYZ]).distinct()
+    box = places.unionAll(seeded).agg(*[F.struct(F.min(k), F.max(k)).alias(k) for k in XYZ]).first()
     if box["x"][0] is None:
         return places.withColumn("distance", F.lit(None).cast("double"))
-    (x0, x1), (y0, y1), (z0, z1) = (box[k] for k in XYZ)
-    ny, nz = y1 - y0 + 1, z1 - z0 + 1
-    i = F.col("id")
-    space = spark.range((x1 - x0 + 1) * ny * nz).select((F.floor(i / (ny * nz)) + x0).alias("x"), (F.floor(i / nz) % ny + y0).alias("y"), (i % nz + z0).alias("z"))
-    cells = space.join(seeded, XYZ, "left")
-    for step, length in _ways(face, edge, corner):
-        axis = next(k for k, s in zip(XYZ, step) if s)
-        others = [(F.col(k) - s * F.col(axis)).alias(f"_{k}") for k, s in zip(XYZ, step) if k != axis]
-        line = Window.partitionBy(*others).orderBy(axis)
-        way = F.lit(float(length)) * F.col(axis)
-        ahead = F.min(F.col("f") - way).over(line.rowsBetween(Window.unboundedPreceding, 0)) + way
-        back = F.min(F.col("f") + way).over(line.rowsBetween(0, Window.unboundedFollowing)) - way
-        cells = cells.select(*XYZ, F.least(ahead, back).alias("f"))
-    return places.join(cells.withColumnRenamed("f", "distance"), XYZ, "left")
+    low, size = [box[k][0] for k in XYZ], [box[k][1] - box[k][0] + 1 for k in XYZ]
+    ways, by = list(_ways(face, edge, corner)), ["bx", "by", "bz"]
+    block = [F.floor((F.col(k) - lo) / SIDE).alias(b) for k, lo, b in zip(XYZ, low, by)]
+
+    def solved(of: list[int], rows: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
+        """The values of a block and the rim around it, as far as the box goes, and its first place."""
+        first = [lo + b * SIDE - 1 for lo, b in zip(low, of)]
+        f = np.full([min(SIDE, lo + s - at - 1) + 2 for lo, s, at in zip(low, size, first)], np.inf)
+        np.minimum.at(f, tuple(rows[k].to_numpy(np.int64) - at for k, at in zip(XYZ, first)), rows["f"].to_numpy())
+        for step, length in ways:
+            axis = next(i for i, d in enumerate(step) if d)
+            g = np.moveaxis(f, axis, 0)  # a view: its slices along the axis are passed one after the other
+            rest = [d for i, d in enumerate(step) if i != axis]
+            to = tuple(slice(max(d, 0), n + min(d, 0)) for d, n in zip(rest, g.shape[1:]))
+            back = tuple(slice(max(-d, 0), n + min(-d, 0)) for d, n in zip(rest, g.shape[1:]))
+            for i in range(1, len(g)):
+                np.minimum(g[i][to], g[i - 1][back] + length, out=g[i][to])
+            for i in range(len(g) - 2, -1, -1):
+                np.minimum(g[i][back], g[i + 1][to] + length, out=g[i][back])
+        return f, first
+
+    def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        f, first = solved(list(key), rows)
+        inner = np.zeros(f.shape, bool)
+        inner[1:-1, 1:-1, 1:-1] = True
+        edge_of = inner.copy()
+        edge_of[2:-2, 2:-2, 2:-2] = False
+        at = np.argwhere(edge_of & np.isfinite(f))  # the block's own outermost places: rim of those beside it
+        value, at = f[tuple(at.T)], at + np.array(first)
+        own, out = np.array(key), []
+        for d in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]:
+            to = own + np.array(d)
+            start = np.array(low) + to * SIDE
+            near = ((at >= start - 1) & (at <= start + SIDE)).all(axis=1)
+            if (to < 0).any() or (to * SIDE >= np.array(size)).any() or not near.any():
+                continue
+            out.append(pd.DataFrame(dict(zip(by, to.tolist())) | dict(zip(XYZ, at[near].T)) | {"f": value[near]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*by, *XYZ, "f"]})
+
+    def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return left[XYZ].assign(distance=None)
+        f, first = solved(list(key), right)
+        value = f[tuple(left[k].to_numpy(np.int64) - at for k, at in zip(XYZ, first))]
+        return left[XYZ].assign(distance=value)
+
+    whole = [*by, *XYZ]
+    inbox = fresh = cut(seeded.select(*block, *XYZ, F.lit(0.0).alias("f")))
+    while True:
+        mail = inbox.join(fresh.select(*by).distinct(), by, "left_semi")
+        sent = mail.groupBy(*by).applyInPandas(send, "bx long, by long, bz long, x long, y long, z long, f double")
+        sent = sent.groupBy(*whole).agg(F.min("f").alias("got"))
+        both = inbox.join(sent.hint("merge"), whole, "full")
+        # sums of rounded lengths differ by the order of their steps
+        better = F.col("got").isNotNull() & (F.col("f").isNull() | (F.col("got") < F.col("f") * (1 - 1e-12)))
+        both = cut(both.select(*whole, F.when(better, F.col("got")).otherwise(F.col("f")).alias("f"), better.alias("better")))
+        fresh, inbox = both.filter("better").drop("better"), both.drop("better")
+        if fresh.isEmpty():
+            break
+    split = places.select(*block, *XYZ)
+    return split.groupBy(*by).cogroup(inbox.groupBy(*by)).applyInPandas(finish, "x long, y long, z long, distance double")

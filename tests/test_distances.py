@@ -65,3 +65,13 @@ def test_empty_and_refused(spark):
     assert distances.lattice(none, none, 3, 4, 5).count() == 0
     with pytest.raises(ValueError):
         distances.lattice(some, some, 3, 2, 5)
+
+
+def test_lattice_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(distances, "SIDE", 5)
+    rng = random.Random(3)
+    places = [(rng.randint(-9, 9), rng.randint(-9, 9), rng.randint(0, 6)) for _ in range(150)]
+    for seeds in ([(-9, 9, 0)], [(rng.randint(-9, 9), rng.randint(-9, 9), rng.randint(0, 6)) for _ in range(4)]):
+        got = sorted(((r.x, r.y, r.z), r.distance) for r in distances.lattice(table(spark, places), table(spark, seeds), 3, 4, 5).collect())
+        law = lambda p, s: (lambda g: 3 * g[0] + g[1] + g[2])(sorted((abs(a - b) for a, b in zip(p, s)), reverse=True))
+        assert got == sorted((p, min(law(p, s) for s in seeds)) for p in places)
