@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import boundary as B
 from ..functions.grid import D8, GridSpec
 from ..scratch import cut
-from .components import components
+from . import spanning
 from .flow import downhill, steepest
 from .iterate import to_root
 from .neighbours import neighbours, offsets
 from .parts import least, tile_of
 
-#: Passes between basins that are solved on the driver; with more of them, joins do it.
+#: Passes between basins that are solved on the driver; with more of them, tiles do it.
 DRIVER_PASSES = 200_000
 
 
@@ -24,7 +24,12 @@ def basin_passes(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, around: list[
     """b1, b2, pass_z, node_from, node_to: for each pair of neighbouring basins (b1 < b2, by root) the lowest
     pass, which is the higher of two neighbouring nodes; ties go to the smallest nodes."""
     root = to_root(sfd).select("node", F.col("root").alias("b"))
-    e = neighbours(nodes.select("node", "z").join(root, "node"), spec, around, ["z", "b"]).filter("b < b_nb")
+    half = [o for o in around if o[1:] > (0, 0)] if {o[1:] for o in around} == {(-o[1], -o[2]) for o in around} else around
+    e = neighbours(nodes.select("node", "z").join(root, "node"), spec, half, ["z", "b"]).filter("b <> b_nb")
+    if half is not around:  # each pair of neighbours came once, from either side
+        first = F.col("b") < F.col("b_nb")
+        e = e.select(F.least("b", "b_nb").alias("b"), F.greatest("b", "b_nb").alias("b_nb"), "z", "z_nb", F.when(first, F.col("node")).otherwise(F.col("nb")).alias("node"), F.when(first, F.col("nb")).otherwise(F.col("node")).alias("nb"))
+    e = e.filter("b < b_nb")
     best = e.groupBy(F.col("b").alias("b1"), F.col("b_nb").alias("b2")).agg(F.min(F.struct(F.greatest("z", "z_nb").alias("pass_z"), F.col("node").alias("node_from"), F.col("nb").alias("node_to"))).alias("p"))
     return best.select("b1", "b2", "p.pass_z", "p.node_from", "p.node_to")
 
@@ -34,11 +39,20 @@ def open_roots(nodes: DataFrame, sfd: DataFrame) -> DataFrame:
     return sfd.filter("node = rec").select("node").join(nodes, "node").filter(B.can_out(F.col("bc"))).select(F.col("node").alias("root"))
 
 
+def _to_out(passes: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Passes as edges whose ends at open basins are OUT; an open basin gains nothing by another."""
+    open_ = outlets.select("root").distinct()
+    out = passes.join(open_.select(F.col("root").alias("b1"), F.lit(True).alias("_1")), "b1", "left").join(open_.select(F.col("root").alias("b2"), F.lit(True).alias("_2")), "b2", "left")
+    u, v = (F.when(F.col(o).isNotNull(), F.lit(spanning.OUT)).otherwise(F.col(b)) for b, o in (("b1", "_1"), ("b2", "_2")))
+    return out.select(u.alias("u"), v.alias("v"), F.col("pass_z").alias("w"), F.least("node_from", "node_to").alias("k1"), F.greatest("node_from", "node_to").alias("k2"))
+
+
 def spill_levels(passes: DataFrame, outlets: DataFrame, spec: GridSpec) -> DataFrame:
-    """root, spill: for each basin the least height over which its water reaches an open basin.
+    """root, spill: for each basin the least height over which its water reaches an open basin, null for an open one.
 
-    The basin graph is far smaller than the grid. Up to DRIVER_PASSES passes are solved on the driver by a
-    heap; beyond that, by tiles, to which basins belong by their roots. Whole numbers beyond 2^53 are rounded there.
+    Up to DRIVER_PASSES passes are solved on the driver by a heap. Beyond that it is the greatest height on the way along
+    the minimum spanning tree of basins and passes, which is found by tiles, to which basins belong by their roots
+    (``spanning``): a few rounds, whatever the ways' lengths.
     """
     spark = passes.sparkSession
     passes = cut(passes)
@@ -62,10 +76,8 @@ def spill_levels(passes: DataFrame, outlets: DataFrame, spec: GridSpec) -> DataF
                     heapq.heappush(heap, (max(h, p), other))
         rows = [(b, None if h == lowest else h) for b, h in level.items()]
         return spark.createDataFrame(rows, f"root long, spill {kind}")
-    both = passes.selectExpr("b1 as node", "b2 as nb", "pass_z").unionAll(passes.selectExpr("b2 as node", "b1 as nb", "pass_z"))
-    start = outlets.select(F.col("root").alias("node"), F.lit(-(1 << 62)).cast("double").alias("value"))
-    out = least(both, start, lambda n: tile_of(n, spec), F.col("pass_z"), "max")
-    return out.select(F.col("node").alias("root"), F.when(F.col("value") > -(1 << 62), F.col("value").cast(kind)).alias("spill"))
+    found = spanning.ways_out(spanning.forest(_to_out(passes, outlets), spec), spec)
+    return found.select(F.col("node").alias("root"), F.col("value").cast(kind).alias("spill")).unionAll(outlets.select("root", F.lit(None).cast(kind).alias("spill")))
 
 
 def fill(nodes: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]] = D8, sfd: DataFrame | None = None) -> DataFrame:
@@ -122,8 +134,7 @@ def reroute(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, carve: bool = True
 
     ``method``: "carve", "simple" (as ``carve`` tells where it isn't given) or "fill".
 
-    Boruvka rounds: each closed basin takes its lowest pass, basins that take each other's become one, until
-    all reach an open basin. Then the way from each pit to its pass is reversed (carve), or the pit drains
+    Each closed basin drains along the minimum spanning tree of basins and passes to an open basin. Then the way from each pit to its pass is reversed (carve), or the pit drains
     straight to the far side of the pass (simple), or all nodes below the pass flow to it as over a lake (fill).
     Basins without a way out stay as they are.
     """
@@ -136,8 +147,7 @@ def reroute(nodes: DataFrame, sfd: DataFrame, spec: GridSpec, carve: bool = True
     both = both.unionAll(passes.select(F.col("b2").alias("b"), F.col("b1").alias("o"), "pass_z", F.col("node_to").alias("here"), F.col("node_from").alias("there")))
     edges = cut(both)
     # orient from the open basins: a basin is entered over the pass by which a flood would reach it
-    reached = _flood_order(edges, roots, spec)
-    exits = cut(reached.join(edges, ["b", "o"]).select("b", "here", "there", "pass_z"))
+    exits = _flood_order(passes, edges, roots, spec)
     if method == "carve":
         return _reverse(sfd, exits, spec)
     if method == "fill":
@@ -157,29 +167,11 @@ def _length(spec: GridSpec, a, b):
     return F.hypot(dr * spec.dy, dc * spec.dx)
 
 
-def _flood_order(edges: DataFrame, roots: DataFrame, spec: GridSpec) -> DataFrame:
-    """b, o: the neighbour over which each closed basin drains: minimum spanning tree by Boruvka, oriented to the open basins."""
-    tree = None
-    label = edges.select("b").distinct().unionAll(roots.select(F.col("root").alias("b"))).distinct()
-    label = label.join(roots.withColumn("_r", F.lit(True)), label.b == roots.root, "left").select("b", F.when(F.col("_r").isNotNull(), F.lit(-1)).otherwise(F.col("b")).cast("long").alias("l"))
-    label = cut(label)
-    while True:
-        e = edges.join(label, "b").join(label.select(F.col("b").alias("o"), F.col("l").alias("lo")), "o").filter("l <> lo")
-        best = e.filter("l >= 0").groupBy("l").agg(F.min(F.struct("pass_z", F.least("here", "there").alias("k1"), F.greatest("here", "there").alias("k2"), "b", "o", "lo")).alias("m"))
-        best = cut(best.select("l", "m.b", "m.o", "m.lo"))
-        if best.isEmpty():
-            break
-        chosen = best.select("b", "o")
-        tree = chosen if tree is None else tree.unionAll(chosen)
-        comp = components(best.select(F.col("l").alias("u"), F.col("lo").alias("v")))
-        label = cut(label.join(comp, label.l == comp.node, "left").select("b", F.coalesce("component", "l").alias("l")))
-    spark = edges.sparkSession
-    if tree is None:
-        return spark.createDataFrame([], "b long, o long")
-    tree = cut(tree.unionAll(tree.select(F.col("o").alias("b"), F.col("b").alias("o"))).distinct())
-    far = least(tree.select(F.col("o").alias("node"), F.col("b").alias("nb")), roots.select(F.col("root").alias("node"), F.lit(0.0).alias("value")), lambda n: tile_of(n, spec))
-    nearer = tree.join(far.select(F.col("node").alias("b"), "value"), "b").join(far.select(F.col("node").alias("o"), F.col("value").alias("v")), "o")
-    return nearer.filter("v = value - 1").groupBy("b").agg(F.min("o").alias("o"))
+def _flood_order(passes: DataFrame, edges: DataFrame, roots: DataFrame, spec: GridSpec) -> DataFrame:
+    """b, here, there, pass_z: the pass over which each closed basin drains: minimum spanning tree, oriented to the open basins."""
+    found = spanning.ways_out(spanning.forest(_to_out(passes, roots), spec), spec).select(F.col("node").alias("b"), "k1", "k2")
+    sides = edges.select("b", "here", "there", "pass_z", F.least("here", "there").alias("k1"), F.greatest("here", "there").alias("k2"))
+    return cut(found.join(sides, ["b", "k1", "k2"]).select("b", "here", "there", "pass_z"))
 
 
 def _flooded(nodes: DataFrame, sfd: DataFrame, exits: DataFrame, spec: GridSpec, around: list[tuple[int, int, int]]) -> DataFrame:
