@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
 from ..scratch import cut
+from . import spanning
 from .components import components
 from .iterate import reach, relax
 from .parts import least, tile_of
@@ -99,10 +100,15 @@ def shortest_path(edges: DataFrame, start: int, goal: int, weight: str = "dx") -
     return reach(parent, seed).select(F.col("step").cast("long").alias("step"), "node")
 
 
-def spanning_tree(edges: DataFrame, weight: str = "w") -> DataFrame:
-    """a, b, weight of a minimum spanning forest by Boruvka: each component takes its lightest link in a round.
+def spanning_tree(edges: DataFrame, weight: str = "w", spec: GridSpec | None = None) -> DataFrame:
+    """a, b, weight of a minimum spanning forest. With a grid by nested tiles, else by Boruvka: each component takes its
+    lightest link in a round.
 
     Ties go to the smallest pair, so the links have one order and no round makes a cycle."""
+    if spec is not None:
+        a, b = F.least("node", "nb"), F.greatest("node", "nb")
+        found = spanning.certain(spanning.forest(edges.select(a.alias("u"), b.alias("v"), F.col(weight).alias("w"), a.alias("k1"), b.alias("k2")), spec))
+        return found.select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.col("w").alias(weight))
     e = cut(edges.select(F.least("node", "nb").alias("a"), F.greatest("node", "nb").alias("b"), F.col(weight).alias("w")).filter("a < b").groupBy("a", "b").agg(F.min("w").alias("w")))
     label = cut(e.select(F.col("a").alias("node")).unionAll(e.select("b")).distinct().withColumn("l", F.col("node")))
     tree = None
