@@ -12,16 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut, exists, scratch_path
+from . import blocks
 
 
 def upstream_fold(sfd: DataFrame, values: DataFrame, combine: Callable[[Column], Column], merge: Callable[[Column, Column], Column], step: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """node, value: each node's own value combined with those of all nodes upstream of it.
 
     ``combine`` aggregates the values that meet at a node, ``merge`` joins the aggregate with the node's value,
-    and ``step(value, length)`` carries a value along a path. After round k a node has met everything less than
-    2^k steps upstream; pointers past a root are dropped, so the active rows shrink.
+    and ``step(value, length)`` carries a value along a path. Sums and extremes of numbers go by blocks of nodes
+    (``blocks``), where only ways between blocks go round by round; for these ``step`` must do for arrays as well.
     """
     step = step or (lambda v, d: v)
+    how = {F.sum: "sum", F.max: "max", F.min: "min"}.get(combine)
+    if how and (blocks.whole(values) or values.schema["value"].dataType.simpleString() in ("double", "float")):
+        return blocks.fold(sfd, values, how, step, lambda s, v: _fold_rounds(s, v, combine, merge, step))
+    return _fold_rounds(sfd, values, combine, merge, step)
+
+
+def _fold_rounds(sfd: DataFrame, values: DataFrame, combine: Callable, merge: Callable, step: Callable) -> DataFrame:
+    """After round k a node has met everything less than 2^k steps upstream; pointers past a root are dropped, so the active
+    rows shrink."""
     value = cut(values.select("node", "value"))
     jump = cut(sfd.filter("node <> rec").select("node", F.col("rec").alias("to"), F.col("dx").alias("d")))
     while not jump.isEmpty():
@@ -33,9 +43,12 @@ def upstream_fold(sfd: DataFrame, values: DataFrame, combine: Callable[[Column],
 
 
 def to_root(sfd: DataFrame, weight: Column | None = None) -> DataFrame:
-    """node, root, hops, length: the end of each node's path and how far it is (lengths of ``weight``, dx by default)."""
-    weight = F.col("dx") if weight is None else weight
-    at = sfd.select("node", F.col("rec").alias("root"), (F.col("node") != F.col("rec")).cast("long").alias("hops"), F.when(F.col("node") != F.col("rec"), weight).otherwise(F.lit(0.0)).alias("length"))
+    """node, root, hops, length: the end of each node's path and how far it is (lengths of ``weight``, dx by default). Within
+    blocks of nodes ways are followed in a task, and only what enters a block goes round by round (``blocks``)."""
+    return blocks.ends(sfd, F.col("dx") if weight is None else weight, _root_rounds)
+
+
+def _root_rounds(at: DataFrame) -> DataFrame:
     at = cut(at)
     while True:
         ahead = at.filter("hops > 0").select(F.col("node").alias("root"), F.col("root").alias("root2"), F.col("hops").alias("hops2"), F.col("length").alias("length2"))
