@@ -101,3 +101,33 @@ def test_no_links(spark):
     got, history = communities(none, nodes)
     assert sorted((r.node, r.community) for r in got.collect()) == [(1, 1), (2, 2)] and history == []
     assert modularity(undirected(none), got).first()[0] is None
+
+
+@pytest.mark.parametrize(("side", "around", "few"), [(16, 12, 1 << 18), (16, 14, 200), (24, 1, 1000)])
+def test_tiles_and_the_last_task_change_nothing(spark, monkeypatch, side, around, few):
+    from talweg.functions.grid import GridSpec
+    from talweg.operators import modularity as m
+
+    spec, rng = GridSpec(45, 33), random.Random(7)
+    here = [n for n in range(spec.size - 20) if rng.random() < 0.95]
+    inside, edges = set(here), []
+    for n in here:
+        for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            r, c = n // 45 + dr, n % 45 + dc
+            if 0 <= c < 45 and r * 45 + c in inside:
+                edges += [(n, r * 45 + c), (r * 45 + c, n)]
+    links = {(a, b): 2.0 for a, b in edges if a < b}
+    want, levels = plain(links, here)
+    tables, told = [], []
+    cut, by_tiles = m.cut, m._by_tiles
+    monkeypatch.setattr(m, "TILE", side)
+    monkeypatch.setattr(m, "AROUND", around)
+    monkeypatch.setattr(m, "FEW_LINKS", few)
+    monkeypatch.setattr(m, "cut", lambda df: tables.append(1) or cut(df))
+    monkeypatch.setattr(m, "_by_tiles", lambda *a: told.append(by_tiles(*a)) or told[-1])
+    got, history = communities(spark.createDataFrame(edges, "node long, nb long"), spark.createDataFrame([(n,) for n in here], "node long"), spec=spec)
+    assert {r.node: r.community for r in got.collect()} == want
+    assert history == [(n, pytest.approx(q)) for n, q in levels]
+    done = [d for _, d in told]
+    assert bool(done) == (few <= len(links)) and (not done or (done[0] > 0) == (around > 1))
+    assert len(tables) <= 8 or few < 1 << 18
