@@ -23,7 +23,7 @@ from .iterate import to_root
 FEW_LINKS = 1 << 18
 #: Side of the first tiles, how many nodes around one are looked at as well, and the levels that are done by them at most.
 #: The next tiles are GROWTH times as wide, as long as they have no more than TILE_LINKS on average.
-TILE, AROUND, LEVELS, GROWTH, TILE_LINKS = 512, 128, 16, 4, 1 << 21
+TILE, AROUND, LEVELS, GROWTH, TILE_LINKS = 512, 96, 6, 4, 1 << 21
 #: What rows of a task tell: the community of a node, a link, the ends' weight of a community, figures of a level.
 LABEL, LINK, SIZE, COUNTED, WITHIN, DONE = range(6)
 
@@ -260,7 +260,8 @@ def communities(edges: DataFrame, nodes: DataFrame, weight: str | None = None, m
     score = lambda between, squares: 1 - 2 * between / total - squares / total / total
     size, side, around = None, TILE, AROUND
     while spec is not None and count >= FEW_LINKS and level < most and count <= TILE_LINKS * -(-spec.ny // side) * -(-spec.nx // side):
-        levels = min(LEVELS, most - level)
+        alone = side >= max(spec.nx, spec.ny)  # a single tile has all around it, and needs one pass for many levels
+        levels = min(8 * LEVELS if alone else LEVELS, most - level)
         told, done = _by_tiles(e, size, spec, total, level, levels, side, around)
         if done:
             figures = _figures(told)
@@ -277,7 +278,7 @@ def communities(edges: DataFrame, nodes: DataFrame, weight: str | None = None, m
             if len(going) < len(figures):
                 break
         if done < levels:
-            if side >= max(spec.nx, spec.ny):
+            if alone:
                 break
             side, around = side * GROWTH, around * GROWTH
     if size is None:
