@@ -34,8 +34,12 @@ HELD_ROWS = 1 << 18
 GROUP_BYTES = 1 << 18
 #: Lines of more tokens share single tokens only; lines from this down to a fifth less do both.
 LONG_LINE = 512
+#: Lines of more tokens pair neighbours among their frequent tokens; lines up to this pair each with each.
+PAIRED = 15
 #: Bits of the parity bitmap of a line's tokens.
 _BITS = 128
+#: Lines of no more tokens than this have a bitmap of half the bits: both halves in one.
+FOLDED = 64
 #: The bits of its hash that a signature has. Where two agree in these, lines are compared for nothing.
 _SIG = U64(0xFFFFFFFFFFFF0000)
 #: One signature of a line: the line is known by its place and a part of its key.
@@ -118,6 +122,13 @@ def line_signatures(h: np.ndarray, cell: np.ndarray, starts: np.ndarray, n: np.n
     signature by itself; one of a class above ``hot`` (and, without ``rare``, one of the shared class) is a signature
     with each token behind it in the lengthened prefix. A token of a single line is none. Sets of fewer tokens than
     can differ and be similar have no signature: only equal sets are similar to them.
+
+    In lines of more than PAIRED tokens these pairs would grow with the square of the prefix once most tokens are
+    frequent. There such a token is a signature with the next token only, in a longer prefix. Where two lines share
+    none of the rarer tokens, their shared tokens are among the frequent ones at their ends. Of a line's neighbours
+    there, one of its own tokens that the other lacks parts two pairs, and one of the other's tokens parts one. With
+    a and b such tokens, n - a >= percent * (n + b) / 100 leaves 2a + b at most, which is greatest for the most a; and
+    the rarer tokens are among the a. So the first pair that isn't parted is within so many in both lines.
     """
     row = np.repeat(np.arange(len(starts)), n)
     pos = np.arange(len(h)) - starts[row]
@@ -134,7 +145,8 @@ def line_signatures(h: np.ndarray, cell: np.ndarray, starts: np.ndarray, n: np.n
     rows.append(row[long])
     sigs.append(mix(h[long] ^ U64(0x77777777)))
     places.append(pos[long])
-    at = np.flatnonzero(inside & ~alone & (n[row] <= LONG_LINE * 5 // 4))
+    near = cfg.percent >= 60  # below that two similar lines may have no neighbours in common
+    at = np.flatnonzero(inside & ~alone & (n[row] <= (PAIRED if near else LONG_LINE * 5 // 4)))
     step = 1
     while len(at):
         at = at[pos[at] + step < second[row[at]]]
@@ -142,14 +154,27 @@ def line_signatures(h: np.ndarray, cell: np.ndarray, starts: np.ndarray, n: np.n
         sigs.append(mix(h[at] * U64(3) + mix(h[at + step])))
         places.append(pos[at])
         step += 1
+    if near:
+        own = first - 1
+        parted = 2 * own + np.maximum(100 * (n - own) // cfg.percent - n, 0)
+        rarer = np.bincount(row[(cell == 0) | alone], minlength=len(starts))
+        ends = parted + 1 - rarer  # the last pair's place: rarer tokens are before, and part no pairs
+        asked = (n > PAIRED * cfg.percent // 100) & (n <= LONG_LINE * 5 // 4)
+        ok = (cell > 0) & ~alone & asked[row] & (pos < ends[row]) & (pos + 1 < n[row])
+        at = np.flatnonzero(ok & ~((n[row] <= PAIRED) & (pos < first[row]) & (pos + 1 < second[row])))
+        rows.append(row[at])
+        sigs.append(mix(h[at] * U64(3) + mix(h[at + 1])))
+        places.append(pos[at])
     return np.concatenate(rows), np.concatenate(sigs), np.concatenate(places)
 
 
 def sketches(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parity bitmaps of n lines: their unequal bits are at most the lines' unequal tokens."""
+    """Parity bitmaps of n lines: their unequal bits are at most the lines' unequal tokens. Those of short lines have
+    both halves in the first."""
     odd = np.bincount(row * _BITS + (h % U64(_BITS)).astype(np.int64), minlength=n * _BITS) & 1
     halves = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 2)
-    return halves[:, 0], halves[:, 1]
+    short = np.bincount(row, minlength=n) <= FOLDED
+    return np.where(short, halves[:, 0] ^ halves[:, 1], halves[:, 0]), np.where(short, 0, halves[:, 1])
 
 
 def _groups(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -310,7 +335,8 @@ def _signed(rows: DataFrame, cells: np.ndarray, least_class: int, parts: int, co
     def deal(held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(held)
         part_of = (every["sig"].view(np.uint64) >> U64(32)).astype(np.int64) * parts >> 32
-        every = every[np.argsort(part_of.astype(np.uint16) if parts < 1 << 16 else part_of, kind="stable")]
+        by = part_of << 1 | (every["n"] > FOLDED)  # lines without a second half together, which packs better
+        every = every[np.argsort(by.astype(np.uint16) if parts < 1 << 15 else by, kind="stable")]
         ends = np.cumsum(np.bincount(part_of, minlength=parts))
         blobs = [(k, packed(every[a:b])) for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
@@ -365,7 +391,10 @@ def plausible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int
         return x[hit] if len(x) == len(n) else x
 
     u, v = at or (None, None)
-    bits = np.bitwise_count(pick(a[1], u) ^ pick(b[1], v)).astype(np.int64) + np.bitwise_count(pick(a[2], u) ^ pick(b[2], v))
+    low, high = pick(a[1], u) ^ pick(b[1], v), pick(a[2], u) ^ pick(b[2], v)
+    short = np.minimum(a[0], b[0])[hit] <= FOLDED  # the other's halves are laid over each other too
+    low, high = np.where(short, low ^ high, low), np.where(short, U64(0), high)
+    bits = np.bitwise_count(low).astype(np.int64) + np.bitwise_count(high)
     near = ((100 + percent) * bits <= (100 - percent) * n[hit]) | cut_off[hit]
     return hit[near], bits[near]
 
@@ -383,15 +412,24 @@ def _without_copies(rows: np.ndarray) -> np.ndarray:
     if not len(order):
         return rows[:0]
     sig, doc, line = sig[order], doc[order], line[order]
-    small = doc.min() >= 0 and doc.max() < 1 << 42 and line.max() < 1 << 21  # then a place is one number
-    at = np.lexsort((doc << 21 | line, sig) if small else (line, doc, sig))
+    group = np.cumsum(np.append(False, sig[1:] != sig[:-1]))
+    widths = [(int(x.max()) - int(x.min())).bit_length() for x in (group, doc, line)]
+    if sum(widths) < 64:  # then signature and place are one number, which sorts faster
+        key = group.astype(np.uint64)
+        for x, width in zip((doc, line), widths[1:]):
+            key = key << U64(width) | (x - x.min()).astype(np.uint64)
+        at = np.argsort(key)
+    else:
+        at = np.lexsort((line, doc, sig))
     order, sig = order[at], sig[at]
     fields = [sig, *(np.ascontiguousarray(rows[f])[order] for f in ("key", "low", "high"))]
     mark = np.zeros(len(order), np.uint64)
     for f in fields:
         mark = mix(mark * U64(3) + f.astype(np.int64).view(np.uint64))
-    _, at, of = np.unique(mark, return_index=True, return_inverse=True)
-    head = at[of]
+    at = np.argsort(mark)
+    new = np.append(True, mark[at[1:]] != mark[at[:-1]])
+    head = np.empty(len(order), np.int64)
+    head[at] = np.minimum.reduceat(at, np.flatnonzero(new))[np.cumsum(new) - 1]
     copy = head != np.arange(len(order))
     for f in fields:
         copy &= f == f[head]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from talweg.llm import linededup
 from talweg.llm.linededup import _COUNT, _SIGNED, packed, unpacked
 
 
@@ -22,3 +23,26 @@ def test_signatures_take_less_room_and_come_back():
     assert back.dtype == rows.dtype and (back == rows).all()
     back["n"][0] = 3  # the rows can be written to
     assert not len(unpacked([], _SIGNED)) and not len(unpacked([packed(np.empty(0, _COUNT))], _COUNT))
+
+
+def test_short_lines_take_less_room_when_dealt(spark):
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30)), "en") for i in range(300)], "doc long, text string, lang string")
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("k1", "k2", "doc", "line")})
+    cells = np.full(1 << linededup.CELL_BITS, 2, np.uint8)
+    signed, shared = linededup._signed(rows, cells, 2, 1, none, linededup.LineDedupConfig())
+    blobs = [r["blob"] for r in signed.collect()]
+    shared.unpersist()
+    assert (unpacked([bytes(b) for b in blobs], _SIGNED)["high"] == 0).all()
+    assert sum(map(len, blobs)) < 22 * 300 * 7  # bytes of 7 signatures a line; 26 and more with the whole bitmap
+
+
+def test_bitmaps_of_short_and_long_lines_never_refuse_similar_ones():
+    rng = np.random.default_rng(3)
+    for n in (50, 60, 64, 65, 70, 80):
+        tokens = rng.integers(0, 1 << 63, (40, 2 * n), dtype=np.uint64)
+        pairs = [(t[: n + n // 5], t[n // 5 : n + n // 5]) if n % 2 else (t[:n], t[n // 10 : n + n // 20]) for t in tokens]
+        for x, y in pairs:
+            marks = [[np.array([len(z)]), *(s.view(np.uint64) for s in linededup.sketches(z, np.zeros(len(z), int), 1)), np.array([0])] for z in (x, y)]
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                assert len(linededup.plausible(*marks, 80)[0]) == 1
