@@ -60,6 +60,17 @@ def _grid(finish: Column) -> Column:
     return F.floor(F.when(finish <= 2, finish * GRID).otherwise(GRID * (2 + F.log(finish / 2)))).cast("long")
 
 
+def _lane(source: Column) -> Column:
+    """A source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
+
+
+def _place(doc_id: Column, size: Column, cfg: MixConfig) -> Column:
+    """A document's place in its source's queue, before ties by id: 60 bits of a seeded hash."""
+    digest = F.md5(F.concat_ws(":", F.lit(cfg.seed).cast("string"), doc_id.cast("string"), size.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of every document (and the columns ``carry``).
 
@@ -76,12 +87,11 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), carry: list[str] | None =
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
     )
-    digest = F.md5(F.concat_ws(":", F.lit(cfg.seed).cast("string"), F.col("doc_id").cast("string"), F.col("size").cast("string")))
-    sized = materialise(rows.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")))  # 60 bits
+    sized = materialise(rows.withColumn("_h", _place(F.col("doc_id"), F.col("size"), cfg)))
     bits = bucket_bits(sized.count())
-    sized = sized.withColumn("_hb", F.shiftright("_h", 60 - bits)).withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    sized = sized.withColumn("_hb", F.shiftright("_h", 60 - bits)).withColumn("_s", _lane(F.col("source")))
     parts = materialise(sized.groupBy("source", "_s", "_hb").agg(F.sum("size").alias("size")))
-    targets = source_targets(parts, cfg).withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    targets = source_targets(parts, cfg).withColumn("_s", _lane(F.col("source")))
     first = parts.selectExpr("_s", "_hb", "sum(size) over (partition by _s order by _hb) - size as _before")
     first = first.join(targets.drop("source"), "_s")
     queued = sized.selectExpr("*", "sum(size) over (partition by _s, _hb order by _h, doc_id rows unbounded preceding) as _run")
@@ -118,21 +128,33 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), carry: list[str] | None =
 def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
 
-    Rows are told by id, source and size; where rows repeat all three, the copies that the mix takes of them are dealt out
-    evenly, so the output has the words of the mix. Null ids, sources and texts are values as any other; documents without
-    words come as often as their place in the queue says. An empty table gives an empty one.
+    The mix takes of a source's queue all up to some document in each turn, so a row's copies follow from its place and
+    the last place of each turn, and texts stay where they are. Rows of such a last place that repeat id, source and
+    size have the copies that the mix takes of them dealt out evenly, so the output has the words of the mix. Null ids,
+    sources and texts are values as any other; documents without words come as often as their place in the queue says.
+    An empty table gives an empty one.
     """
-    def key(source: Column, size: Column, doc_id: Column) -> Column:
-        parts = (F.coalesce(doc_id.cast("string"), F.lit("-")), size.cast("string"), F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-")))
-        return F.concat_ws(":", *parts)
+    place = ["_s", "_h", "_id"]
+    plan = mix(docs, cfg).select(_lane(F.col("source")).alias("_s"), _place(F.col("doc_id"), F.col("size"), cfg).alias("_h"), F.col("doc_id").alias("_id"), "copies")
+    plan = materialise(plan)
+    at, turns = F.struct("_h", "_id"), range(cfg.repeats)
+    last = materialise(plan.groupBy("_s").agg(*[F.max(F.when(F.col("copies") > k, at)).alias(f"_last_{k}") for k in turns]))
+    ends = last.select("_s", F.explode(F.array(*[f"_last_{k}" for k in turns])).alias("_at")).filter("_at is not null").distinct()
+    ends = ends.select("_s", "_at._h", F.coalesce(F.col("_at._id").cast("string"), F.lit("-")).alias("_id"))
+    by_id = F.coalesce(F.col("_id").cast("string"), F.lit("-"))
+    shared = plan.withColumn("_id", by_id).join(ends, place).groupBy(*place).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n"), F.max("copies").alias("_most"))
+    shared = materialise(shared.filter("_copies < _n * _most").drop("_most"))
 
-    plan = mix(docs, cfg).groupBy(key(F.col("source"), F.col("size"), F.col("doc_id")).alias("_key"))
-    plan = materialise(plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).filter("_copies > 0"))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    named = named.withColumn("_key", key(F.col("_row.source"), word_count(F.col("_row.text")), F.col("_row.doc_id").cast("long")))
-    joined = named.join(plan, "_key")
-    if not plan.filter("_n > 1").isEmpty():
-        k = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))
-        joined = joined.withColumn("_copies", F.floor((F.col("_copies") + F.col("_n") - k) / F.col("_n"))).filter("_copies > 0")
-    out = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    named = named.select("_row", _lane(F.col("_row.source").cast("string")).alias("_s"), F.col("_row.doc_id").cast("long").alias("_id"), word_count(F.col("_row.text")).alias("_size"))
+    named = named.withColumn("_h", _place(F.col("_id"), F.col("_size"), cfg)).join(last, "_s")
+    copies = sum((F.when(at <= F.col(f"_last_{k}"), 1).otherwise(0) for k in turns), F.lit(0))
+    named = named.select("_row", "_s", "_h", by_id.alias("_id"), copies.cast("long").alias("_copies"))
+    whole = named
+    if not shared.isEmpty():
+        whole = named.join(shared.drop("_copies", "_n"), place, "left_anti")
+        k = F.row_number().over(Window.partitionBy(*place).orderBy(F.xxhash64("_row")))
+        dealt = named.drop("_copies").join(shared, place).withColumn("_copies", F.floor((F.col("_copies") + F.col("_n") - k) / F.col("_n")))
+        whole = whole.select("_row", "_copies").unionAll(dealt.select("_row", "_copies"))
+    out = whole.filter("_copies > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -67,3 +67,26 @@ def test_any_bytes_are_a_page():
     parts = ["<", ">", "</", "<style>", "</style>", "{", "}", "@", ";", "&#", "&", "<table>", "<td>", "a", "\x00", "퟿", "<!--", "-->", "99999999999999999999", "<p", " style='", '"']
     for _ in range(2000):
         render("".join(rng.choice(parts) for _ in range(rng.randrange(40))))
+
+
+def test_the_mix_leaves_texts_where_they_are(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join("w" for _ in range(rng.randrange(30))), rng.choice(["a", "b", "c", None])) for k in range(3000)]
+    rows += [(7, "x y z", "a")] * 40 + [(None, "null id here", "b")] * 20 + [(None, "", "b"), (9, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")  # below what the mix says of 3,000 documents
+    try:
+        out = mixing.mixed_documents(docs)
+        assert "Exchange hashpartitioning(_key" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+        found = sorted((r for r in out.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    planned = mixing.mix(docs)
+    assert sum(len(words(r.text)) for r in found) == planned.agg(F.sum("taken")).first()[0]
+    taken = {(r.doc_id, r.source, r.size): r.n for r in planned.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).collect() if r.n}
+    made = {}
+    for r in found:
+        at = (r.doc_id, r.source, len(words(r.text)))
+        made[at] = made.get(at, 0) + 1
+    assert made == taken
