@@ -108,3 +108,15 @@ def test_hierarchy_equals_a_plain_one(spark, seed):
     spill = {b: level[b] for b in set(basin.values()) if not rim(b)}
     got = {(r.label, r.n_basins, r.formed, r.spill, r.parent_label, r.parent_basins, r.n_cells, round(r.volume, 6)) for r in hierarchy.hierarchy(nodes, sfd, SPEC).collect()}
     assert got == plain_tree(z, basin, spill)
+
+
+@pytest.mark.parametrize("seed", [1, 7])
+def test_hierarchy_where_spills_go_by_tiles_and_cells_in_parts(spark, monkeypatch, seed):
+    """Beyond DRIVER_PASSES spills are found over the passes' nodes, which the hierarchy had left out: an error before."""
+    nodes = surface(spark, seed, 1_000_000)
+    sfd = flow.steepest(nodes, SPEC).cache()
+    plain = hierarchy.hierarchy(nodes, sfd, SPEC).collect()
+    monkeypatch.setattr(depressions, "DRIVER_PASSES", 0)
+    monkeypatch.setattr(hierarchy, "BASINS", 2)
+    monkeypatch.setattr(hierarchy, "CELLED", 1)
+    assert sorted(hierarchy.hierarchy(nodes, sfd, SPEC).collect(), key=str) == sorted(plain, key=str)
