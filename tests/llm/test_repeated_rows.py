@@ -90,3 +90,16 @@ def test_the_mix_leaves_texts_where_they_are(spark):
         at = (r.doc_id, r.source, len(words(r.text)))
         made[at] = made.get(at, 0) + 1
     assert made == taken
+
+
+def test_lists_and_tables_keep_their_layout_at_any_depth():
+    """Beyond 16 of them marks, numbers, indentation and columns were left out, and so were columns much wider than the text."""
+    depth = 40
+    deep = render("<ul><li>" * depth + "a<ol><li>b<li>c</ol><table><tr><td>long one<td>x<tr><td>s<td>y</table>").split("\n")
+    pad = "  " * depth
+    assert deep[0] == "- " * depth + "a" and deep[1:3] == [pad + "1. b", pad + "2. c"]
+    assert [x for x in deep[3:] if x.strip()] == [pad + "long one  x", pad + "s         y"]
+    assert render("<table><tr><td>" * depth + "<table><tr><td>ab<td>c<tr><td>d<td>e") == "ab  c\nd   e"
+    assert render("<blockquote>" * depth + "x") == pad + "x"
+    wide = render("<table><tr><td>" + "w" * 2000 + "<td>x" + "<tr><td>a<td>y" * 100).split("\n")
+    assert wide[1:] == ["a" + " " * 2001 + "y"] * 100
