@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
 from ..scratch import cut
+from . import voxelways
 from .parts import SLACK, TILE, spread, tile_of
-from .voxels import BLOCK, XYZ, neighbours
+from .voxels import XYZ
 
 def _weighted(edges: DataFrame, spec: GridSpec, weight: str, side: int) -> DataFrame:
     return edges.select("node", "nb", F.col(weight).cast("double").alias("w"), tile_of(F.col("node"), spec, side).alias("part"), tile_of(F.col("nb"), spec, side).alias("part_nb"))
@@ -98,63 +99,40 @@ def shortest_route(edges: DataFrame, spec: GridSpec, landmarks: DataFrame, start
     return _traced(e, values, start, goal), values, rounds
 
 
-def _is(place: tuple[int, int, int]) -> Column:
-    return (F.col("x") == place[0]) & (F.col("y") == place[1]) & (F.col("z") == place[2])
-
-
-def voxel_route(vox: DataFrame, start: tuple[int, int, int], goal: tuple[int, int, int], connectivity: int = 6, where: Column | None = None, side: int = BLOCK) -> DataFrame:
+def voxel_route(vox: DataFrame, start: tuple[int, int, int], goal: tuple[int, int, int], connectivity: int = 6, where: Column | None = None, side: int | None = None) -> DataFrame:
     """step, x, y, z, value of the shortest way between two voxels through existing ones (that meet a condition); a step
     is as long as it is straight. Ties go to the least value, then to the first place. Empty without a way."""
-    ok = (vox if where is None else vox.filter(where)).select(*XYZ).distinct().withColumn("value", F.lit(0.0))
-    box = ok.agg(*[f(k) for k in XYZ for f in (F.min, F.max)]).first()
-    names = "step long, x long, y long, z long, value double"
-    if box[0] is None or any(ok.filter(_is(p)).isEmpty() for p in (start, goal)):
-        return vox.sparkSession.createDataFrame([], names)
-    if tuple(start) == tuple(goal):
-        return vox.sparkSession.createDataFrame([(0, *start, 0.0)], names)
-    low, size = box[::2], [box[2 * k + 1] - box[2 * k] + 1 for k in range(3)]
-
-    def number(p: list, sizes: list[int], by: int = 1) -> Column:
-        x, y, z = [F.floor((v - lo) / by) if by > 1 else v - lo for v, lo in zip(p, low)]
-        return ((x * sizes[1] + y) * sizes[2] + z).cast("long")
-
-    blocks = [-(-s // side) for s in size]
-    here, there = [F.col(k) for k in XYZ], [F.col(f"n{k}") for k in XYZ]
-    gap = [F.abs(v - g) for v, g in zip(there, goal)]
-    rest = gap[0] + gap[1] + gap[2] if connectivity == 6 else F.sqrt(sum(g * g for g in gap))
-    step = F.sqrt(sum((n - h) * (n - h) for n, h in zip(there, here)).cast("double"))
-    e = neighbours(ok, connectivity).select(number(here, size).alias("node"), number(there, size).alias("nb"), step.alias("w"), number(here, blocks, side).alias("part"), number(there, blocks, side).alias("part_nb"), rest.cast("double").alias("low_nb"))
-    e = cut(e)
-    at = lambda p: ((p[0] - low[0]) * size[1] + p[1] - low[1]) * size[2] + p[2] - low[2]
-    part = 0
-    for v, lo, n in zip(start, low, blocks):
-        part = part * n + (v - lo) // side
-    first = vox.sparkSession.createDataFrame([(part, 0, at(start), 0.0)], "part long, mark long, node long, value double")
-    found, _ = spread(e, first, at(goal))
-    way = _traced(e, found.select("node", "value"), at(start), at(goal))
-    z, y = F.col("node") % size[2], F.floor(F.col("node") / size[2]) % size[1]
-    x = F.floor(F.col("node") / (size[1] * size[2]))
-    return way.select("step", *[(v + lo).cast("long").alias(k) for v, lo, k in zip((x, y, z), low, XYZ)], "value")
-
-
-def separate_routes(vox: DataFrame, start: tuple[int, int, int], goal: tuple[int, int, int], most: int = 3, separation: int = 2, connectivity: int = 6, where: Column | None = None, open_ends: bool = True) -> DataFrame:
+    return separate_routes(vox, start, goal, 1, 0, connectivity, where, side=side).drop("route")
+
+
+def separate_routes(vox: DataFrame, start: tuple[int, int, int], goal: tuple[int, int, int], most: int = 3, separation: int = 2, connectivity: int = 6, where: Column | None = None, open_ends: bool = True, side: int | None = None) -> DataFrame:
     """route, step, x, y, z, value: up to ``most`` ways, each the shortest that keeps out of the cubes of ``separation``
     around all cells of those before it. Ends at the first that has no way.
 
     What is within ``separation`` of start or goal stays open, else all ways but the first would be shut in at once;
-    with ``open_ends`` false only start and goal themselves do.
+    with ``open_ends`` false only start and goal themselves do. Voxels are packed into blocks once for all ways.
     """
-    left, out, free = vox, None, separation if open_ends else 0
+    names = ["route", "step", *XYZ, "value"]
+    spark, start, goal = vox.sparkSession, tuple(start), tuple(goal)
+    out = spark.createDataFrame([], "route long, step long, x long, y long, z long, value double")
+    found = voxelways.found_in(vox if where is None else vox.filter(where), start, goal, connectivity, side)
+    if found is None:
+        return out
+    blocks, geo = found
+    free = separation if open_ends else 0
     for k in range(1, most + 1):
-        way = cut(voxel_route(left, start, goal, connectivity, where))
-        mine = way.withColumn("route", F.lit(k).cast("long"))
-        out = mine if out is None else out.unionAll(mine)
+        if start == goal:
+            way = spark.createDataFrame([(0, *start, 0.0)], "step long, x long, y long, z long, value double")
+        else:
+            way = cut(voxelways.way(blocks, geo, start, goal))
+        out = out.unionAll(way.withColumn("route", F.lit(k).cast("long")).select(*names))
         if k == most or way.isEmpty():
-            break
+            return out
         near = way.select(*XYZ)
         for c in XYZ:
             near = near.withColumn(c, F.explode(F.sequence(F.col(c) - separation, F.col(c) + separation)))
         for p in (start, goal):
             near = near.filter(F.greatest(*[F.abs(F.col(c) - v) for c, v in zip(XYZ, p)]) > free)
-        left = cut(left.join(near.distinct(), XYZ, "left_anti"))
-    return out.select("route", "step", *XYZ, "value")
+        inside = [F.col(c).between(lo, lo + n - 1) for c, lo, n in zip(XYZ, geo.low, geo.size)]
+        blocks = voxelways.without(blocks, near.filter(inside[0] & inside[1] & inside[2]).distinct(), geo)
+    return out

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talweg import scratch
 from talweg.functions.grid import GridSpec
 from talweg.operators import routes
 from talweg.operators.neighbours import neighbours
@@ -109,3 +110,26 @@ def test_no_voxels(spark):
     none = spark.createDataFrame([], "x long, y long, z long, value double")
     assert routes.voxel_route(none, (0, 0, 0), (1, 1, 1)).count() == 0
     assert routes.separate_routes(none, (0, 0, 0), (1, 1, 1)).count() == 0
+
+
+def test_a_way_through_a_wide_flat_box_takes_few_tables(spark, monkeypatch):
+    """Blocks of 48 voxels a side and a table for each doubling of the way's pointers before: over 20 tables."""
+    walls = {(x, y) for x in range(10, 300, 20) for y in range(20) if y != (0 if x % 40 == 10 else 19)}
+    places = [(x, y, z) for x in range(300) for y in range(20) if (x, y) not in walls for z in (0, 1)]
+    vox = spark.createDataFrame(places, "x long, y long, z long").cache()
+    tables = []
+    monkeypatch.setattr(scratch, "scratch_path", lambda s, path=scratch.scratch_path: tables.append(path(s)) or tables[-1])
+    got = routes.voxel_route(vox, (0, 0, 0), (299, 19, 1)).orderBy("step").collect()
+    assert len(tables) < 8
+    there = set(places)
+    graph = {p: {q: 1.0 for m in ring(6) if (q := tuple(i + j for i, j in zip(p, m))) in there} for p in places}
+    assert [(r.x, r.y, r.z) for r in got] == way_back(graph, searched(graph, (0, 0, 0)), (0, 0, 0), (299, 19, 1))
+    assert len(got) > 500 and [r.value for r in got] == [r.step for r in got] == list(range(len(got)))
+
+
+def test_ways_by_blocks_of_any_size_are_the_same(spark):
+    rng = random.Random(5)
+    places = [(x, y, z) for x in range(-7, 9) for y in range(11) for z in range(4) if rng.random() < 0.75 or (x, y, z) in ((-7, 0, 0), (8, 10, 3))]
+    vox = spark.createDataFrame(places, "x long, y long, z long").cache()
+    found = [sorted(routes.separate_routes(vox, (-7, 0, 0), (8, 10, 3), 2, 0, 18, side=side).collect()) for side in (4, None)]
+    assert found[0] == found[1] and {r.route for r in found[0]} == {1, 2}
