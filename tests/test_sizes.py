@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from talweg import scratch
-from talweg.operators import depressions, parts, voxels
+from talweg.operators import depressions, parts, voxels, voxelways
 from talweg.plans import forms  # noqa: F401  registers its queries
 from talweg.plans.queries import QUERIES, SQL
 
@@ -39,3 +39,9 @@ def test_by_tiles(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(scratch, "scratch_path", lambda s, path=scratch.scratch_path: tables.append(path(s)) or tables[-1])
     agrees(spark, tmp_path, name, 1)
     assert len(tables) < 90  # a few rounds each: steps along a way are no rounds of their own
+
+
+@pytest.mark.parametrize("name, copies", [("voxel_shortest_route", 1), ("voxel_separate_routes", 3)])
+def test_voxel_ways(spark, tmp_path, monkeypatch, name, copies):
+    monkeypatch.setattr(voxelways, "PLACES", 700)
+    agrees(spark, tmp_path, name, copies)
